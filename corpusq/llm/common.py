@@ -52,6 +52,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """A vocabulary file of a public tokenizer, in that folder or the installed package."""
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out(doc_id):
     """True for the fifth of the documents that no model learns from. A null id is never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(True))
@@ -128,14 +137,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, byte after the last) of every word, and each row's first word (n + 1 offsets).
-    A word is a run of word_bytes after lowering A-Z; its hash is 64 bits of its bytes alone."""
+    A word is a run of word_bytes (after lowering A-Z); its hash is 64 bits of its bytes alone."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    low = _LOWER[data]
+    low = _LOWER[data] if lower else data
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = word_bytes[low]
     cut = np.zeros(n + 1, bool)  # a row starts here
