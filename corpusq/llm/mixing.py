@@ -101,7 +101,7 @@ def slots(sources: DataFrame, block_words: int, shard_slots: int = SHARD_SLOTS,
     )
     # A source's slots are made in runs of at most shard_slots, so that no row grows with the source.
     runs = s.withColumn("run", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {shard_slots})")))
-    each = runs.withColumn("k", F.explode(F.expr(f"sequence(run * {shard_slots}, least(n_slots, (run + 1) * {shard_slots}) - 1)")))
+    each = runs.repartition("rank", "run").withColumn("k", F.explode(F.expr(f"sequence(run * {shard_slots}, least(n_slots, (run + 1) * {shard_slots}) - 1)")))
     slot = permuted(F.col("start") + F.col("k"), F.col("all_slots"), F.lit(seed), F.lit("slots"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     return each.select("rank", F.col("k"), slot.alias("slot"), turn.alias("pass"), permuted(F.col("k") - turn * F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("rank"), turn).alias("block"), F.when(F.col("k") == F.col("n_slots") - 1, F.col("cut")).alias("cut")).withColumn("shard", F.floor(F.col("slot") / shard_slots))
@@ -125,5 +125,6 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, most:
     drawn = slots(sources, block_words, seed=seed).groupBy("rank", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("whole"), F.max("cut").alias("cut"))
     # a block's words of this document, whole times over, and those before the cut
     part = (F.col("z") - F.col("a")) * F.col("whole") + F.greatest(F.least(F.col("z"), F.coalesce(F.col("cut"), F.lit(0))) - F.col("a"), F.lit(0))
-    taken = pieces.join(drawn, ["rank", "block"]).groupBy("doc", "rank").agg(F.sum(part).alias("taken"))
+    # Spark takes `drawn` for as small as the table of sources that it is made from, and would broadcast it.
+    taken = pieces.join(drawn.hint("merge"), ["rank", "block"]).groupBy("doc", "rank").agg(F.sum(part).alias("taken"))
     return ranked.join(taken, ["doc", "rank"], "left").select("doc_id", F.col("copy").alias("row"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
