@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, tokens, urls
+from . import decontaminate, mixing, neardup, tokens, urls
 from .common import ready, table, tokenizer_path
 
 #: The rules that op8 judges by: host, path, verdict.
@@ -23,11 +23,15 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op5_decontaminate": op5_decontaminate, "op6_tokens": op6_tokens, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_mix": op1_mix, "op5_decontaminate": op5_decontaminate, "op6_tokens": op6_tokens, "op7_near_duplicates": op7_near_duplicates, "op8_url_filter": op8_url_filter}
 
 ORACLE_SQL = {
     "op8_url_filter": """
