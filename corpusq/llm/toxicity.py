@@ -2,7 +2,7 @@
 
 A text's words (letters, digits and all beyond ASCII, A-Z lowered) stand between single spaces; its subwords are the
 n-grams of bytes, n in LENGTHS, that have a space at most at an end. Subwords are hashed to BUCKETS embeddings. A text
-is the mean of its subwords' embeddings, times GAIN; a softmax over two classes follows. Embeddings and softmax are trained
+is the mean of the embeddings of its subwords and STEADY empty ones, times GAIN; a softmax over two classes follows. Embeddings and softmax are trained
 together, in numpy, so a misspelling that no label ever showed still scores by the n-grams that it shares.
 
 The model is fitted on at most MOST_TOXIC + MOST_CLEAN labelled texts, chosen by a hash of doc_id among those of at
@@ -16,8 +16,6 @@ no label of either class the score is the share of toxic labels, 0 without label
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +29,12 @@ SIZE = 8
 GAIN = 50.0
 EPOCHS = 6
 BATCH = 100
+#: Subwords of weight 0 that every text has besides its own, so that few words don't decide alone.
+STEADY = 300
 RATE = 0.1
 #: A bucket is learnt if so many of the texts have it; the others stay at 0.
 LEAST_TEXTS = 8
-MOST_TOXIC, MOST_CLEAN = 1500, 2500
+MOST_TOXIC, MOST_CLEAN = 1500, 4500
 MOST_BYTES = 32_000
 _K = randoms(8, 41)
 
@@ -85,7 +85,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> tuple[np.ndarray,
         bucket, _ = subwords(*strings(pa.array([text])))
         own, count = np.unique(bucket, return_counts=True)
         texts_with[own] += 1
-        sizes[k] = max(1, len(bucket))
+        sizes[k] = len(bucket) + STEADY
         bags.append((own.astype(np.int32), count.astype(np.float32)))
     learnt = np.flatnonzero(texts_with >= min(LEAST_TEXTS, max(1, len(texts) // 40)))
     column = np.full(BUCKETS, -1, np.int32)
@@ -121,33 +121,27 @@ def logits(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, bias: floa
     bucket, row = subwords(data, offsets)
     n = len(offsets) - 1
     total, count = np.bincount(row, weight[bucket], n), np.bincount(row, minlength=n)
-    return bias + total / np.maximum(count, 1)
+    return bias + total / (count + STEADY)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[list[tuple[str, int]], float]:
-    """Labelled texts to learn from, none of them held out, of either class up to its bound; and what to add to a logit
-    since the classes' shares among all labels differ from those among these."""
+def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str, int]]:
+    """Labelled texts to learn from, none of them held out, of either class up to its bound."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = stage(marks, "labels")
-    total = dict(marks.groupBy("toxic").count().where("toxic in (0, 1)").collect())
     short = docs.where(F.octet_length("text") <= MOST_BYTES).select("doc_id")
     near = marks.join(short, "doc_id", "left_semi")
     chosen = [r for mark, most in ((1, most_toxic), (0, most_clean)) for r in near.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     if not chosen:
-        return [], 0.0
+        return []
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * (most_toxic + most_clean))
-    learnt = [(r["text"], r["toxic"]) for r in rows.collect()]
-    taken = [sum(x == mark for _, x in learnt) for mark in (0, 1)]
-    shift = math.log(total[1] / total[0]) - math.log(taken[1] / taken[0]) if all(taken) else 0.0
-    return learnt, shift
+    return [(r["text"], r["toxic"]) for r in rows.collect()]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text) and labels (doc_id, toxic) to doc_id, held_out, score, predicted."""
-    learnt, shift = sample(docs, labels)
-    weight, bias = fit([t for t, _ in learnt], [x for _, x in learnt])
-    held = docs.sparkSession.sparkContext.broadcast((weight, bias + shift))
+    learnt = sample(docs, labels)
+    held = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in learnt], [x for _, x in learnt]))
 
     def run(frames):
         weight, bias = held.value
