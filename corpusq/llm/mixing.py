@@ -128,3 +128,20 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, most:
     # Spark takes `drawn` for as small as the table of sources that it is made from, and would broadcast it.
     taken = pieces.join(drawn.hint("merge"), ["rank", "block"]).groupBy("doc", "rank").agg(F.sum(part).alias("taken"))
     return ranked.join(taken, ["doc", "rank"], "left").select("doc_id", F.col("copy").alias("row"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """The documents as the mix takes them, with their columns: each as often as its words are taken, rounded up or down
+    by a hash of its id so that a source's words keep their number on average; no document comes more than `most` times."""
+    key = "_mix_id"
+    while key in docs.columns:
+        key += "_"
+    n = key + "n"
+    taken = mix(docs, seed=seed, **options)
+    # rows with the same id and text stand or fall alike: their takes are added and shared out again
+    exact = F.sum("taken") / F.count(F.lit(1)) / F.max("size")
+    share = taken.where("size > 0").groupBy(F.col("doc_id").alias(key), F.col("size").alias(key + "s")).agg(exact.alias(key + "x"))
+    draw = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    copies = stage(share.select(key, key + "s", F.floor(F.col(key + "x") + draw).cast("int").alias(n)).where(F.col(n) > 0), "mix-copies")
+    joined = docs.withColumn(key + "w", n_words(F.col("text"))).join(copies, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(key + "w") == F.col(key + "s")))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

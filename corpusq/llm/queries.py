@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, neardup, tokens, toxicity, urls, warc
+from . import ann, decontaminate, langid, mixing, neardup, tokens, toxicity, urls, warc
 from .common import ready, table, tokenizer_path
 
 #: The rules that op8 judges by: host, path, verdict.
@@ -39,11 +40,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_tokens": op6_tokens, "op7_near_duplicates": op7_near_duplicates, "op8_url_filter": op8_url_filter, "op10_language": op10_language}
+QUERIES = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_tokens": op6_tokens, "op7_near_duplicates": op7_near_duplicates, "op8_url_filter": op8_url_filter, "op9_nearest": op9_nearest, "op10_language": op10_language}
 
 ORACLE_SQL = {
     "op8_url_filter": """
