@@ -14,8 +14,9 @@ a band are. So the links that are returned join the same components as all links
 Shingles of a family are only shipped for classes that have a candidate; exact copies only by their class.
 
 Defined cases: null text and text without words has the empty set and is linked with nothing; rows of one doc_id are one
-document, each row linked by its own text (n_shingles is the largest, component_id the smallest); a null doc_id is
-a document of its own, with a null component and not kept; the empty table gives no rows; other columns are ignored.
+document, each row linked by its own text (n_shingles is the largest, component_id the smallest); a row without doc_id
+stands for no group: it shows its class's component, or null, is not marked as kept, and unique() leaves such rows as
+they are; the empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE) -> tu
         out[full] = run[place[full]]
     for k in np.flatnonzero((n > 0) & (n < length)):
         own = hashes[rows[k] : rows[k + 1]]
-        out[ends[k]] = (own * _D[: len(own)]).sum() + _D[length + len(own)]
+        out[ends[k]] = np.append(own * _D[: len(own)], _D[length + len(own)]).sum()
     return mix(out), ends
 
 
@@ -186,8 +187,9 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHIN
 
 def unique(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE) -> DataFrame:
     """One document of each group, with its columns; of rows with its id, one."""
-    marks = stage(deduplicated(docs, threshold, length).select(F.col("doc_id").alias("_id"), "kept"), "kept")
+    marks = stage(deduplicated(docs, threshold, length).where("kept").select(F.col("doc_id").alias("_kept")), "kept")
     rows = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("_id")
-    kept = docs.join(marks.where("kept"), F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = docs.join(marks, F.col("doc_id") == marks["_kept"], "left_semi")
     again = stage(rows, "repeated")
-    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(again, F.col("doc_id") == again["_id"], "left_anti")
+    return once.unionByName(kept.join(again, F.col("doc_id") == again["_id"], "left_semi").dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
