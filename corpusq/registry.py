@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import compiled, evaluated, pages, ranked, searched, stored, tagged, verified
+
+PLANS = [pages.plan, searched.plan, ranked.plan, tagged.plan, verified.plan, compiled.plan, evaluated.plan, stored.plan]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in PLANS for k, f in p.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for p in PLANS for k, s in p.sql.items()}
