@@ -1,3 +1,129 @@
+"""Queries: build sets, resumption, merges, fingerprints, exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean
+from ..sources import adapters as A
+from ..sources import store as S
 from .base import Plan
+from .pages import _WINDOWS_SQL, chunks
 
 plan = Plan()
+
+
+@plan.query("new_books", f"WITH {A.PAGES_SQL} SELECT book, count(*) AS pages FROM pages0 WHERE book NOT IN (SELECT DISTINCT book FROM pages0 WHERE source = 'src1' AND book = 'b0') GROUP BY book")
+def new_books(spark, sf_dir):
+    p = A.pages(spark, sf_dir)
+    return S.build_set(p, p.where("source = 'src1' and book = 'b0'"), new_only=True)[0].groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@plan.query("figure_rows", f"WITH {A.PAGES_SQL} SELECT book, page, CAST(k AS INT) AS ord, concat('a/b', doc_id, '.', k, '.png') AS figure_path, concat(book, '::b', doc_id, '.', k) AS id FROM pages0, (SELECT unnest(range(0, 2)) AS k) WHERE has_figure")
+def figure_rows(spark, sf_dir):
+    p = A.pages(spark, sf_dir).where("has_figure").withColumn("figures", F.expr("transform(sequence(0, 1), k -> named_struct('figure_path', concat('a/b', doc_id, '.', k, '.png'), 'caption', 'c'))"))
+    return S.figure_rows(p).drop("caption")
+
+
+@plan.query("figures_first_seen", _WINDOWS_SQL + " SELECT book, concat('f', doc_id % 60) AS figure_path, min(page) AS page FROM chunks0 WHERE doc_id % 4 > 0 GROUP BY ALL")
+def figures_first_seen(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("figure_path", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("f"), (F.col("doc_id") % 60).cast("string"))))
+    return S.distinct_figures(c)
+
+
+@plan.query("undone", "SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view')")
+def undone(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    return S.undone(e, e.where("event_type = 'view'"), "event_id").select("event_id", "user_id")
+
+
+@plan.query("manifest_range", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey >= (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 10) AND o_orderkey <= (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 1010) AND o_custkey % 3 > 0")
+def manifest_range(spark, sf_dir):
+    m = A.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey AS ord", "o_custkey % 3 > 0 AS enabled")
+    a, z = (r[0] for r in m.orderBy("ord").offset(10).limit(1001).agg(F.min("id"), F.max("id")).selectExpr("stack(2, `min(id)`, `max(id)`) AS x").collect())
+    return S.id_range(m, a, z).select("id")
+
+
+@plan.query(
+    "captions_applied",
+    "WITH f AS (SELECT DISTINCT user_id AS id, concat('own ', user_id) AS caption FROM events), c AS (SELECT user_id AS id, event_id AS line, CASE WHEN event_id % 3 = 0 THEN concat('cap ', event_id) ELSE ' ' END AS caption FROM events WHERE user_id % 2 = 0), l AS (SELECT id, arg_max(caption, line) AS new FROM c WHERE trim(caption) <> '' GROUP BY id) SELECT f.id, coalesce(new, caption) AS caption, CASE WHEN new IS NOT NULL THEN 'captioned' ELSE 'kept' END AS status FROM f LEFT JOIN l USING (id)",
+)
+def captions_applied(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    f = e.selectExpr("user_id AS id", "concat('own ', user_id) AS caption").distinct()
+    return S.captions_applied(f, e.where("user_id % 2 = 0").selectExpr("user_id AS id", "event_id AS line", "CASE WHEN event_id % 3 = 0 THEN concat('cap ', event_id) ELSE ' ' END AS caption"))
+
+
+@plan.query("caption_candidates", "SELECT event_id, event_type AS book FROM events WHERE event_id % 2 = 0 AND (contains(event_type, 'e') OR contains(event_type, 'c')) AND NOT contains(event_type, 'pur')")
+def caption_candidates(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "event_type AS book", "concat('f', event_id) AS figure_path")
+    return S.caption_candidates(e, e.where("event_id % 2 = 0"), ["E", "c"], ["pur"]).select("event_id", "book")
+
+
+@plan.query("works_merged", "SELECT doc_id AS work_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang FROM documents")
+def works_merged(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").selectExpr("doc_id AS work_id", "lang")
+    return S.works_merged(d, d.where("work_id % 3 = 0").withColumn("lang", F.lit("new")))
+
+
+@plan.query("passages", "WITH d AS (SELECT doc_id AS work_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL) SELECT work_id, CAST(k AS INT) AS sequence, md5(p[k + 1]) AS content_md5, concat(work_id, '-', k) AS id FROM d, LATERAL (SELECT unnest(range(0, len(p))) AS k)")
+def passages(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("work_id"), F.split("text", "\n").alias("parts"))
+    return S.passages_of(d).select("work_id", "sequence", F.md5(F.col("content").cast("binary")).alias("content_md5"), "id")
+
+
+@plan.query("corpus_built", "SELECT doc_id AS work_id, CASE WHEN doc_id % 2 = 0 THEN 'have' WHEN doc_id % 3 = 0 THEN 'copied' WHEN doc_id % 5 = 0 THEN 'xml' WHEN doc_id % 7 = 0 THEN 'plain' ELSE 'skipped' END AS outcome, CASE WHEN doc_id % 2 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'T|b' WHEN doc_id % 5 = 0 THEN 'T|x' WHEN doc_id % 7 = 0 THEN 'T|p' END AS parts FROM documents")
+def corpus_built(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").selectExpr("doc_id AS work_id", "'T' AS title")
+    own = lambda n, x: d.where(f"work_id % {n} = 0").withColumn("parts", F.array(F.lit(x)))
+    return S.corpus_built(d, own(2, "h"), own(3, "b"), own(5, "x"), own(7, "p")).withColumn("parts", F.array_join("parts", "|"))
+
+
+@plan.query("cache_hits", "SELECT conv_id * 1000 + turn AS query_id, CAST(turn AS VARCHAR) AS result FROM conversations WHERE text IN (SELECT text FROM conversations WHERE turn = 0) AND false UNION ALL SELECT c.query_id, m.result FROM (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations) c JOIN (SELECT text, arg_max(CAST(turn AS VARCHAR), conv_id * 100 + turn) AS result FROM conversations WHERE 50000 - (conv_id * 100 + turn) <= 45000 GROUP BY text) m ON c.text = m.text")
+def cache_hits(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations")
+    q = c.selectExpr("conv_id * 1000 + turn AS query_id", "text AS query")
+    cache = c.select(F.sha2("text", 256).alias("key"), (F.col("conv_id") * 100 + F.col("turn")).alias("ts"), F.col("turn").cast("string").alias("result"))
+    return S.cached(q, cache, F.lit(50000), 45000)[0].select("query_id", "result")
+
+
+@plan.query("fingerprint", _WINDOWS_SQL + ", b AS (SELECT id, (instr('0123456789abcdef', substr(md5(id), 1, 1)) - 1) * 256 + (instr('0123456789abcdef', substr(md5(id), 2, 1)) - 1) * 16 + instr('0123456789abcdef', substr(md5(id), 3, 1)) - 1 AS b FROM chunks0), e AS (SELECT b, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS h FROM b GROUP BY b) SELECT sum(n) AS rows, sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM e")
+def fingerprint(spark, sf_dir):
+    return S.fingerprint(chunks(spark, sf_dir))
+
+
+@plan.query("book_fingerprint", _WINDOWS_SQL + ", c AS (SELECT book, count(*) AS n FROM chunks0 GROUP BY book) SELECT count(*) AS books, sha256(concat(string_agg(concat(book, ':', n), chr(10) ORDER BY concat(book, ':', n)), chr(10), 'model')) AS fingerprint FROM c")
+def book_fingerprint(spark, sf_dir):
+    return S.book_fingerprint(chunks(spark, sf_dir), "model")
+
+
+@plan.query("citations_exported", "SELECT 'run1' AS run_id, event_id AS question_id, CAST(k AS INT) AS ord, concat('b', k) AS book, event_id + k AS page FROM events, (SELECT unnest(range(0, 3)) AS k)")
+def citations_exported(spark, sf_dir):
+    r = A.table(spark, sf_dir, "events").selectExpr("event_id AS question_id", "transform(sequence(0, 2), k -> named_struct('book', concat('b', k), 'page', event_id + k)) AS citations")
+    return S.exported(r, "citations", "run1")
+
+
+@plan.query("paths_rerooted", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('assets/x/', event_id, '.png') ELSE concat('/other/', event_id) END AS path FROM events")
+def paths_rerooted(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 2 = 0 THEN concat('/home/assets/old/assets/x/', event_id, '.png') ELSE concat('/other/', event_id) END AS p")
+    return e.select("event_id", S.rerooted("p", "assets").alias("path"))
+
+
+@plan.query("purged", f"WITH {A.PAGES_SQL} SELECT book, count(*) AS pages FROM pages0 WHERE NOT (book = 'b0' AND page >= 300) GROUP BY book")
+def purged(spark, sf_dir):
+    audit = spark.range(1).selectExpr("'b0' AS book", "300 AS boundary", "true AS pure")
+    return clean.purged(A.pages(spark, sf_dir), audit).groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@plan.query("media_resolved", "WITH c AS (SELECT event_id AS id, [concat('a/i', event_id % 5), concat('i', event_id % 9)] AS im FROM events WHERE event_id % 10 = 0), e AS (SELECT id, regexp_extract(n, '([^/]+)$', 1) AS base FROM (SELECT id, unnest(im) AS n FROM c)) SELECT id, count(*) FILTER (base < 'i5') AS resolved, count(*) FILTER (base >= 'i5') AS missing, count(DISTINCT base) FILTER (base < 'i5') AS blobs FROM e GROUP BY id")
+def media_resolved(spark, sf_dir):
+    c = A.table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("event_id AS id", "array(concat('a/i', event_id % 5), concat('i', event_id % 9)) AS images")
+    m = A.table(spark, sf_dir, "events").selectExpr("concat('i', event_id % 5) AS name", "concat('blob', event_id % 5) AS blob").distinct()
+    return S.media_resolved(c, m)
+
+
+@plan.query("lines_kept", "SELECT count(*) AS lines, count(*) FILTER (user_id % 5 = 0) AS torn FROM events WHERE NOT (user_id % 5 > 0 AND user_id % 7 = 0)")
+def lines_kept(spark, sf_dir):
+    lines = A.table(spark, sf_dir, "events").selectExpr("CASE WHEN user_id % 5 = 0 THEN concat('{torn', user_id) ELSE to_json(named_struct('id', cast(user_id AS STRING))) END AS line")
+    gone = A.table(spark, sf_dir, "events").where("user_id % 7 = 0").selectExpr("cast(user_id AS STRING) AS id").distinct()
+    return S.kept_lines(lines, gone).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").startswith("{torn")).alias("torn"))
