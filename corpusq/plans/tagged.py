@@ -1,3 +1,170 @@
+"""Queries: tags and fields read from text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import evaluate, tag, verify
+from ..sources import adapters as A
 from .base import Plan
+from .ranked import LEVELS, REGIONS, _TAGS
+from .searched import _CONTENT
+from .verified import SUFFIX
 
 plan = Plan()
+
+
+def _docs(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+@plan.query("tags", f"SELECT doc_id, {_TAGS('text', REGIONS)} AS tags, {_TAGS('text', REGIONS)}[1] AS first_tag FROM documents")
+def tags(spark, sf_dir):
+    return tag.tagged(_docs(spark, sf_dir), REGIONS).select("doc_id", "tags", "first_tag")
+
+
+_DIM = {"north": ["n1", "both"], "south": ["both", "s1"], "west": ["w1"]}
+_DIM_SQL = "flatten(list_transform(t, lambda x: CASE x WHEN 'north' THEN ['n1', 'both'] WHEN 'south' THEN ['both', 's1'] ELSE ['w1'] END))"
+
+
+@plan.query("checklists", f"WITH t AS (SELECT doc_id, {_TAGS('text', REGIONS)} AS t FROM documents), d AS (SELECT doc_id, list_concat({_DIM_SQL}, ['all']) AS l FROM t), u AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS o FROM d) SELECT doc_id, CASE WHEN list_contains(o, 'w1') THEN list_concat(o, ['Extra!']) ELSE list_concat(o, ['W-1', 'Extra!']) END AS checklist FROM u")
+def checklists(spark, sf_dir):
+    extra = F.array(F.lit("W-1"), F.lit("Extra!"))
+    # "W-1" is plainly "w 1", which is another theme than "w1" unless the dimension is spelled so
+    named = {k: [x.replace("w1", "w 1") for x in v] for k, v in _DIM.items()}
+    d = tag.tagged(_docs(spark, sf_dir), REGIONS)
+    return d.select("doc_id", F.transform(tag.checklist(F.col("tags"), named, ["all"], extra), lambda x: F.when(x == "w 1", "w1").otherwise(x)).alias("checklist"))
+
+
+_AXES = {"first": {"triggers": ["stth"], "variants": LEVELS}, "second": {"triggers": ["ou"], "variants": REGIONS}}
+
+
+@plan.query(
+    "ambiguity",
+    f"WITH d AS (SELECT doc_id, substr(text, 1, 60) AS query, substr(text, 61, 100) AS found FROM documents) SELECT doc_id, CASE WHEN contains(lower(query), 'stth') OR len({_TAGS('found', LEVELS)}) >= 2 THEN 'first' WHEN contains(lower(query), 'ou') OR len({_TAGS('found', REGIONS)}) >= 2 THEN 'second' END AS axis FROM d",
+)
+def ambiguity(spark, sf_dir):
+    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, 60) AS query", "substr(text, 61, 100) AS found")
+    return tag.ambiguity(d, _AXES).select("doc_id", "axis")
+
+
+_NOTES = "CASE event_id % 5 WHEN 0 THEN concat('A ', user_id, '-year-old right-handed woman with left pain, left weakness and right numbness at C5-6 and C6') WHEN 1 THEN 'He has T10 and S1 trouble, midline' WHEN 2 THEN concat('Male, ', user_id, ' yo, L5/S1, bilateral, right') WHEN 3 THEN 'she was seen' ELSE 'no facts' END"
+
+
+@plan.query(
+    "intake",
+    "WITH e AS (SELECT event_id, event_id % 5 AS k, user_id AS u FROM events) SELECT event_id, CAST(CASE WHEN k IN (0, 2) AND u > 0 AND u < 130 THEN u END AS INT) AS age, CASE k WHEN 0 THEN 'F' WHEN 1 THEN 'M' WHEN 2 THEN 'M' WHEN 3 THEN 'F' ELSE '' END AS sex, CASE k WHEN 0 THEN 'left' WHEN 1 THEN 'midline' WHEN 2 THEN 'bilateral' ELSE '' END AS laterality, CASE k WHEN 0 THEN 'C5-6' WHEN 1 THEN 'T10' WHEN 2 THEN 'L5-S1' ELSE '' END AS level FROM e",
+)
+def intake(spark, sf_dir):
+    return tag.intake(A.table(spark, sf_dir, "events").selectExpr("event_id", f"{_NOTES} AS text")).select("event_id", "age", "sex", "laterality", "level")
+
+
+@plan.query("fields_floored", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'floor' END AS side, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS age FROM events")
+def fields_floored(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    given = e.selectExpr("event_id", "CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN '' END AS side", "CASE WHEN event_id % 4 = 0 THEN cast(user_id AS string) END AS age")
+    floor = e.selectExpr("event_id", "'floor' AS side", "CASE WHEN event_id % 2 = 0 THEN user_id END AS age")
+    return tag.floored(given, floor, "event_id", ["side", "age"])
+
+
+@plan.query("records_coerced", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'left' WHEN 2 THEN 'right' ELSE '' END AS side, CASE WHEN event_id % 2 = 0 THEN ['a', 'b c'] ELSE ['x'] END AS history, CASE WHEN event_id % 3 > 0 THEN CAST(user_id AS INT) END AS age FROM events")
+def records_coerced(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "CASE event_id % 4 WHEN 0 THEN ' LEFT ' WHEN 1 THEN 'l' WHEN 2 THEN 'right' ELSE 'up' END AS side", "CASE WHEN event_id % 2 = 0 THEN 'a; b c,' ELSE 'x' END AS history", "CASE WHEN event_id % 3 > 0 THEN cast(user_id AS string) ELSE 'n/a' END AS age")
+    return tag.coerced(e, {"side": {"left": "left", "l": "left", "right": "right"}}, ["history"], ["age"])
+
+
+@plan.query("topics", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN concat(event_type, ' of ', user_id) ELSE 'none' END AS topic, CASE event_id % 3 WHEN 0 THEN ['c'] WHEN 1 THEN []::VARCHAR[] ELSE ['a', 'c'] END AS missing FROM events")
+def topics(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 3 < 2 THEN event_type ELSE ' ' END AS a", "CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat('of  ', user_id) ELSE ' ' END AS b", "CASE WHEN event_id % 3 = 1 THEN 'of' END AS d")
+    e = e.withColumn("c", F.when(F.col("event_id") % 3 == 1, F.lit("x"))).withColumn("a_blank", F.nullif(F.trim("a"), F.lit("")))
+    return e.select("event_id", tag.topic(["a", "b"], "none").alias("topic"), F.transform(tag.missing(["a_blank", "c"], 3), lambda x: F.replace(x, F.lit("a_blank"), F.lit("a"))).alias("missing"))
+
+
+@plan.query("profiles", f"WITH d AS (SELECT doc_id, {_TAGS('substr(text, 1, 20)', REGIONS)}[1] AS a, {_TAGS('substr(text, 21, 60)', REGIONS)}[1] AS b FROM documents) SELECT doc_id, coalesce(a, b, 'generic') AS profile FROM d")
+def profiles(spark, sf_dir):
+    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, 20) AS a", "substr(text, 21, 60) AS b")
+    return d.select("doc_id", tag.profile(["a", "b"], REGIONS).alias("profile"))
+
+
+@plan.query("tokenised", f"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS tokens, len({_CONTENT.format('text')}) AS content, len(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda t: length(t) >= 6 AND regexp_matches(t, '{SUFFIX}')))) AS entities FROM documents")
+def tokenised(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.tokens("text")).alias("tokens"), F.size(T.content_tokens("text")).alias("content"), F.size(verify.entities(F.col("text"), SUFFIX)).alias("entities"))
+
+
+_QSTOP = ", ".join(f"'{w}'" for w in tag.QUESTION_STOP)
+
+
+@plan.query(
+    "coverage_gaps",
+    f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, substr(text, 1, 80) AS q, substr(text, 30) AS a FROM conversations), l AS (SELECT id, lower(a) AS a, string_split(regexp_replace(lower(regexp_replace(q, '^\\s+|\\s+$', '', 'g')), '\\s+(?:and|vs\\.?|versus|or)\\s+|,', chr(1), 'g'), chr(1)) AS l FROM c),
+    k AS (SELECT id, a, list_transform(l, lambda x: list_filter(regexp_extract_all(x, '[a-z0-9-]+'), lambda t: length(t) > 2 AND t NOT IN ({_QSTOP}))) AS t FROM l),
+    g AS (SELECT id, a, list_transform(t, lambda x: list_filter(x, lambda y: length(y) = list_max(list_transform(x, lambda z: length(z))))[1]) AS keys FROM k)
+    SELECT id, list_filter(keys, lambda x: x IS NOT NULL AND NOT contains(a, x)) AS gaps FROM g""",
+)
+def coverage_gaps(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "substr(text, 1, 80) AS q", "substr(text, 30) AS a")
+    return c.select("id", tag.coverage_gaps("q", "a").alias("gaps"))
+
+
+@plan.query(
+    "compound_split",
+    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN [concat('Is it ', user_id, '?'), 'Or not?'] WHEN 1 THEN ['first', concat('second ', user_id)] WHEN 2 THEN ['a', 'b', CAST(user_id AS VARCHAR)] WHEN 3 THEN [concat('The first sentence is long enough to count here ', user_id, ' and so on to be sure.'), 'The second sentence is long enough to count here as well.', 'The third sentence is long enough to count here too, surely so.'] ELSE []::VARCHAR[] END AS parts FROM events",
+)
+def compound_split(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        "CASE event_id % 5 WHEN 0 THEN concat('Is it ', user_id, '? Or not? ') WHEN 1 THEN concat('(1) first; (2) second ', user_id, '.') WHEN 2 THEN concat('a; b;', user_id) WHEN 3 THEN concat('The first sentence is long enough to count here ', user_id, ' and so on to be sure. The second sentence is long enough to count here as well. The third sentence is long enough to count here too, surely so.') ELSE 'Short. One.' END AS t",
+    )
+    return e.select("event_id", tag.split_compound("t").alias("parts"))
+
+
+@plan.query("refusals", "SELECT event_type, count(*) FILTER (event_id % 4 < 2) AS refused FROM events GROUP BY event_type")
+def refusals(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("event_type", "CASE event_id % 4 WHEN 0 THEN ' Not  found. ' WHEN 1 THEN ' ' WHEN 2 THEN 'Not found, but see' ELSE 'found' END AS answer")
+    return e.groupBy("event_type").agg(F.count_if(tag.is_refusal("answer", "not found.")).alias("refused"))
+
+
+@plan.query("replies_parsed", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS label, CASE WHEN event_id % 3 > 0 THEN CAST(user_id AS INT) END AS n FROM events")
+def replies_parsed(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "CASE event_id % 3 WHEN 0 THEN 'no json here' WHEN 1 THEN concat('```json', chr(10), to_json(named_struct('label', event_type, 'n', user_id)), chr(10), '```') ELSE concat('Sure: ', to_json(named_struct('label', event_type, 'n', user_id)), ' done') END AS reply")
+    return tag.replies(e, "label string, n int").select("event_id", "parsed.label", "parsed.n")
+
+
+@plan.query("lines_parsed", "SELECT event_id, [concat('T', user_id % 3), 'L2'] AS refs, event_type AS kind, CAST(user_id AS VARCHAR) AS dose FROM events")
+def lines_parsed(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "concat('Kind: ', event_type, ' ', chr(10), 'dose:', user_id, chr(10), 'plain line', chr(10), 'kind: later') AS f", "concat('x [T', user_id % 3, '] y [L2] [T', user_id % 3, '] [9]') AS r")
+    return e.select("event_id", tag.refs("r").alias("refs"), tag.fields("f").alias("m")).select("event_id", "refs", F.col("m")["kind"].alias("kind"), F.col("m")["dose"].alias("dose"))
+
+
+@plan.query("cards_coerced", "SELECT event_type, count(*) FILTER (event_id % 6 > 0 AND user_id % 3 > 0) AS kept, count(*) FILTER (NOT (event_id % 6 > 0 AND user_id % 3 > 0)) AS dropped FROM events GROUP BY event_type")
+def cards_coerced(spark, sf_dir):
+    c = A.table(spark, sf_dir, "events").selectExpr("event_type", "user_id % 3 AS slot", "CASE WHEN event_id % 6 > 0 THEN 'q' ELSE ' ' END AS question")
+    ok, rest = tag.coerced_cards(c, spark.range(1, 3).withColumnRenamed("id", "slot"), ["slot"])
+    return ok.withColumn("k", F.lit(1)).unionByName(rest.withColumn("k", F.lit(0))).groupBy("event_type").agg(F.sum("k").alias("kept"), F.sum(1 - F.col("k")).alias("dropped"))
+
+
+@plan.query("sections_backfilled", "WITH c AS (SELECT user_id % 30 AS board, event_type AS section, 'own' AS origin FROM events WHERE user_id % 4 = 0), s AS (SELECT DISTINCT user_id % 30 AS board, event_type AS section, 'scaffold' AS origin FROM events) SELECT board, section, origin, count(*) AS n FROM (SELECT * FROM c UNION ALL SELECT s.* FROM s ANTI JOIN c USING (board, section)) GROUP BY ALL")
+def sections_backfilled(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("user_id", "user_id % 30 AS board", "event_type AS section")
+    own = e.where("user_id % 4 = 0").select("board", "section", F.lit("own").alias("origin"))
+    scaffold = e.select("board", "section", F.lit("scaffold").alias("origin")).distinct()
+    return tag.backfilled(own, scaffold, ["board", "section"]).groupBy("board", "section", "origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan.query("cards_pruned", f"WITH d AS (SELECT doc_id, substr(text, 1, 60) AS text, substr(text, 61, 60) AS topic FROM documents) SELECT doc_id FROM d WHERE len(list_filter({_TAGS('text', REGIONS)}, lambda x: NOT list_contains({_TAGS('topic', REGIONS)}, x))) = 0")
+def cards_pruned(spark, sf_dir):
+    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, 60) AS text", "substr(text, 61, 60) AS topic")
+    return tag.pruned(d, REGIONS).select("doc_id")
+
+
+@plan.query("declarative_lines", "WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id % 3 AS k, text AS t FROM conversations) SELECT id, md5(CASE k WHEN 0 THEN concat('A fact.', chr(10), '   kept reason') WHEN 1 THEN 'Then.' ELSE 'One' END) AS said_md5 FROM c")
+def declarative_lines(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "CASE conv_id % 3 WHEN 0 THEN concat('A fact.', chr(10), '   kept reason') WHEN 1 THEN concat('Why? ', chr(10), '   since so', chr(10), 'Then.') ELSE concat('One', chr(10), 'Two?') END AS t")
+    return c.select("id", F.md5(evaluate.declarative("t").cast("binary")).alias("said_md5"))
+
+
+@plan.query("slugs", "SELECT event_id, concat(event_type, '-', user_id, '-b') AS slug, CASE WHEN user_id % 2 = 0 THEN concat(event_type, ' ', user_id, ' focus') END AS query FROM events")
+def slugs(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "user_id", "concat(' ', upper(event_type), ' // ', user_id, ' (b)!') AS t", "CASE WHEN user_id % 2 = 0 THEN 'plan' ELSE 'intro' END AS section")
+    return e.select("event_id", tag.slug("t").alias("slug"), tag.search_text(["event_type", "user_id"], {"plan": "focus"}).alias("query"))
