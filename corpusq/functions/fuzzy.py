@@ -5,9 +5,10 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def common_run(quote: pd.Series, text: pd.Series) -> pd.Series:
     """Length of the longest common run, as the standard library finds it, over the quote's length."""
     return pd.Series([difflib.SequenceMatcher(None, q, t).find_longest_match(0, len(q), 0, len(t)).size / len(q) if q else 0.0 for q, t in zip(quote, text, strict=True)], dtype="float64")

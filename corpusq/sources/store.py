@@ -60,9 +60,10 @@ def undone(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def id_range(manifest: DataFrame, start, end, key: str = "id", order: str = "ord") -> DataFrame:
     """S11. The enabled items from one id to another, both included, in the manifest's order; an unknown id is an error."""
+    unknown = F.raise_error(F.lit("unknown id")).cast(manifest.schema[order].dataType)
     at = manifest.agg(*[F.max(F.when(F.col(key) == x, F.col(order))).alias(n) for n, x in (("a", start), ("z", end))])
-    known = F.when(F.col("a").isNull() | F.col("z").isNull(), F.raise_error(F.lit("unknown id"))).otherwise(True)
-    return manifest.crossJoin(at).where(known & F.col("enabled") & (F.col(order) >= F.col("a")) & (F.col(order) <= F.col("z"))).drop("a", "z")
+    at = at.select(F.coalesce("a", unknown).alias("a"), F.coalesce("z", unknown).alias("z"))
+    return manifest.where("enabled").crossJoin(at).where((F.col(order) >= F.col("a")) & (F.col(order) <= F.col("z"))).drop("a", "z")
 
 
 def captions_applied(figures: DataFrame, checkpoint: DataFrame) -> DataFrame:
