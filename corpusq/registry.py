@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import compiled, evaluated, pages, ranked, searched, stored, streamed, tagged, verified
+from .plans import compiled, evaluated, pages, ranked, searched, stored, streamed, structured, tagged, verified
 
-PLANS = [pages.plan, searched.plan, ranked.plan, tagged.plan, verified.plan, compiled.plan, evaluated.plan, stored.plan, streamed.plan]
+PLANS = [pages.plan, searched.plan, ranked.plan, tagged.plan, verified.plan, compiled.plan, evaluated.plan, stored.plan, structured.plan, streamed.plan]
 
 
 def queries() -> dict:
