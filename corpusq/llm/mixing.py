@@ -143,5 +143,5 @@ def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     share = taken.where("size > 0").groupBy(F.col("doc_id").alias(key), F.col("size").alias(key + "s")).agg(exact.alias(key + "x"))
     draw = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
     copies = stage(share.select(key, key + "s", F.floor(F.col(key + "x") + draw).cast("int").alias(n)).where(F.col(n) > 0), "mix-copies")
-    joined = docs.withColumn(key + "w", n_words(F.col("text"))).join(copies, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(key + "w") == F.col(key + "s")))
+    joined = docs.withColumn(key + "w", n_words(F.col("text"))).join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(key + "w") == F.col(key + "s")))
     return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

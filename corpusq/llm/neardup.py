@@ -172,7 +172,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHIN
     # Parts of about TILE classes each, and a tile for every pair of parts.
     sizes = stage(family.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")), "family-sizes")
     member = family.join(sizes, F.col("family") == F.col("f")).select("member", "family", "parts", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
-    texts = docs.join(family.select("member"), F.col("doc_id") == F.col("member"), "left_semi")
+    texts = docs.join(family.select("member").hint("merge"), F.col("doc_id") == F.col("member"), "left_semi")
     own = stage(sets(texts, length).select("doc_id", F.col("key").alias("set_key"), "shingles"), "sets")
     full = classes.join(member, F.col("rep") == F.col("member")).join(own, (F.col("rep") == F.col("doc_id")) & (F.col("key") == F.col("set_key"))).select("rep", "key", "n", "signature", "bands", "shingles", "family", "part", "parts")
     tiled = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
@@ -187,9 +187,11 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHIN
 
 def unique(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE) -> DataFrame:
     """One document of each group, with its columns; of rows with its id, one."""
-    marks = stage(deduplicated(docs, threshold, length).where("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    rows = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("_id")
-    kept = docs.join(marks, F.col("doc_id") == marks["_kept"], "left_semi")
-    again = stage(rows, "repeated")
-    once = kept.join(again, F.col("doc_id") == again["_id"], "left_anti")
-    return once.unionByName(kept.join(again, F.col("doc_id") == again["_id"], "left_semi").dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
+    # Texts move once, by id, whatever the number of ids: a merge join at every size.
+    marks = stage(deduplicated(docs, threshold, length).where("kept").select(F.col("doc_id").alias("_kept")), "kept").hint("merge")
+    kept = docs.join(marks, docs["doc_id"] == marks["_kept"], "left_semi").unionByName(docs.where("doc_id is null"))
+    again = stage(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 and _id is not null").select("_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept["doc_id"] == again["_id"], "left_anti")
+    return once.unionByName(kept.join(again, kept["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id"]))
