@@ -8,9 +8,10 @@ leaf of every tree.
 
 A query goes through all trees with one priority queue: the branch whose cuts lie nearest comes next, and its leaf is
 taken, until the leaves taken hold SHARE of the points of all trees. In unstructured vectors the nearest lie little
-nearer than others and no index prunes much: SHARE is for those. Leaves and the queries that come there meet in tiles of
-a leaf's block of at most POINTS points and of about QUERIES queries; each keeps its best k + 1, with scores
-computed from the original vectors in double precision.
+nearer than others and no index prunes much: SHARE is for those. Leaves and the queries that come there meet in a pass over
+rows in order of leaf: of about QUERIES queries, a tree, and one of its groups of leaves (of about GROUP points), a task
+keeps each query's best k + 1 so far, and only these leave it. It holds those and one leaf's queries, and points go by in
+batches. Scores are computed from the original vectors in double precision.
 
 Only the cuts and the leaves' sizes are sent to all tasks: at most TREES * 2^DEPTH of either.
 
@@ -24,7 +25,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,7 +35,7 @@ from .common import stage
 TREES, LEAF, DEPTH = 4, 512, 11
 SAMPLE = 20_000
 SHARE = 0.65
-POINTS, QUERIES = 4096, 2048
+QUERIES, GROUP, LEAST_GROUPS = 2048, 1 << 20, 8
 K = 20
 
 
@@ -98,25 +98,55 @@ def usable(vectors: DataFrame) -> DataFrame:
     return x.where(F.size("embedding") == (size[0][0] if size else 0))
 
 
-def _tile(k: int):
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        """Of each query of the tile its k + 1 best points."""
-        points, queries = frame[~frame["query"]], frame[frame["query"]]
-        if not len(points) or not len(queries):
-            return pd.DataFrame({"q": [], "rep": [], "score": []}).astype({"q": "int64", "rep": "int64"})
-        x = np.stack(points["vector"].to_numpy()).astype(np.float64)
-        q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-        ids, own = points["id"].to_numpy(), queries["id"].to_numpy()
-        out = []
-        n = min(k + 1, len(x))
-        for i in range(0, len(q), 256):
-            near = np.argpartition(-(q[i : i + 256] @ x.T), n - 1, axis=1)[:, :n]
-            # the same sum for the same two vectors, whatever stands around them
-            score = (x[near] * q[i : i + 256][:, None, :]).sum(2)
-            out.append(pd.DataFrame({"q": np.repeat(own[i : i + 256], n), "rep": ids[near].ravel(), "score": score.ravel()}))
-        return pd.concat(out)
+def _passing(k: int):
+    """Keeps each query's best k + 1 of the points that go by; rows come by (block, tree, part, leaf), queries first."""
 
-    return best
+    def run(frames):
+        group = leaf = q = None
+        own: list[int] = []
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def best():
+            sizes = [len(s) for s, _ in kept.values()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.fromiter(kept, np.int64, len(kept)), sizes)), pa.array(np.concatenate([r for _, r in kept.values()])), pa.array(np.concatenate([s for s, _ in kept.values()]))], ["q", "rep", "score"]
+            )
+
+        for batch in frames:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "tree", "part", "leaf", "query")])
+            ids, vectors = batch.column("id").to_numpy(), _stack(batch.column("vector"))
+            cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()
+            for a, z in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                if group != tuple(keys[a, :3]):
+                    if kept:
+                        yield best()
+                    group, leaf, kept = tuple(keys[a, :3]), None, {}
+                if leaf != keys[a, 3]:
+                    leaf, own, q = keys[a, 3], [], None
+                if keys[a, 4]:
+                    own += ids[a:z].tolist()
+                    q = vectors[a:z] if q is None else np.vstack([q, vectors[a:z]])
+                    continue
+                x, points = vectors[a:z], ids[a:z]
+                n = min(k + 1, len(x))
+                for i in range(0, len(own), 256):
+                    near = np.argpartition(-(q[i : i + 256] @ x.T), n - 1, axis=1)[:, :n]
+                    # the same sum for the same two vectors, whatever stands around them
+                    score = (x[near] * q[i : i + 256][:, None, :]).sum(2)
+                    for j, query in enumerate(own[i : i + 256]):
+                        s, r = score[j], points[near[j]]
+                        if query in kept:
+                            s, r = np.concatenate([kept[query][0], s]), np.concatenate([kept[query][1], r])
+                            if len(s) > k + 1:
+                                top = np.argpartition(-s, k)[: k + 1]
+                                s, r = s[top], r[top]
+                        kept[query] = (s, r)
+        if kept:
+            yield best()
+
+    return run
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, share: float = SHARE, trees: int = TREES, leaf: int = LEAF, seed: int = 0) -> DataFrame:
@@ -157,12 +187,16 @@ def nearest(vectors: DataFrame, is_query, k: int = K, share: float = SHARE, tree
             taken = [held.value.visit(x, sizes, share) for x in q]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("embedding"), pa.array([[{"tree": t, "leaf": node} for t, node in v] for v in taken], pa.list_(pa.struct([("tree", pa.int64()), ("leaf", pa.int64())])))], ["id", "embedding", "taken"])
 
+    if not n_queries:
+        return spark.createDataFrame([], schema)
     blocks = -(-n_queries // QUERIES)
-    per_leaf = int(sizes.max() + POINTS - 1) // POINTS
+    groups = max(LEAST_GROUPS, -(-n // GROUP))
+    part = F.pmod(F.xxhash64("tree", "leaf"), F.lit(groups))
     visits = asked.select(F.col("q").alias("id"), "embedding").groupBy("id").agg(F.first("embedding").alias("embedding")).mapInArrow(go, f"id long, embedding {element}, taken array<struct<tree:long,leaf:long>>")
-    queries = visits.withColumn("t", F.explode("taken")).select("t.tree", "t.leaf", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(per_leaf - 1))).alias("part"), F.lit(True).alias("query"), "id", F.col("embedding").alias("vector"))
-    stored = index.select(F.col("tree").cast("long").alias("tree"), "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("rep"), F.lit(per_leaf)).cast("int").alias("part"), F.lit(False).alias("query"), F.col("rep").alias("id"), F.col("embedding").alias("vector"))
-    scored = queries.unionByName(stored).groupBy("tree", "leaf", "block", "part").applyInPandas(_tile(k), "q long, rep long, score double")
+    queries = visits.withColumn("t", F.explode("taken")).select("t.tree", "t.leaf", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(True).alias("query"), "id", F.col("embedding").alias("vector"))
+    stored = index.select(F.col("tree").cast("long").alias("tree"), "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(False).alias("query"), F.col("rep").alias("id"), F.col("embedding").alias("vector"))
+    in_order = queries.unionByName(stored).withColumn("part", part).repartition("block", "tree", "part").sortWithinPartitions("block", "tree", "part", "leaf", F.desc("query"))
+    scored = in_order.mapInArrow(_passing(k), "q long, rep long, score double")
 
     best = W.partitionBy("q").orderBy(F.desc("score"), "rep")
     top = scored.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
