@@ -13,7 +13,7 @@ Words are compared by 64-bit hashes of their bytes.
 
 Defined cases: null or empty text has no words, no hits, and is not contaminated; items without words give no pattern;
 rows of one item id make one item, a null id is the empty string; repeated documents are judged each by itself; an empty
-benchmark finds nothing; columns other than those named are ignored (flagged() returns them as they are).
+benchmark finds nothing; columns other than those named are ignored (clean() returns them as they are).
 """
 
 from __future__ import annotations

@@ -49,7 +49,7 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
     listed = stage(
         listed.where("host is not null").groupBy(F.concat(F.col("host"), F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("path_length")).agg(F.min("verdict").alias("rule_verdict")).select("key", "path_length", "rule_verdict"), "url-list"
     )
-    lengths = [r[0] for r in listed.select("path_length").distinct().orderBy("path_length").limit(10_000).collect()]  # of paths, not of lists
+    lengths = [r[0] for r in listed.select("path_length").distinct().orderBy("path_length").collect()]  # no more than the longest path has letters
     if not lengths:
         lengths = [0]
     blocks = max(1, min(MAX_BLOCKS, -(-listed.count() // KEYS_PER_BLOCK)))
