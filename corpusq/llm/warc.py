@@ -115,7 +115,8 @@ def reachable(links: DataFrame) -> DataFrame:
     jump = stage(links.select("file", "at", "next"), "jumps")
     reached = stage(jump.where("at = 0").select("file", "at"), "reached")
     while not jump.isEmpty():
-        to = jump.select(F.col("file").alias("f"), F.col("at").alias("a"), F.col("next").alias("then"))
+        # Paths compress so well that Spark takes these tables for small and would broadcast them.
+        to = jump.select(F.col("file").alias("f"), F.col("at").alias("a"), F.col("next").alias("then")).hint("merge")
         new = reached.join(to, F.expr("file = f and at = a")).select("file", F.col("then").alias("at"))
         reached = stage(reached.unionByName(new), "reached")
         jump = stage(jump.join(to, F.expr("file = f and next = a")).select("file", "at", F.col("then").alias("next")), "jumps")
@@ -147,7 +148,7 @@ def read(spark, path: str) -> DataFrame:
     at = F.col("start") + F.col("at") - len(VERSION)
     placed = stage(pieces.join(starts, ["file", "block"]).withColumn("at", at).where("at >= 0").drop("start"), "warc-placed")
     found = stage(reachable(placed.where("length is not null").select("file", "at", (F.col("at") + F.col("length")).alias("next"))), "warc-records")
-    records = placed.join(found, ["file", "at"], "left_semi").where("length is not null")
+    records = placed.join(found.hint("merge"), ["file", "at"], "left_semi").where("length is not null")
     columns = ["file", "at", "type", "id", "url", "digest", "refers"]
     whole = records.where("own_digest is not null").select(*columns, F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"))
     cut = stage(records.where("own_digest is null").select(*columns, "length"), "warc-cut")
