@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, neardup, tokens, toxicity, urls, warc
+from . import ann, decontaminate, langid, lm, mixing, neardup, tokens, toxicity, urls, warc
 from .common import ready, table, tokenizer_path
 
 #: The rules that op8 judges by: host, path, verdict.
@@ -20,6 +20,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.written_and_read(table(spark, sf_dir, "pages"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_tokens": op6_tokens, "op7_near_duplicates": op7_near_duplicates, "op8_url_filter": op8_url_filter, "op9_nearest": op9_nearest, "op10_language": op10_language}
+QUERIES = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_lm_score": op3_lm_score, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_tokens": op6_tokens, "op7_near_duplicates": op7_near_duplicates, "op8_url_filter": op8_url_filter, "op9_nearest": op9_nearest, "op10_language": op10_language}
 
 ORACLE_SQL = {
     "op2_warc": """
