@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once. A longer document is taken whole, by itself.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
+#: Size of the batches that Spark hands to a task's Python, so that its memory does not grow with the length of texts.
+ARROW_BYTES = "8m"
 #: The share of documents that models learn from is those with a remainder other than 0.
 FOLDS = 5
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package; on a cluster, ship it with --py-files."""
+    """Let Python workers of a local session import this package (on a cluster, ship it with --py-files), and bound the
+    batches that they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -36,7 +36,7 @@ END_ID = 0
 #: Ids in a segment, as near as whole documents allow.
 SEGMENT_IDS = 1 << 18
 #: Distinct parts of texts whose ids a worker remembers, at about 40 bytes each.
-MOST_PIECES = 2_000_000
+MOST_PIECES = 1_500_000
 
 
 # --- directly addressable codes -----------------------------------------------------------------------------------------
