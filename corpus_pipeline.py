@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all that the stage before has
 rows with the columns of documents:
 
 language      documents whose language cannot be told go: no letter, or a profile unlike every language's
-near-dedup    of each group of near duplicates, the document with the smallest id stays
+near-dedup    of each group of near duplicates (similarity of five-word shingles NEAR per cent or more), the document with
+              the smallest id stays
 decontaminate documents that benchmark passages make up a twentieth of go
 mix           documents are dropped and repeated so that sources come near their target weights
 tokens        token ids are written to binary files; the rows tell where each document stands
@@ -20,6 +21,8 @@ from corpusq.llm.common import held_out, ready, stage, table, tokenizer_path
 
 #: A document less like every language than this has no language. Short texts of a language score 0.1 and more.
 LEAST_SCORE = 0.05
+#: Near duplicates share this per cent of their shingles, or more.
+NEAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    return neardup.unique(docs)
+    return neardup.unique(docs, threshold=NEAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near duplicates by b-bit MinHash.
 
 A document's set holds the 64-bit hashes of its distinct 5-word shingles (of fewer words, their sequence as one). Documents
-with equal sets are one class, linked outright. Each class has ROWS * BANDS minima; a band hashes ROWS of them, and
+with equal sets are one class, linked outright. Each class has rows * bands minima (see layout); a band hashes `rows` of them, and
 classes that share a band are candidates. Of every minimum only the low BITS bits are kept, packed into a signature:
 counting equal ones and correcting for those equal by chance estimates the similarity of a candidate pair, and
 pairs far below the threshold go no further. The rest are compared on their full sets.
@@ -35,11 +35,23 @@ SHINGLE = 5
 ROWS, BANDS, BITS = 8, 32, 2
 #: Per cent.
 THRESHOLD = 85
+#: From this threshold on, so many minima in a band and bands: at it, a pair shares none with probability 4e-5 (8, 32) and
+#: 1.3e-5 (7, 48).
+LAYOUTS = {THRESHOLD: (ROWS, BANDS), 80: (7, 48)}
 #: Estimates this far below the threshold (about five standard deviations) rule a pair out.
 MARGIN = 0.13
 TILE = 64
-_A, _B = (randoms(ROWS * BANDS, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (randoms(ROWS * BANDS, 22) >> np.uint64(32)).astype(np.uint32)
-_C, _D = randoms(ROWS * BANDS, 23), randoms(64, 24)
+_MOST = max(rows * bands for rows, bands in LAYOUTS.values())
+_A, _B = (randoms(_MOST, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (randoms(_MOST, 22) >> np.uint64(32)).astype(np.uint32)
+_C, _D = randoms(_MOST, 23), randoms(64, 24)
+
+
+def layout(threshold: int) -> tuple[int, int]:
+    """Minima in a band, and bands, that miss hardly a pair of that similarity."""
+    for least, found in sorted(LAYOUTS.items(), reverse=True):
+        if threshold >= least:
+            return found
+    raise ValueError(f"no bands for a threshold of {threshold}")
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +77,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE) -> tu
 FEATURES = "doc_id long, n long, key binary, signature binary, bands array<long>"
 
 
-def features(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
+def features(docs: DataFrame, length: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, text) to the size of each set, its 128-bit hash, its signature and its bands; null if empty."""
+    n_minima, n_bands, mixed = rows * bands, bands, _C[: rows * bands]
 
     def run(frames):
         for batch, data, offsets in batches(frames):
@@ -76,20 +89,20 @@ def features(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
                 own = np.unique(every[ends[k] : ends[k + 1]])
                 n[k], keys[k] = len(own), xxhash.xxh3_128_digest(own.tobytes())
             some = np.flatnonzero(n)
-            signatures, bands = [None] * batch.num_rows, [None] * batch.num_rows
+            signatures, found = [None] * batch.num_rows, [None] * batch.num_rows
             if len(some):
                 short, starts = (every >> np.uint64(32)).astype(np.uint32), ends[:-1][some]
-                minima = np.empty((ROWS * BANDS, len(some)), np.uint32)
-                for i in range(ROWS * BANDS):
+                minima = np.empty((n_minima, len(some)), np.uint32)
+                for i in range(n_minima):
                     minima[i] = np.minimum.reduceat(short * _A[i] + _B[i], starts)
-                spread = mix(minima.astype(np.uint64) * _C[:, None] + _C[::-1, None])
+                spread = mix(minima.astype(np.uint64) * mixed[:, None] + mixed[::-1, None])
                 low = (spread >> np.uint64(64 - BITS)).astype(np.uint8).T
                 bits = np.stack([low >> i & 1 for i in range(BITS)], 1)  # one plane for each bit
                 packed = np.packbits(bits.reshape(len(some), -1), axis=1)
-                band = mix(spread.reshape(BANDS, ROWS, -1).sum(1, dtype=np.uint64) + _C[:BANDS, None]).view(np.int64).T
+                band = mix(spread.reshape(n_bands, rows, -1).sum(1, dtype=np.uint64) + mixed[:n_bands, None]).view(np.int64).T
                 for k, s, b in zip(some.tolist(), packed, band, strict=True):
-                    signatures[k], bands[k] = s.tobytes(), b
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "key", "signature", "bands"])
+                    signatures[k], found[k] = s.tobytes(), b
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n", "key", "signature", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FEATURES)
 
@@ -111,7 +124,7 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     planes = np.bitwise_xor(x[:, None, :], y[None, :, :]).reshape(len(x), len(y), BITS, -1)
     differ = np.bitwise_count(np.bitwise_or.reduce(planes, axis=2)).sum(-1, dtype=np.int64)
     chance = 1 / 2**BITS
-    return (1 - differ / (ROWS * BANDS) - chance) / (1 - chance)
+    return (1 - differ / (x.shape[1] * 8 // BITS) - chance) / (1 - chance)
 
 
 def _tile(threshold: int):
@@ -159,7 +172,7 @@ def _tile(threshold: int):
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE) -> DataFrame:
     """(doc_id, text) to one row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stage(features(docs, length), "features")
+    found = stage(features(docs, length, *layout(threshold)), "features")
     classes = stage(found.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("bands", "doc_id").alias("bands")), "classes")
 
     # Families: classes that share a band, each linked with the first of its band.
