@@ -374,17 +374,43 @@ def test_nearest(spark):
     rows += [(300 + i, rows[20][1]) for i in range(60)] + [rows[3], rows[40]]
     rows += [(900, None), (901, []), (902, [0.0] * 8), (903, [1.0] * 7 + [None]), (904, [float("nan")] * 8), (905, [float("inf")] + [1.0] * 7), (920, [1.0] * 5), (None, [1.0] * 8)]
     df = table(spark, [(*r, 1) for r in rows], "vec_id long, embedding array<float>, rep int")
-    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, recall=1.0).collect())
     assert got == brute_nearest(rows, 20)
     # cut finely, the forest still finds nine tenths
-    out = ann.nearest(df, F.col("vec_id") % 20 == 0, trees=3, leaf=16, share=0.5).collect()
     pairs = {(q, v) for q, _, v, _ in brute_nearest(rows, 20)}
-    assert len(pairs & {(r.query_id, r.vec_id) for r in out}) >= 0.9 * len(pairs)
+    for options in ({"trees": 3, "leaf": 16}, {"leaf": 16, "group_points": 7}):  # and leaves larger than a group
+        out = ann.nearest(df, F.col("vec_id") % 20 == 0, recall=0.95, **options).collect()
+        assert len(pairs & {(r.query_id, r.vec_id) for r in out}) >= 0.9 * len(pairs)
     few = df.where("vec_id in (0, 1, 2)")
     assert ann.nearest(few, F.col("vec_id") % 20 == 0).count() == 2
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_breaks_ties_by_id(spark):
+    # one-hot and other small vectors: hundreds of different ones with equal scores
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.integers(0, 2, 8)]) for i in rng.permutation(600)]
+    df = table(spark, rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, recall=1.0, leaf=16).collect())
+    assert got == brute_nearest(rows, 20)
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_nearest_finds_nine_tenths_with_fewer_scores_than_rows(spark, folder):
+    t = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in t.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    found = {(r.query_id, r.vec_id) for r in queries.op9_nearest(spark, f"/root/testdata/{folder}").collect()}
+    right = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        near = np.argsort(-score)[:20]
+        total += len(near)
+        right += sum((ids[q], ids[j]) in found for j in near)
+    assert right >= 0.9 * total
+
+
 # --- 10 language -------------------------------------------------------------------------------------------------------
 
 
