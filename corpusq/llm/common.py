@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,15 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder in spark.checkpoint.dir, or the one that setCheckpointDir was given. Where both are unset, a local session
+    (tests) gets a new one; on a cluster that is an error, since executors could not see it."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
             return held.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-corpusq-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -121,29 +126,55 @@ def randoms(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-_BYTES = randoms(256, 11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Word bytes after A-Z are lowered: all but white space; or digits, a-z and everything beyond ASCII.
 NOT_SPACE = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 ALNUM = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, BATCH_BYTES + 1)
-        for name, by in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, by, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_SEED = 0xD1B54A32D192ED03
+_PART = (np.uint64(1) << np.arange(64, dtype=np.uint64)[::8]) - np.uint64(1)  # of eight bytes, the first 0 to 7
+
+
+def run_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes: eight bytes at a time, scrambled after each; words of one length of up to eight bytes
+    never collide, others only by chance."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = last - first
+    out = mix(size.astype(np.uint64) + np.uint64(_SEED))
+    rest = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = size[rest] - k
+        chunk = eight[first[rest] + k]
+        short = left < 8
+        chunk[short] &= _PART[left[short]]
+        out[rest] = mix(out[rest] ^ chunk)
+        rest = rest[left > 8]
+        if not len(rest):
+            break
+    for k in np.flatnonzero(size > LONG):
+        out[k] = xxhash.xxh3_64_intdigest(data[first[k] : last[k]].tobytes(), _SEED)
+    return out
+
+
+def same_runs(x: np.ndarray, x_first: np.ndarray, y: np.ndarray, y_first: np.ndarray, size: np.ndarray, most: int = BATCH_BYTES) -> np.ndarray:
+    """Of pairs of runs of bytes of one size (at least 1): whether they are equal, byte by byte."""
+    out = np.ones(len(size), bool)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for i, j in slices(ends, most):
+        place = np.arange(ends[i], ends[j])
+        back = np.repeat(ends[i:j], size[i:j])
+        equal = x[place - back + np.repeat(x_first[i:j], size[i:j])] == y[place - back + np.repeat(y_first[i:j], size[i:j])]
+        out[i:j] = np.logical_and.reduceat(equal, ends[i:j] - ends[i])
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, byte after the last) of every word, and each row's first word (n + 1 offsets).
-    A word is a run of word_bytes (after lowering A-Z); its hash is 64 bits of its bytes alone."""
+    A word is a run of word_bytes (after lowering A-Z); its hash depends on its bytes alone. Hashes may collide by chance:
+    where equality decides a result, bytes are compared as well."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
@@ -155,7 +186,4 @@ def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower:
     cut[offsets] = True
     first = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     last = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    up, down = _power(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[low] * up[:n], out=sums[1:])
-    return mix((sums[last] - sums[first]) * down[first]), first, last, np.searchsorted(first, offsets)
+    return run_hashes(low, first, last), first, last, np.searchsorted(first, offsets)

@@ -3,17 +3,17 @@
 A test string is a window of `window` consecutive words of a benchmark item; an item of fewer words, but not none, is
 one. Strings of one length form a set of patterns. A set's shift table tells, for each block of two words that occurs
 in some pattern, how far the search may advance; any other block lets it skip nearly a whole pattern. Where the shift is
-0, the hash of the block selects a bucket of patterns that end in it, and comparing all words confirms an occurrence.
-Many stretches of text are searched in step, so that each step is a few array operations.
+0, the hash of the block selects a bucket of patterns that end in it; all words are compared by hash, and then the bytes of
+the stretch with those of the pattern, which confirms an occurrence. Many stretches of text are searched in step, so that each step is a few array operations.
 
 Documents are never shuffled: every pass is a map over rows. Patterns are sent to all tasks in parts of at most
-PART_BYTES of benchmark text; a larger benchmark takes more passes, each adding its hits to the row.
-
-Words are compared by 64-bit hashes of their bytes.
+PART_BYTES of benchmark text, or one item; the benchmark's size is measured first. A larger benchmark takes more passes, each
+adding its hits to the row; rows are written between passes, so only one part is held at a time.
 
 Defined cases: null or empty text has no words, no hits, and is not contaminated; items without words give no pattern;
-rows of one item id make one item, a null id is the empty string; repeated documents are judged each by itself; an empty
-benchmark finds nothing; columns other than those named are ignored (clean() returns them as they are).
+rows of one item id make one item, a null id is the empty string; rows with equal ids and texts, and with a null id, are
+judged each by itself and all returned; a very long text is searched whole, by itself, in memory of a few times its size; an
+empty benchmark finds nothing; columns other than those named are ignored (clean() returns them as they are).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, BATCH_BYTES, randoms, slices, strings, words
+from .common import _LOWER, ALNUM, BATCH_BYTES, randoms, slices, stage, strings, words
 
 WINDOW = 13
 #: Benchmark text that is sent to all tasks at once.
@@ -37,11 +37,12 @@ _MULTIPLIERS = randoms(1 << 12, 5)
 class Patterns:
     """Word patterns of one length: shift table, suffix buckets, and the items of each pattern."""
 
-    def __init__(self, length: int, found: dict[bytes, set[int]]):
+    def __init__(self, length: int, found: dict[bytes, tuple[bytes, set[int]]]):
+        """found: a pattern's text (words with a space between) to the hashes of its words and its items."""
         self.length, self.block = length, min(2, length)
-        keys = sorted(found)
-        self.words = np.frombuffer(b"".join(keys), np.uint64).reshape(len(keys), length)
-        self.items = [sorted(found[k]) for k in keys]
+        self.texts = keys = sorted(found)
+        self.words = np.frombuffer(b"".join(found[k][0] for k in keys), np.uint64).reshape(len(keys), length)
+        self.items = [sorted(found[k][1]) for k in keys]
         blocks = self.blocks(self.words.ravel())  # those that straddle two patterns are never looked at
         self.most = length - self.block + 1
         at = np.arange(self.most)
@@ -61,8 +62,9 @@ class Patterns:
             return hashes
         return hashes[:-1] * _MULTIPLIERS[0] + hashes[1:] * _MULTIPLIERS[1]
 
-    def search(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, pattern) of all occurrences; rows: first words of the rows, n + 1 offsets."""
+    def search(self, hashes: np.ndarray, rows: np.ndarray, text) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, pattern) of all occurrences; rows: first words of the rows, n + 1 offsets; text(a, z): the words from a
+        to z with a space between."""
         none = np.zeros(0, np.int64)
         if len(hashes) < self.length or not len(self.words):
             return none, none
@@ -88,41 +90,56 @@ class Patterns:
                 same = np.ones(len(start), bool)
                 for i in range(self.length):
                     same &= hashes[start + i] == self.words[pattern, i]
-                found.append(start[same])
-                which.append(pattern[same])
+                start, pattern = start[same], pattern[same]
+                equal = np.array([text(a, a + self.length) == self.texts[p] for a, p in zip(start.tolist(), pattern.tolist(), strict=True)], bool)
+                found.append(start[equal])
+                which.append(pattern[equal])
             at = at + np.maximum(shift, 1)
             going = at < end
             at, end = at[going], end[going]
         return (np.concatenate(found), np.concatenate(which)) if found else (none, none)
 
 
+def _joined(data: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """The words from one to another, lowered, with a space between."""
+    raw, first, last = _LOWER[data].tobytes(), first.tolist(), last.tolist()
+    return lambda a, z: b" ".join([raw[first[k] : last[k]] for k in range(a, z)])
+
+
 def patterns(items: list[tuple[str, str]], window: int) -> tuple[list[Patterns], list[str]]:
     """Pattern sets by length, and the item ids."""
     ids = sorted({i for i, _ in items})
     number = {x: k for k, x in enumerate(ids)}
-    by_length: dict[int, dict[bytes, set[int]]] = {}
-    text = pa.array([t for _, t in items], pa.string())
-    hashes, _, _, rows = words(*strings(text), ALNUM)
-    for (item, _), a, z in zip(items, rows[:-1], rows[1:], strict=True):
+    by_length: dict[int, dict[bytes, tuple[bytes, set[int]]]] = {}
+    data, offsets = strings(pa.array([t for _, t in items], pa.string()))
+    hashes, first, last, rows = words(data, offsets, ALNUM)
+    text = _joined(data, first, last)
+    for (item, _), a, z in zip(items, rows[:-1].tolist(), rows[1:].tolist(), strict=True):
         n = min(window, z - a)
         for i in range(a, z - n + 1 if n else a):
-            by_length.setdefault(int(n), {}).setdefault(hashes[i : i + n].tobytes(), set()).add(number[item])
+            by_length.setdefault(n, {}).setdefault(text(i, i + n), (hashes[i : i + n].tobytes(), set()))[1].add(number[item])
     return [Patterns(n, found) for n, found in sorted(by_length.items())], ids
 
 
 def item_parts(benchmark: DataFrame, most: int):
-    """(item id, text) in lists of at most so many bytes of text, one after the other."""
-    part, size = [], 0
+    """(item id, text) in lists of at most so many bytes, or one item; sizes are measured before any text is collected."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").where("text is not null")
-    for r in rows.toLocalIterator():
-        n = len(r[1].encode())
-        if part and size + n > most:
-            yield part
-            part, size = [], 0
-        part.append((r[0], r[1]))
-        size += n
-    if part:
-        yield part
+    size = F.octet_length("text") + F.octet_length("i")
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    if total <= most:
+        if found := [tuple(r) for r in rows.collect()]:
+            yield found
+        return
+    buckets = 64 * -(-total // most)
+    rows = stage(rows.withColumn("bucket", F.pmod(F.xxhash64("i", "text"), F.lit(buckets))), "benchmark")
+    ends, left = [], 0
+    for bucket, n in sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.sum(size)).collect()):  # 64 numbers a part
+        if not ends or n > left:
+            ends.append([bucket, bucket])
+            left = most
+        ends[-1][1], left = bucket, left - n
+    for a, z in ends:
+        yield [(r["i"], r["text"]) for r in rows.where(F.col("bucket").between(a, z)).collect()]
 
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -138,10 +155,12 @@ def _searcher(spark, items, window: int, column: str, name: str):
             data, offsets = strings(batch.column(column))
             found = []
             for i, j in slices(offsets, BATCH_BYTES):
-                hashes, _, _, rows = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
+                own_bytes = data[offsets[i] : offsets[j]]
+                hashes, first, last, rows = words(own_bytes, offsets[i : j + 1] - offsets[i], ALNUM)
+                text = _joined(own_bytes, first, last)
                 hit: dict[int, list] = {}
                 for s in sets:
-                    start, which = s.search(hashes, rows)
+                    start, which = s.search(hashes, rows, text)
                     for row, a, p in zip(np.searchsorted(rows, start, "right") - 1, start, which, strict=True):
                         hit.setdefault(int(row), []).append((int(a - rows[row]), int(a - rows[row]) + s.length, s.items[p]))
                 for r, n in enumerate(np.diff(rows).tolist()):
@@ -177,6 +196,8 @@ def search(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDO
     """docs with a column of that name: n_words, the spans of hit words (first, after the last), the ids of items found."""
     out, schema, any_part = docs, T.StructType([*docs.schema.fields, T.StructField(name, FOUND)]), False
     for part in item_parts(benchmark, part_bytes):
+        if any_part:
+            out = stage(out, "decontaminate")
         out, any_part = out.mapInArrow(_searcher(docs.sparkSession, part, window, column, name), schema), True
     return out if any_part else docs.mapInArrow(_searcher(docs.sparkSession, [], window, column, name), schema)
 

@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, slices, stage, strings, words
+from .common import BATCH_BYTES, same_runs, slices, stage, strings, words
 
 END_ID = 0
 #: Ids in a segment, as near as whole documents allow.
 SEGMENT_IDS = 1 << 18
 #: Distinct parts of texts whose ids a worker remembers, at about 40 bytes each.
 MOST_PIECES = 1_500_000
+#: Bytes of such parts, beyond which a worker forgets them all.
+MOST_PIECE_BYTES = 64 << 20
 
 
 # --- directly addressable codes -----------------------------------------------------------------------------------------
@@ -135,10 +137,10 @@ class Encoder:
     """A byte-level BPE tokenizer of the tokenizers library over many texts.
 
     Such a tokenizer cuts a text into pieces by a fixed pattern, and codes each by itself. The pattern always cuts before
-    a single space, but for one between white space. So a text is split at its spaces, and each distinct part (known by
-    the 64-bit hash of its bytes, and if it opens the text) is coded by the library once, with its space, and remembered.
-    A text that has another space, or a special token's string, goes to the library whole, and so does every text for
-    another kind of tokenizer.
+    a single space, but for one between white space. So a text is split at its spaces, and each distinct part (found by
+    the hash of its bytes, and if it opens the text, and then compared byte by byte) is coded by the library once, with its
+    space, and remembered. A text that has another space, a special token's string, or a part whose hash is that of
+    another part, goes to the library whole, and so does every text for another kind of tokenizer.
     """
 
     def __init__(self, path: str):
@@ -158,6 +160,8 @@ class Encoder:
     def forget(self) -> None:
         """The hashes of the parts, sorted, and where the ids of each stand, and how many."""
         self.known, self.table, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: The bytes of the parts, and where those of each stand, and how many.
+        self.bytes, self.byte_starts, self.byte_sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,6 +185,10 @@ class Encoder:
         self.starts = np.insert(self.starts, at, len(self.table) + np.cumsum(sizes) - sizes)
         self.sizes = np.insert(self.sizes, at, sizes)
         self.table = np.concatenate([self.table, *coded])
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.byte_starts = np.insert(self.byte_starts, at, len(self.bytes) + np.cumsum(lengths) - lengths)
+        self.byte_sizes = np.insert(self.byte_sizes, at, lengths)
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(parts), np.uint8)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text; texts as UTF-8 bytes and n + 1 offsets."""
@@ -195,8 +203,18 @@ class Encoder:
         fresh = np.ones(len(distinct), bool)
         inside = at < len(self.known)
         fresh[inside] = self.known[at[inside]] != distinct[inside]
+        size = last - first
+        # parts like the first of their hash in the batch, and like the one that is remembered
+        like = size == size[where][back]
+        like[like] = same_runs(data, first[like], data, first[where][back][like], size[like])
+        old = np.flatnonzero(~fresh)
+        alike = size[where[old]] == self.byte_sizes[at[old]]
+        alike[alike] = same_runs(data, first[where[old[alike]]], self.bytes, self.byte_starts[at[old[alike]]], size[where[old[alike]]])
+        other = np.zeros(len(distinct), bool)
+        other[old[~alike]] = True
+        unlike = ~like | other[back]
         if fresh.any():
-            if len(self.known) + fresh.sum() > MOST_PIECES:
+            if len(self.known) + fresh.sum() > MOST_PIECES or len(self.bytes) > MOST_PIECE_BYTES:
                 self.forget()
                 fresh[:] = True
             w, raw = where[fresh], data.tobytes()
@@ -206,7 +224,9 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.table[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
         out = np.split(flat, ends[rows][1:-1]) if n else []
-        for k in np.flatnonzero(self.whole_only(data, offsets)):
+        whole = self.whole_only(data, offsets)
+        whole[np.searchsorted(rows, np.flatnonzero(unlike), "right") - 1] = True
+        for k in np.flatnonzero(whole):
             out[k] = self.ids([data[offsets[k] : offsets[k + 1]].tobytes().decode()])[0]
         return out
 
