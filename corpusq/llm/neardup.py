@@ -6,21 +6,31 @@ classes that share a band are candidates. Of every minimum only the low BITS bit
 counting equal ones and correcting for those equal by chance estimates the similarity of a candidate pair, and
 pairs far below the threshold go no further. The rest are compared on their full sets.
 
-Candidates meet in families, the components of "shares a band". A family is cut into parts of TILE classes, and each pair
-of parts is a tile of its own, so no task holds more than 2 * TILE classes, however large the family. Within a tile
-pairs of classes that are linked already, through others of the tile, are not compared again; all others that share
-a band are. So the links that are returned join the same components as all links do, and no group is listed as pairs.
-
-Shingles of a family are only shipped for classes that have a candidate; exact copies only by their class.
+Nothing is listed as pairs, whatever a band's bucket or a group of copies holds:
+1. Classes of a bucket meet by signature (parts of PART classes, and a tile for each pair of parts), each pair at most
+   once a bucket. Of the pairs that may be similar, each tile passes on a spanning forest of the likeliest.
+2. These are compared on their full sets; classes that they link are one component from here on. The components of the
+   likely pairs are families; most families are one component now, and are done.
+3. In the other families the buckets' tiles are gone through again for likely pairs between different components.
+   Families are cut into parts of TILE classes, and a class's set is sent to the parts in which it has such a pair, and
+   only there. A tile of two parts compares likely pairs that share a band, but those whose classes have become linked.
+So the links join the same components as all links do; what is sent grows with the likely pairs that buckets hold, by
+tiles, and not with families.
+
+Shingles are hashes of words whose bytes are scrambled eight at a time (see common.run_hashes): two shingles are taken for one
+with probability 2^-64.
 
 Defined cases: null text and text without words has the empty set and is linked with nothing; rows of one doc_id are one
 document, each row linked by its own text (n_shingles is the largest, component_id the smallest); a row without doc_id
 stands for no group: it shows its class's component, or null, is not marked as kept, and unique() leaves such rows as
-they are; the empty table gives no rows; other columns are ignored.
+they are; a very long text is one set, made in memory of a few times its size; the empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, batches, mix, randoms, stage, words
+from .common import NOT_SPACE, batches, mix, randoms, slices, stage, words
 from .graph import components
 
 SHINGLE = 5
@@ -40,7 +50,10 @@ THRESHOLD = 85
 LAYOUTS = {THRESHOLD: (ROWS, BANDS), 80: (7, 48)}
 #: Estimates this far below the threshold (about five standard deviations) rule a pair out.
 MARGIN = 0.13
-TILE = 64
+#: Classes of a bucket that meet in one tile by signature, and of a family by set.
+PART, TILE = 512, 64
+#: Pairs of signatures that are compared at once.
+PAIRS = 1 << 17
 _MOST = max(rows * bands for rows, bands in LAYOUTS.values())
 _A, _B = (randoms(_MOST, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (randoms(_MOST, 22) >> np.uint64(32)).astype(np.uint32)
 _C, _D = randoms(_MOST, 23), randoms(64, 24)
@@ -127,16 +140,123 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (1 - differ / (x.shape[1] * 8 // BITS) - chance) / (1 - chance)
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The estimate for pairs of signatures, row by row."""
+    planes = np.bitwise_xor(x, y).reshape(len(x), BITS, -1)
+    differ = np.bitwise_count(np.bitwise_or.reduce(planes, axis=1)).sum(-1, dtype=np.int64)
+    chance = 1 / 2**BITS
+    return (1 - differ / (x.shape[1] * 8 // BITS) - chance) / (1 - chance)
+
+
+def _whole_tiles(frames, names):
+    """(rows, ends of the tiles) of whole tiles from rows in their order; what a batch cuts is put together."""
+    rest = None
+    for batch in itertools.chain(frames, [None]):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest is None or not len(rest):
+            continue
+        keys = np.column_stack([rest[c].to_numpy() for c in names])
+        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        if batch is None:
+            ends = np.append(ends, len(keys))
+        if len(ends):
+            yield rest.slice(0, ends[-1]).combine_chunks(), ends
+            rest = rest.slice(ends[-1])
+
+
+def _likely(frames, names, threshold: int):
+    """(rows, i, j, estimate) of pairs i < j of a tile that may be similar, for some tiles at a time."""
+    for rows, ends in _whole_tiles(frames, names):
+        n, p, q, part = (rows[c].to_numpy() for c in ("n", "p", "q", "part"))
+        signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(rows), -1)
+        # row i meets i + 1, i + 2, ... up to the end of its tile, many rows at once
+        left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(rows)) - 1
+        starts = np.concatenate([[0], np.cumsum(left)])
+        for a, z in slices(np.concatenate([[0], starts[ends]]), PAIRS):
+            a, z = (int(starts[0 if k == 0 else ends[k - 1]]) for k in (a, z))
+            i = np.searchsorted(starts, np.arange(a, z), "right") - 1
+            j = i + 1 + np.arange(a, z) - starts[i]
+            # in a tile of two parts, only pairs across them
+            some = ((p[i] == q[i]) | (part[i] != part[j])) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+            i, j = i[some], j[some]
+            e = alike(signatures[i], signatures[j])
+            near = e >= threshold / 100 - MARGIN
+            yield rows, i[near], j[near], e[near]
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of n nodes: in each round every tree takes its heaviest edge to another."""
+    root, a, z = np.arange(n), [], []
+    order = np.lexsort((j, i, -weight))
+    i, j = i[order], j[order]
+    while len(i):
+        u, v = root[i], root[j]
+        out = u != v
+        i, j, u, v = i[out], j[out], u[out], v[out]
+        best = np.full(n, len(i))
+        np.minimum.at(best, u, np.arange(len(i)))
+        np.minimum.at(best, v, np.arange(len(i)))
+        chosen = np.unique(best[best < len(i)])
+        if not len(chosen):
+            break
+        a.append(i[chosen])
+        z.append(j[chosen])
+        # the chosen edges form no cycle, since no two of them weigh the same; label their trees
+        label = np.arange(n)
+        while True:
+            low = np.minimum(label[u[chosen]], label[v[chosen]])
+            before = label.copy()
+            np.minimum.at(label, u[chosen], low)
+            np.minimum.at(label, v[chosen], low)
+            label = label[label]
+            if (label == before).all():
+                break
+        root = label[root]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(z)) if a else (none, none)
+
+
+def _spanning(threshold: int):
+    def run(frames):
+        for rows, i, j, e in _likely(frames, ("band", "p", "q"), threshold):
+            base = int(i.min()) if len(i) else 0
+            a, z = forest(int(j.max()) + 1 - base if len(j) else 0, i - base, j - base, e)
+            rep = rows["rep"].to_numpy()[base:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[z])), pa.array(np.maximum(rep[a], rep[z]))], ["a", "b"])
+
+    return run
+
+
+def _open(threshold: int):
+    """(rep, the family's part it meets) of classes that have a likely pair in another component."""
+
+    def run(frames):
+        for rows, i, j, _ in _likely(frames, ("band", "p", "q"), threshold):
+            rep, component, own = (rows[c].to_numpy() for c in ("rep", "component", "own"))
+            apart = component[i] != component[j]
+            i, j = i[apart], j[apart]
+            pairs = np.unique(np.column_stack([np.append(rep[i], rep[j]), np.append(own[j], own[i])]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32))], ["rep", "meets"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= threshold * (len(x) + len(y) - common)
+
+
 def _tile(threshold: int):
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         """Confirmed links between classes of a tile, no more than join them."""
-        frame = frame.drop_duplicates(["rep", "key"]).sort_values(["part", "rep"], kind="stable")
-        reps, parts, n = frame["rep"].to_numpy(), frame["part"].to_numpy(), frame["n"].to_numpy()
+        frame = frame.sort_values(["own", "rep"], kind="stable")
+        reps, parts, n = frame["rep"].to_numpy(), frame["own"].to_numpy(), frame["n"].to_numpy()
         signatures = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
         bands = np.array(frame["bands"].tolist(), np.int64)
         own = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-        here, there = parts == parts.min(), parts == parts.max()
-        left, right = np.flatnonzero(here), np.flatnonzero(there)
+        left, right = np.flatnonzero(parts == parts.min()), np.flatnonzero(parts == parts.max())
         likely = estimate(signatures[left], signatures[right])
         near = likely >= threshold / 100 - MARGIN
         small, large = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
@@ -147,7 +267,9 @@ def _tile(threshold: int):
         shared = (bands[left[i]] == bands[right[j]]).any(axis=1)
         i, j = i[shared], j[shared]
         order = np.argsort(-likely[i, j], kind="stable")
-        root = list(range(len(frame)))
+        components_ = frame["component"].to_numpy()
+        root = np.searchsorted(np.unique(components_), components_).tolist()
+        root = [root.index(x) for x in root]  # classes linked before are one from the start
 
         def find(k):
             while root[k] != k:
@@ -158,10 +280,7 @@ def _tile(threshold: int):
         out = []
         for a, z in zip(left[i[order]].tolist(), right[j[order]].tolist(), strict=True):
             u, v = find(a), find(z)
-            if u == v:
-                continue
-            common = len(own[a]) + len(own[z]) - len(np.union1d(own[a], own[z]))
-            if 100 * common >= threshold * (len(own[a]) + len(own[z]) - common):
+            if u != v and _similar(own[a], own[z], threshold):
                 root[max(u, v)] = min(u, v)
                 out.append((int(reps[a]), int(reps[z])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -169,28 +288,67 @@ def _tile(threshold: int):
     return links
 
 
+def _confirmed(threshold: int):
+    """(a, b) of rows whose two sets are similar."""
+
+    def run(frames):
+        for batch in frames:
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _tiles(rows: DataFrame, size: int, group: str) -> DataFrame:
+    """Rows of a bucket of c to tiles (p, q) of two of its parts."""
+    parts = F.ceil(F.col("c") / size).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other", "parts", "c").repartition(group, "p", "q").sortWithinPartitions(group, "p", "q", "rep")
+
+
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE) -> DataFrame:
     """(doc_id, text) to one row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stage(features(docs, length, *layout(threshold)), "features")
     classes = stage(found.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("bands", "doc_id").alias("bands")), "classes")
 
-    # Families: classes that share a band, each linked with the first of its band.
+    # Buckets of two classes and more. A doc_id may stand for several classes, if its rows have several texts.
     band = classes.select("rep", F.explode("bands").alias("band"))
-    first = stage(band.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("band").alias("first_band"), "first"), "bands")
-    candidates = band.join(first, F.col("band") == F.col("first_band")).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    family = components(candidates)
-    family = stage(family.unionByName(family.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("member"), F.col("component").alias("family")), "families")
-
-    # Parts of about TILE classes each, and a tile for every pair of parts.
-    sizes = stage(family.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")), "family-sizes")
-    member = family.join(sizes, F.col("family") == F.col("f")).select("member", "family", "parts", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
-    texts = docs.join(family.select("member").hint("merge"), F.col("doc_id") == F.col("member"), "left_semi")
-    own = stage(sets(texts, length).select("doc_id", F.col("key").alias("set_key"), "shingles"), "sets")
-    full = classes.join(member, F.col("rep") == F.col("member")).join(own, (F.col("rep") == F.col("doc_id")) & (F.col("key") == F.col("set_key"))).select("rep", "key", "n", "signature", "bands", "shingles", "family", "part", "parts")
-    tiled = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
-    links = tiled.select("family", "p", "q", "part", "rep", "key", "n", "signature", "bands", "shingles").groupBy("family", "p", "q").applyInPandas(_tile(threshold), "a long, b long")
-    joined = components(links)
+    shared = band.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("band").alias("of"), "c")
+    buckets = stage(band.join(shared, F.col("band") == F.col("of")).select("rep", "band", "c"), "buckets")
+    by_rep = classes.select(F.col("rep").alias("r"), "n", "signature", "key")
+    members = buckets.join(by_rep.hint("merge"), F.col("rep") == F.col("r")).select("rep", "band", "c", "n", "signature")
+    likely = stage(_tiles(members, PART, "band").mapInArrow(_spanning(threshold), "a long, b long").where("a <> b").distinct(), "likely")
+
+    # Full sets of classes with a likely partner, each made once.
+    ends = stage(likely.select(F.col("a").alias("member")).unionByName(likely.select(F.col("b").alias("member"))).distinct(), "members")
+    own = sets(docs.join(ends.hint("merge"), F.col("doc_id") == F.col("member"), "left_semi"), length).select(F.col("doc_id").alias("rep"), "key", "shingles")
+    if not found.where("n > 0 and doc_id is not null").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        own = own.dropDuplicates(["rep", "key"])  # of rows with one id and text, one
+    own = stage(own, "sets")
+    one, two = own.select(F.col("rep").alias("ra"), F.col("shingles").alias("x")), own.select(F.col("rep").alias("rb"), F.col("shingles").alias("y"))
+    pairs = likely.join(one.hint("merge"), F.col("a") == F.col("ra")).join(two.hint("merge"), F.col("b") == F.col("rb")).select("a", "b", "x", "y")
+    first = stage(pairs.mapInArrow(_confirmed(threshold), "a long, b long"), "first-links")
+    joined = components(first)
+
+    # Families that are not one component yet: those with a likely pair between two.
+    now = joined.select(F.col("id").alias("j"), F.col("component").alias("joined"))
+    nodes = stage(ends.join(now.hint("merge"), F.col("member") == F.col("j"), "left").select("member", F.coalesce("joined", "member").alias("component")), "nodes")
+    ca, cb = nodes.select(F.col("member").alias("ma"), F.col("component").alias("ca")), nodes.select(F.col("member").alias("mb"), F.col("component").alias("cb"))
+    apart = stage(likely.join(ca.hint("merge"), F.col("a") == F.col("ma")).join(cb.hint("merge"), F.col("b") == F.col("mb")).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "apart")
+    if not apart.isEmpty():
+        family = components(apart)
+        family = family.unionByName(family.select(F.col("component").alias("id"), "component").distinct()).select("id", F.col("component").alias("family"))
+        family = stage(nodes.join(family.hint("merge"), F.col("component") == F.col("id")).select("member", "family", "component"), "families")
+        sizes = family.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("own_parts"))
+        unfinished = stage(family.join(sizes, F.col("family") == F.col("f")).select("member", "family", "component", F.pmod(F.xxhash64("member"), F.col("own_parts")).cast("int").alias("own")), "unfinished")
+        again = members.join(unfinished.hint("merge"), F.col("rep") == F.col("member")).select("rep", "band", "c", "n", "signature", "component", "own")
+        meets = stage(_tiles(again, PART, "band").mapInArrow(_open(threshold), "rep long, meets int").distinct(), "meets")
+        full = classes.join(unfinished.hint("merge"), F.col("rep") == F.col("member")).join(own.select(F.col("rep").alias("s"), F.col("key").alias("set_key"), "shingles").hint("merge"), F.expr("rep = s and key = set_key"))
+        tiled = full.join(meets.select(F.col("rep").alias("m"), "meets").hint("merge"), F.col("rep") == F.col("m")).withColumns({"p": F.least("own", "meets"), "q": F.greatest("own", "meets")})
+        links = tiled.select("family", "p", "q", "own", "rep", "component", "n", "signature", "bands", "shingles").groupBy("family", "p", "q").applyInPandas(_tile(threshold), "a long, b long")
+        joined = components(first.unionByName(stage(links, "more-links")))
 
     of_class = classes.select(F.col("key").alias("class_key"), "rep")
     each = found.join(of_class, F.col("key") == F.col("class_key"), "left").select("doc_id", "n", "rep")

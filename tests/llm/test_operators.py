@@ -51,6 +51,51 @@ def test_words_and_hashes_do_not_depend_on_place():
     assert len({int(x) for x in h}) == 4
 
 
+def thue_morse(letters, one, other):
+    """Two words that a polynomial hash modulo 2^64 takes for the same."""
+    bits = [k.bit_count() & 1 for k in range(letters)]
+    return "".join((one, other)[b] for b in bits), "".join((other, one)[b] for b in bits)
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_words_that_a_polynomial_takes_for_the_same(spark, letters):
+    a, b = thue_morse(letters, "a", "b")
+    h = common.words(*common.strings(pa.array([a, b])), common.NOT_SPACE)[0]
+    assert h[0] != h[1]
+    rows = [(1, f"x y {a} z w"), (2, f"x y {b} z w"), (3, a), (4, b)]
+    df = table(spark, rows, "doc_id long, text string")
+    assert sorted(rows_of(neardup.deduplicated(df), "doc_id", "n_shingles", "component_id", "kept")) == brute_near(rows)
+    items = [(7, f"y {a}"), (8, b)]
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows_of(decontaminate.report(df, table(spark, items, "item_id long, text string"), window=4), *names) == brute_contamination(rows, items, 4)
+    own = tokens.Encoder(common.tokenizer_path("byte_bpe_50k.json"))
+    for _ in range(2):
+        assert [list(x) for x in own.encode(*common.strings(pa.array([t for _, t in rows])))] == [own.whole.encode(t, add_special_tokens=False).ids for _, t in rows]
+
+
+def test_bytes_decide_whatever_the_hashes(spark, monkeypatch):
+    # every word hashes alike but by its length
+    for module in (common, tokens, decontaminate):
+        monkeypatch.setattr(module, "words", lambda *a, f=common.words, **k: (lambda h, first, last, rows: ((last - first).astype(np.uint64), first, last, rows))(*f(*a, **k)))
+    texts = ["one two three", "two six", "one six two", "", "ten one", "three seven"]
+    own = tokens.Encoder(common.tokenizer_path("byte_bpe_50k.json"))
+    for part in (texts[:2], texts, texts[::-1]):
+        assert [list(x) for x in own.encode(*common.strings(pa.array(part)))] == [own.whole.encode(t, add_special_tokens=False).ids for t in part]
+    sets, _ = decontaminate.patterns([("a", "one two"), ("b", "six")], 13)
+    data, offsets = common.strings(pa.array(texts))
+    hashes, first, last, rows = common.words(data, offsets, common.ALNUM)
+    hit = {(int(np.searchsorted(rows, a, "right") - 1), s.texts[p]) for s in sets for a, p in zip(*s.search((last - first).astype(np.uint64), rows, decontaminate._joined(data, first, last)))}
+    assert hit == {(0, b"one two"), (1, b"six"), (2, b"six")}
+
+
+def test_same_runs():
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 2, 500).astype(np.uint8), rng.integers(0, 2, 500).astype(np.uint8)
+    a, b, size = rng.integers(0, 480, 300), rng.integers(0, 480, 300), rng.integers(1, 9, 300)
+    want = [bool((x[i : i + n] == y[j : j + n]).all()) for i, j, n in zip(a, b, size)]
+    assert common.same_runs(x, a, y, b, size).tolist() == common.same_runs(x, a, y, b, size, most=7).tolist() == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(50)] + [(7, None), (8, 8)]
@@ -310,6 +355,47 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [w[0] for w in want if w[3]]
 
 
+def test_forest_spans():
+    rng = np.random.default_rng(6)
+    for n, m in ((2, 1), (30, 25), (50, 600), (40, 0)):
+        i = rng.integers(0, n, m)
+        j = rng.integers(0, n, m)
+        i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+        a, z = neardup.forest(n, i, j, rng.integers(0, 3, len(i)).astype(float))
+
+        def parts(edges):
+            root = list(range(n))
+            for u, v in edges:
+                root = [root[u] if r == root[v] else r for r in root]
+            return sorted(sorted(k for k in range(n) if root[k] == r) for r in set(root))
+
+        assert parts(zip(a.tolist(), z.tolist())) == parts(zip(i.tolist(), j.tolist()))
+        assert set(zip(a.tolist(), z.tolist())) <= set(zip(i.tolist(), j.tolist()))
+        assert len(a) == n - len(parts(zip(i.tolist(), j.tolist())))
+
+
+def test_a_family_of_chains_and_one_that_is_hardly_linked(spark):
+    # 3000 documents in ten chains: each shares nearly all with the one before; and 120 at similarity about 0.8 of each other
+    rng = np.random.default_rng(11)
+    rows = []
+    for chain in range(10):
+        words = [f"c{chain}w{k}" for k in range(120 + 300 * 4)]
+        rows += [(len(rows) + k, " ".join(words[4 * k : 4 * k + 120])) for k in range(300)]
+    order = rng.permutation(len(rows))
+    rows = [(int(order[i]), t) for i, t in rows]
+    base = [f"b{k}" for k in range(200)]
+    for k in range(120):
+        words = list(base)
+        for at in rng.choice(40, 2 + k % 3, replace=False):
+            words[5 * int(at)] = f"y{rng.integers(10**9)}"
+        rows.append((10_000 + k, " ".join(words)))
+    df = table(spark, rows, "doc_id long, text string")
+    got = sorted(rows_of(neardup.deduplicated(df), "doc_id", "n_shingles", "component_id", "kept"))
+    chains = {d: min(order[k // 300 * 300 : k // 300 * 300 + 300]) for k, d in enumerate(order.tolist())}
+    assert [(d, c) for d, _, c, _ in got if d < 10_000] == sorted(chains.items())
+    assert [r for r in got if r[0] >= 10_000] == brute_near([r for r in rows if r[0] >= 10_000])
+
+
 def test_near_duplicates_of_nothing(spark):
     df = table(spark, [(1, "a"), (None, "a")], "doc_id long, text string")
     assert rows_of(neardup.deduplicated(df), "doc_id", "component_id", "kept") == [(1, 1, True), (None, None, False)] or rows_of(neardup.deduplicated(df), "doc_id", "component_id", "kept") == [(1, 1, True), (None, 1, False)]
