@@ -44,6 +44,8 @@ RECALL, TRIED = 0.93, 128
 GROUP, GROUP_LEAST, LEAST_GROUPS = 1 << 16, 1024, 24
 #: Scores that stand in one dense matrix.
 CELLS = 1 << 22
+#: Queries that a task takes through the trees, about.
+TASK_QUERIES = 4096
 K = 20
 
 
@@ -216,7 +218,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, tr
         return spark.createDataFrame([], schema)
     of = points.select(F.col("rep").alias("q"), F.col("embedding").alias("e"))
     asked = stage(rows.where(is_query).join(of, F.col("embedding") == F.col("e")).select(F.col("vec_id").alias("query_id"), "q", "embedding"), "queries")
-    if asked.isEmpty():
+    if not (n_asked := asked.count()):
         return spark.createDataFrame([], schema)
     sample = points.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(SAMPLE).select("embedding").toArrow()
     forest = Forest(_stack(sample["embedding"].combine_chunks()), n, norm, trees, leaf, seed)
@@ -271,7 +273,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, tr
             yield pa.RecordBatch.from_arrays([pa.array((first[t, node] + (mix(rep.astype(np.uint64)) % parts[t, node].astype(np.uint64)).astype(np.int64)).astype(np.int32)), *(batch.column(c) for c in ("rep", "embedding", "leaf"))], ["group", "rep", "embedding", "leaf"])
 
     once = asked.select(F.col("q").alias("id"), "embedding").dropDuplicates(["id"])
-    visits = once.mapInArrow(go, f"id long, embedding {element}, taken array<struct<group:int,leaves:array<int>>>")
+    # vectors are few bytes, but each takes a walk through the trees
+    visits = once.repartition(max(spark.sparkContext.defaultParallelism, -(-n_asked // TASK_QUERIES)), "id").mapInArrow(go, f"id long, embedding {element}, taken array<struct<group:int,leaves:array<int>>>")
     queries = visits.withColumn("t", F.explode("taken")).select("t.group", F.lit(True).alias("query"), "id", F.col("embedding").alias("vector"), "t.leaves")
     stored = in_tree.mapInArrow(dealt, f"group int, rep long, embedding {element}, leaf int").select("group", F.lit(False).alias("query"), F.col("rep").alias("id"), F.col("embedding").alias("vector"), F.array("leaf").alias("leaves"))
     in_order = queries.unionByName(stored).repartition(groups, "group").sortWithinPartitions("group", "query", "leaves", "id")

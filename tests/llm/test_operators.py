@@ -154,6 +154,42 @@ def test_mix(spark, block):
     assert rows_of(mixing.mix(df, block_words=block), "doc_id", "row", "taken") == rows_of(mixing.mix(df.repartition(3), block_words=block), "doc_id", "row", "taken")
 
 
+def test_shards_of_the_mix(spark):
+    rows = [r for r in docs(spark) if r[0] != 64] + [(None, "no id " * 9, "en", "s1", 1, 1, "", 1)] * 2
+    df = table(spark, rows, DOCS)
+    places = mixing.packed(df, block_words=5, shard_slots=64).collect()
+    # what each document gives is what mix() says, and the mix's text is made of just these words
+    taken, text = collections.Counter(), collections.defaultdict(list)
+    words = {r[0]: r[1].split() for r in rows if r[1]}
+    for p in places:
+        taken[p.doc_id, p.row] += p.words
+        text[p.shard, p.slot].append((p.at, words[p.doc_id][p["from"] : p["from"] + p.words]))
+        assert p.shard == p.slot // 64
+    for r in mixing.mix(df, block_words=5, shard_slots=64).collect():
+        if r.doc_id != 3:  # its two rows are alike
+            assert taken[r.doc_id, r.row] == r.taken
+    got = mixing.shards(df, block_words=5, shard_slots=64).collect()
+    assert {(r.shard, r.slot): r.text for r in got} == {k: " ".join(w for _, part in sorted(v) for w in part) for k, v in text.items()}
+    assert all(r.words == len(r.text.split()) <= 5 for r in got)
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    # counts of a source by shard: totals are fixed, shards vary as multinomial draws do
+    by_shard = collections.Counter((r.shard, r.source) for r in got if r.shard < len(got) // 64)
+    shards, total = len(got) // 64, len(got)
+    size = collections.Counter(r.source for r in got)
+    z = [(by_shard[k, s] - 64 * n / total) / np.sqrt(64 * n / total * (1 - n / total)) for k in range(shards) for s, n in size.items() if n > 50]
+    assert len(z) > 20 and abs(np.mean(z)) < 0.3 and 0.6 < np.std(z) < 1.4
+
+
+def test_slots_are_made_in_many_tasks(spark, monkeypatch):
+    sources = spark.createDataFrame([("a", 1, 40_000, 80_000.0), ("b", 2, 30_000, 20_000.0)], "source string, rank int, source_size long, target double")
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 1000)
+    made = mixing.slots(sources, 8, 512)
+    assert made.rdd.getNumPartitions() == 13
+    rows = made.collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert {r["rank"]: sum(1 for x in rows if x["rank"] == r["rank"]) for r in rows} == {1: 10_000, 2: 2_500}
+
+
 def test_mix_of_nothing_and_documents_of_the_mix(spark):
     assert mixing.mix(table(spark, [], DOCS)).count() == 0
     assert mixing.mix(table(spark, [(1, None, "a", "b", 1, 1, "", 1)], DOCS)).collect()[0].taken == 0
