@@ -142,7 +142,7 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The estimate for pairs of signatures, row by row."""
-    planes = np.bitwise_xor(x, y).reshape(len(x), BITS, -1)
+    planes = np.bitwise_xor(x, y).reshape(len(x), BITS, x.shape[1] // BITS)
     differ = np.bitwise_count(np.bitwise_or.reduce(planes, axis=1)).sum(-1, dtype=np.int64)
     chance = 1 / 2**BITS
     return (1 - differ / (x.shape[1] * 8 // BITS) - chance) / (1 - chance)
