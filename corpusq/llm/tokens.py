@@ -4,16 +4,21 @@ An id is cut into chunks of 8 bits, lowest first. Level 0 holds the first chunk
 1 for each id that has a further chunk, which stands in level 1 at the rank of that 1, and so on. A rank directory holds
 the number of 1s before each stretch of 512 bits. So any token is found by a few lookups, and no block is decoded.
 
-One segment is such a code with its documents' ends, as bytes in the column `payload`; its header has the number of
+One segment is such a code with its documents' ids and ends, as bytes in the column `payload`; its header has the number of
 ids before it in its shard. Segments are written by Spark, as rows of a Parquet table in the shared folder (any store that
-Spark can write, files that appear only when a task has committed); shards hold ranges of doc_id in ascending order.
-
-Segment format, little-endian: magic "DAC1"; u8 levels; u64 ids before it in the shard, u32 documents, u64 ids; u64 end
-(exclusive) of each document; for each level: u64 number of chunks, the chunks, and but for the last level the bitmap as
-u64 words and the directory as u32 (one for each 8 words).
-
-Defined cases: null and empty texts have the end id alone; repeated ids stand one after the other, by text; a null doc_id
-comes first; the empty table writes no segment; other columns are ignored.
+Spark can write, files that appear only when a task has committed), without compression, so that a payload is read as it
+stands; shards hold ranges of doc_id in ascending order, as many as the bytes of the texts ask for. A second table, the
+directory, has a row for each segment: its shard, number, first and last doc_id, and the ids before it in all shards.
+token() and document() go from a doc_id to its segment by the directory, and to a place in it by rank.
+
+Segment format, little-endian: magic "DAC2"; u8 levels; u64 ids before it in the shard, u32 documents, u32 of these without
+an id (which come first), u64 ids; i64 id of each document (0 for none); u64 end (exclusive) of each document; for each level:
+u64 number of chunks, the chunks, and but for the last level the bitmap as u64 words and the directory as u32 (one for each
+8 words).
+
+Defined cases: null and empty texts have the end id alone; repeated ids stand one after the other, by a hash of the text, and
+so may be in several shards; a null doc_id comes first; a very long text is encoded whole and is in one segment; the empty
+table writes no segment; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, same_runs, slices, stage, strings, words
+from .common import BATCH_BYTES, new_path, same_runs, slices, strings, words
 
 END_ID = 0
 #: Ids in a segment, as near as whole documents allow.
 SEGMENT_IDS = 1 << 18
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 32 << 20
 #: Distinct parts of texts whose ids a worker remembers, at about 40 bytes each.
 MOST_PIECES = 1_500_000
 #: Bytes of such parts, beyond which a worker forgets them all.
@@ -44,8 +51,9 @@ MOST_PIECE_BYTES = 64 << 20
 # --- directly addressable codes -----------------------------------------------------------------------------------------
 
 
-def pack(ids: np.ndarray, ends: np.ndarray, before: int) -> bytes:
-    """One segment: ids as unsigned 32-bit numbers, the end of each document, and the ids before it in the shard."""
+def pack(ids: np.ndarray, ends: np.ndarray, before: int, doc_ids: list) -> bytes:
+    """One segment: ids as unsigned 32-bit numbers, the end of each document, the ids before it in the shard, and the documents'
+    ids, nulls first."""
     levels, rest = [], ids.astype(np.uint32)
     while True:
         more = rest >= 256
@@ -53,7 +61,8 @@ def pack(ids: np.ndarray, ends: np.ndarray, before: int) -> bytes:
         if not more.any():
             break
         rest = rest[more] >> np.uint32(8)
-    out = [b"DAC1", struct.pack("<BQIQ", len(levels), before, len(ends), len(ids)), ends.astype("<u8").tobytes()]
+    names = np.array([x or 0 for x in doc_ids], "<i8")
+    out = [b"DAC2", struct.pack("<BQIIQ", len(levels), before, len(ends), sum(x is None for x in doc_ids), len(ids)), names.tobytes(), ends.astype("<u8").tobytes()]
     for k, (chunk, more) in enumerate(levels):
         out += [struct.pack("<Q", len(chunk)), chunk.tobytes()]
         if k < len(levels) - 1:
@@ -70,10 +79,12 @@ class Segment:
     """Reads a segment's tokens by their place."""
 
     def __init__(self, payload: bytes):
-        if payload[:4] != b"DAC1":
+        if payload[:4] != b"DAC2":
             raise ValueError("not a segment")
-        n_levels, self.before, n_docs, self.n = struct.unpack_from("<BQIQ", payload, 4)
-        at = 25
+        n_levels, self.before, n_docs, self.unnamed, self.n = struct.unpack_from("<BQIIQ", payload, 4)
+        at = 29
+        self.doc_ids = np.frombuffer(payload, "<i8", n_docs, at)
+        at += 8 * n_docs
         self.ends = np.frombuffer(payload, "<u8", n_docs, at).astype(np.int64)
         at += 8 * n_docs
         self.levels = []
@@ -126,8 +137,17 @@ class Segment:
                 value = low
         return value
 
+    def start(self, d: int) -> int:
+        return int(self.ends[d - 1]) if d else 0
+
     def document(self, d: int) -> np.ndarray:
-        return self.tokens(int(self.ends[d - 1]) if d else 0, int(self.ends[d]))
+        return self.tokens(self.start(d), int(self.ends[d]))
+
+    def find(self, doc_id: int) -> int | None:
+        """The place of the first document of that id."""
+        named = self.doc_ids[self.unnamed :]
+        d = int(np.searchsorted(named, doc_id))
+        return self.unnamed + d if d < len(named) and named[d] == doc_id else None
 
 
 # --- encoding ---------------------------------------------------------------------------------------------------------
@@ -272,7 +292,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-SEGMENTS = "shard int, segment long, doc_ids array<long>, n_tokens array<long>, ids long, payload binary"
+SEGMENTS = "shard int, segment int, first_doc long, last_doc long, documents long, ids long, payload binary"
 
 
 def encode(docs: DataFrame, tokenizer_path: str, partitions: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:
@@ -284,11 +304,10 @@ def encode(docs: DataFrame, tokenizer_path: str, partitions: int, segment_ids: i
 
         def done():
             nonlocal ids, doc_ids, size, segment, before
-            ends = np.cumsum([len(x) for x in ids])
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([segment], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([pack(np.concatenate(ids), ends, before)], pa.binary())],
-                ["shard", "segment", "doc_ids", "n_tokens", "ids", "payload"],
-            )
+            payload = pack(np.concatenate(ids), np.cumsum([len(x) for x in ids]), before, doc_ids)
+            values = (shard, segment, doc_ids[0], doc_ids[-1], len(ids), size, payload)
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            row = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["shard", "segment", "first_doc", "last_doc", "documents", "ids", "payload"])
             ids, doc_ids, segment, before, size = [], [], segment + 1, before + size, 0
             return row
 
@@ -305,30 +324,74 @@ def encode(docs: DataFrame, tokenizer_path: str, partitions: int, segment_ids: i
         if ids:
             yield done()
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, SEGMENTS)
+    # rows of one id, or of none, are dealt by their texts
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    return rows.repartitionByRange(partitions, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text").mapInArrow(run, SEGMENTS)
+
+
+def write(docs: DataFrame, tokenizer_path: str, path: str, partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:
+    """Segments and their directory, below path."""
+    spark = docs.sparkSession
+    if not partitions:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        partitions = max(2 * spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    encode(docs, tokenizer_path, partitions, segment_ids).write.option("compression", "none").parquet(f"{path}/segments")
+    segments = segments_at(spark, path).drop("payload")
+    # one row a shard
+    totals = segments.groupBy("shard").agg(F.sum("ids").alias("n"))
+    bases = totals.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("ids").over(W.partitionBy("shard").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    segments.withColumn("inside", inside).join(bases, "shard").withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside").write.parquet(f"{path}/directory")
+
+
+def segments_at(spark, path: str) -> DataFrame:
+    return spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
 
 
-def read(segments: DataFrame) -> DataFrame:
-    """(shard, doc_id, start in the shard, n_tokens, ids_crc32) of every document, decoded from the segments."""
+def directory_at(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/directory")
+
+
+def read(spark, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files."""
 
     def run(frames):
         for batch in frames:
-            for shard, doc_ids, payload in zip(batch.column("shard").to_pylist(), batch.column("doc_ids").to_pylist(), batch.column("payload"), strict=True):
+            for shard, number, payload in zip(batch.column("shard").to_pylist(), batch.column("segment").to_pylist(), batch.column("payload"), strict=True):
                 s = Segment(payload.as_buffer())
                 starts = np.concatenate([[0], s.ends[:-1]]).astype(np.int64)
                 crc = [zlib.crc32(s.document(d).astype("<u4").tobytes()) for d in range(len(s.ends))]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(starts + s.before), pa.array(s.ends - starts), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                names = pa.array(s.doc_ids, mask=np.arange(len(s.ends)) < s.unnamed)
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(names), pa.int32()), pa.array([number] * len(names), pa.int32()), names, pa.array(starts), pa.array(s.ends - starts), pa.array(crc, pa.int64())], ["shard", "segment", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    rows = segments_at(spark, path).select("shard", "segment", "payload").mapInArrow(run, "shard int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(directory_at(spark, path).select("shard", "segment", F.col("start").alias("before")), ["shard", "segment"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _segments_of(spark, path: str, doc_id: int):
+    for at in directory_at(spark, path).where((F.col("first_doc") <= doc_id) | F.col("first_doc").isNull()).where(F.col("last_doc") >= doc_id).select("shard", "segment").orderBy("shard", "segment").toLocalIterator():
+        yield Segment(segments_at(spark, path).where((F.col("shard") == at[0]) & (F.col("segment") == at[1])).first()["payload"])
 
-    return segments.select("shard", "doc_ids", "payload").mapInArrow(run, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+
+def token(spark, path: str, doc_id: int, place: int) -> int | None:
+    """The id at that place of the (first) document of that id, found without decoding any other; null if there is none."""
+    for s in _segments_of(spark, path, doc_id):
+        if (d := s.find(doc_id)) is not None:
+            at = s.start(d) + place
+            return s.token(at) if 0 <= place and at < s.ends[d] else None
+    return None
+
+
+def document(spark, path: str, doc_id: int) -> np.ndarray | None:
+    """All ids of the (first) document of that id."""
+    for s in _segments_of(spark, path, doc_id):
+        if (d := s.find(doc_id)) is not None:
+            return s.document(d)
+    return None
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode, write, read back: doc_id, start, n_tokens, ids_crc32."""
-    spark = docs.sparkSession
-    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    segments = stage(encode(docs, tokenizer_path, partitions, segment_ids), "tokens")
-    # one row a shard, so as many as partitions, whatever the input
-    totals = segments.groupBy("shard").agg(F.sum("ids").alias("ids"))
-    bases = totals.select("shard", F.coalesce(F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return read(segments).join(F.broadcast(bases) if partitions <= 100_000 else bases, "shard").select("doc_id", (F.col("base") + F.col("at")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+    path = new_path(docs.sparkSession, "tokens")
+    write(docs, tokenizer_path, path, partitions, segment_ids)
+    return read(docs.sparkSession, path)

@@ -316,8 +316,8 @@ def test_codes_give_random_access():
     rng = np.random.default_rng(2)
     ids = np.concatenate([rng.integers(0, 50_000, 3000), [0, 255, 256, 65_535, 65_536, 2**32 - 1], rng.integers(0, 200, 700)]).astype(np.uint32)
     for values in (ids, ids[:1], np.zeros(65, np.uint32), np.zeros(0, np.uint32)):
-        s = tokens.Segment(tokens.pack(values, np.array([len(values)]), 5))
-        assert s.before == 5 and (s.document(0) == values).all()
+        s = tokens.Segment(tokens.pack(values, np.array([len(values)]), 5, [7]))
+        assert s.before == 5 and s.find(7) == 0 and s.find(8) is None and (s.document(0) == values).all()
         assert all(s.token(i) == values[i] for i in range(0, len(values), 7))
         for a, z in ((0, 0), (63, 65), (64, 128), (1000, 1001), (511, 2049)):
             if z <= len(values):
@@ -343,6 +343,23 @@ def test_tokens(spark):
         start += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
     assert tokens.write_and_read(table(spark, [], DOCS), path).count() == 0
+    at = common.new_path(spark, "test-tokens")
+    tokens.write(table(spark, rows, DOCS), path, at, 3, 200)
+    for r in (rows[0], rows[17], rows[40], rows[60]):
+        ids = [*whole.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        assert tokens.document(spark, at, r[0]).tolist() == ids
+        assert [tokens.token(spark, at, r[0], k) for k in (0, len(ids) - 1, len(ids))] == [ids[0], 0, None]
+    assert tokens.token(spark, at, 12_345, 0) is None
+
+
+def test_tokens_of_one_id_are_dealt_to_many_shards(spark):
+    rows = [(None if i % 3 else 7, f"word{i} " * 5) for i in range(400)]
+    path, at = common.tokenizer_path("byte_bpe_50k.json"), common.new_path(spark, "test-tokens")
+    tokens.write(table(spark, rows, "doc_id long, text string"), path, at, 8, 100)
+    assert tokens.segments_at(spark, at).where("documents > 0").select("shard").distinct().count() == 8
+    got = sorted((tuple(r) for r in tokens.read(spark, at).collect()), key=lambda r: r[1])
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got[:-1])]).tolist()
+    assert [r[0] for r in got] == [None] * 266 + [7] * 134
 
 
 # --- 7 near duplicates -------------------------------------------------------------------------------------------------
