@@ -230,15 +230,20 @@ def _spanning(threshold: int):
 
 
 def _open(threshold: int):
-    """(rep, the family's part it meets) of classes that have a likely pair in another component."""
+    """(rep, word, bits): the family's parts that classes meet, those in which they have a likely pair in another component;
+    a bit each, 64 to a word."""
 
     def run(frames):
         for rows, i, j, _ in _likely(frames, ("band", "p", "q"), threshold):
             rep, component, own = (rows[c].to_numpy() for c in ("rep", "component", "own"))
             apart = component[i] != component[j]
             i, j = i[apart], j[apart]
-            pairs = np.unique(np.column_stack([np.append(rep[i], rep[j]), np.append(own[j], own[i])]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32))], ["rep", "meets"])
+            who, meets = np.append(rep[i], rep[j]), np.append(own[j], own[i])
+            order = np.lexsort((meets, who))
+            who, word, bit = who[order], meets[order] // 64, np.uint64(1) << (meets[order] % 64).astype(np.uint64)
+            first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (word[1:] != word[:-1]))[: len(who)])
+            bits = np.bitwise_or.reduceat(bit, first) if len(first) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(who[first]), pa.array(word[first].astype(np.int32)), pa.array(bits.view(np.int64))], ["rep", "word", "bits"])
 
     return run
 
@@ -344,7 +349,8 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHIN
         sizes = family.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("own_parts"))
         unfinished = stage(family.join(sizes, F.col("family") == F.col("f")).select("member", "family", "component", F.pmod(F.xxhash64("member"), F.col("own_parts")).cast("int").alias("own")), "unfinished")
         again = members.join(unfinished.hint("merge"), F.col("rep") == F.col("member")).select("rep", "band", "c", "n", "signature", "component", "own")
-        meets = stage(_tiles(again, PART, "band").mapInArrow(_open(threshold), "rep long, meets int").distinct(), "meets")
+        bits = stage(_tiles(again, PART, "band").mapInArrow(_open(threshold), "rep long, word int, bits long").groupBy("rep", "word").agg(F.bit_or("bits").alias("bits")), "meets")
+        meets = bits.select("rep", F.explode(F.filter(F.sequence(F.col("word") * 64, F.col("word") * 64 + 63), lambda m: F.getbit("bits", m % 64) == 1)).alias("meets"))
         full = classes.join(unfinished.hint("merge"), F.col("rep") == F.col("member")).join(own.select(F.col("rep").alias("s"), F.col("key").alias("set_key"), "shingles").hint("merge"), F.expr("rep = s and key = set_key"))
         tiled = full.join(meets.select(F.col("rep").alias("m"), "meets").hint("merge"), F.col("rep") == F.col("m")).withColumns({"p": F.least("own", "meets"), "q": F.greatest("own", "meets")})
         links = tiled.select("family", "p", "q", "own", "rep", "component", "n", "signature", "bands", "shingles").groupBy("family", "p", "q").applyInPandas(_tile(threshold), "a long, b long")
