@@ -1,17 +1,26 @@
 """Toxicity by subword bags: embeddings of character n-grams, averaged, under a linear softmax.
 
-A text's words (letters, digits and all beyond ASCII, A-Z lowered) stand between single spaces; its subwords are the
-n-grams of bytes, n in LENGTHS, that have a space at most at an end. Subwords are hashed to BUCKETS embeddings. A text
-is the mean of the embeddings of its subwords and STEADY empty ones, times GAIN; a softmax over two classes follows. Embeddings and softmax are trained
-together, in numpy, so a misspelling that no label ever showed still scores by the n-grams that it shares.
-
-The model is fitted on at most MOST_TOXIC + MOST_CLEAN labelled texts, chosen by a hash of doc_id among those of at
-most MOST_BYTES (documented bounds; whole texts). Every document is scored over its whole text, without a shuffle. Of a
-trained model a text's score only needs one number for each bucket, so BUCKETS floats are sent to the tasks.
-
-Defined cases: null and empty texts have no subwords and score by the softmax's bias alone; repeated documents are scored
-each by itself; an id with two labels counts as toxic if any says so; labels with null id or mark are ignored; with
-no label of either class the score is the share of toxic labels, 0 without labels; other columns are ignored.
+A text's words (letters, digits and all beyond ASCII, A-Z lowered) stand between spaces; a word's subwords are its
+n-grams of bytes, n in LENGTHS, that have a space at most at an end. Subwords are hashed to BUCKETS embeddings. A stretch of
+text is the mean of the embeddings of its subwords and some empty ones, times a gain; a softmax over two classes follows.
+Embeddings and softmax are trained together, in numpy, so a misspelling that no label ever showed still scores by the
+n-grams that it shares.
+
+A label says that a text is toxic, not where, and one mean over a whole text would thin a short insult away. So a text is
+scored by its windows of WINDOW words, one by one, and the largest score decides. The model is first trained on whole texts;
+then, ROUNDS times, the windows that it scores highest, one of each text, and some more of clean texts are what it is trained on
+anew. Last, a logistic fit on the learning texts turns the largest score, and the logarithm of the number of windows, into a
+probability; toxic texts count TOXIC_WEIGHT times in it.
+
+The model is fitted on at most MOST_TOXIC + MOST_CLEAN labelled texts, chosen by a hash of doc_id (a documented bound; whole
+texts of any length). Every document is scored over its whole text, without a shuffle. Of a trained model a window's
+score only needs one number for each bucket, so BUCKETS floats are sent to the tasks.
+
+Defined cases: null and empty texts, and those without words, have one empty window and score by the softmax's bias alone;
+repeated documents are scored each by itself; of windows that tie any one decides, with the same score; a null doc_id counts
+as held out and is scored like others; an id with two labels counts as toxic if any says so; labels with null id or mark
+are ignored; a very long text is scored whole, by itself, in memory of some times its size; with no label of either class the
+score is the share of toxic labels, 0 without labels; the empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,21 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, ALNUM, batches, held_out, mix, randoms, stage, strings
+from .common import _LOWER, ALNUM, batches, held_out, mix, randoms, stage, strings, words
 
 LENGTHS = (3, 4, 5)
 BUCKETS = 1 << 18
-SIZE = 8
-GAIN = 50.0
-EPOCHS = 6
-BATCH = 100
-#: Subwords of weight 0 that every text has besides its own, so that few words don't decide alone.
-STEADY = 300
-RATE = 0.1
-#: A bucket is learnt if so many of the texts have it; the others stay at 0.
-LEAST_TEXTS = 8
+SIZE = 4
+#: Words of a window; one begins at every word.
+WINDOW = 2
+#: Subwords of weight 0 that a whole text and a window have besides their own, so that few words don't decide alone.
+STEADY_TEXT, STEADY = 64, 8
+GAIN_TEXT, GAIN = 20.0, 10.0
+EPOCHS, ROUNDS, BATCH, RATE = 4, 2, 64, 0.1
+#: Windows of clean texts that are learnt from besides the highest ones, for each clean text.
+MORE_CLEAN = 6
+#: A bucket is learnt if so many of the stretches have it; the others stay at 0.
+LEAST_STRETCHES = 3
+TOXIC_WEIGHT = 4.0
 MOST_TOXIC, MOST_CLEAN = 1500, 4500
-MOST_BYTES = 32_000
 _K = randoms(8, 41)
 
 
@@ -73,68 +84,134 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found), np.concatenate(rows)
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 0) -> tuple[np.ndarray, float]:
-    """A weight for each bucket and a bias: the logit of a text is the bias plus the mean of its subwords' weights."""
-    y = np.array(toxic, np.float32)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return np.zeros(BUCKETS, np.float32), float(np.clip(np.log(share) - np.log1p(-share), -40, 40)) if 0 < share < 1 else (40.0 if share else -40.0)
-    bags, sizes = [], np.ones(len(texts))
-    texts_with = np.zeros(BUCKETS, np.int64)
-    for k, text in enumerate(texts):
-        bucket, _ = subwords(*strings(pa.array([text])))
-        own, count = np.unique(bucket, return_counts=True)
-        texts_with[own] += 1
-        sizes[k] = len(bucket) + STEADY
-        bags.append((own.astype(np.int32), count.astype(np.float32)))
-    learnt = np.flatnonzero(texts_with >= min(LEAST_TEXTS, max(1, len(texts) // 40)))
-    column = np.full(BUCKETS, -1, np.int32)
-    column[learnt] = np.arange(len(learnt))
-    bags = [(column[o][column[o] >= 0], (c / s * GAIN)[column[o] >= 0]) for (o, c), s in zip(bags, sizes, strict=True)]
+def by_word(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets in order of word, where each word's begin (n words + 1), and each row's first word (n rows + 1)."""
+    _, first, last, rows = words(data, offsets, ALNUM)
+    ends = np.concatenate([[0], np.cumsum(last - first)])
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1] - first, last - first)
+    bucket, word = subwords(data[place], ends)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(first)))])
+    return bucket[np.argsort(word, kind="stable")], starts, rows
+
+
+def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, row) of all windows, in order of row; each row has one at least."""
+    n = np.diff(rows)
+    count = np.maximum(1, n - WINDOW + 1)
+    row = np.repeat(np.arange(len(n)), count)
+    first = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + rows[row]
+    return first, np.minimum(first + WINDOW, rows[row + 1]), row
+
+
+def _scores(weight: np.ndarray, bucket: np.ndarray, starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The mean weight of windows' subwords, and STEADY empty ones."""
+    word = np.add.reduceat(np.append(weight[bucket], 0).astype(np.float64), starts[:-1]) if len(starts) > 1 else np.zeros(0)
+    word[np.diff(starts) == 0] = 0
+    word = np.append(word, np.zeros(WINDOW))
+    total = sum(np.where(first + k < last, word[first + k], 0) for k in range(WINDOW))
+    return total / (starts[last] - starts[first] + STEADY)
+
+
+def _train(stretches: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, gain: float, seed: int) -> tuple[np.ndarray, float]:
+    """A weight for each bucket and a bias, from (distinct buckets, their shares) of stretches of text."""
+    having = np.zeros(BUCKETS, np.int64)
+    for own, _ in stretches:
+        having[own] += 1
+    learnt = having >= min(LEAST_STRETCHES, max(1, len(stretches) // 40))
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.01, (len(learnt), SIZE)).astype(np.float32)
+    embedding = rng.normal(0, 0.01, (BUCKETS, SIZE)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (SIZE, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     squares = [np.full_like(x, 1e-6) for x in (embedding, softmax, bias)]
-    # a bucket's place in a batch's dense matrix; memory is BATCH * buckets
     for epoch in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(texts)), -(-len(texts) // BATCH)):
-            x = np.zeros((len(part), len(learnt)), np.float32)
-            for i, k in enumerate(part):
-                x[i, bags[k][0]] = bags[k][1]
-            hidden = x @ embedding
+        rate = RATE * (1 - epoch / EPOCHS)
+        for part in np.array_split(rng.permutation(len(stretches)), -(-len(stretches) // BATCH)):
+            bucket, share = (np.concatenate([stretches[k][i] for k in part]) for i in (0, 1))
+            row = np.repeat(np.arange(len(part)), [len(stretches[k][0]) for k in part])
+            some = learnt[bucket]
+            own, column = np.unique(bucket[some], return_inverse=True)
+            x = np.zeros((len(part), len(own)), np.float32)
+            x[row[some], column] = share[some] * gain
+            hidden = x @ embedding[own]
             logits = hidden @ softmax + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), y[part].astype(int)] -= 1
+            p[np.arange(len(part)), toxic[part]] -= 1
             p /= len(part)
-            steps = (x.T @ (p @ softmax.T), hidden.T @ p, p.sum(0))
-            for value, square, step in zip((embedding, softmax, bias), squares, steps, strict=True):
+            step = x.T @ (p @ softmax.T)
+            squares[0][own] += step**2
+            embedding[own] -= rate * step / np.sqrt(squares[0][own])
+            for value, square, step in ((softmax, squares[1], hidden.T @ p), (bias, squares[2], p.sum(0))):
                 square += step**2
-                value -= RATE * (1 - epoch / EPOCHS) * step / np.sqrt(square)
-    weight = np.zeros(BUCKETS, np.float32)
-    weight[learnt] = embedding @ (softmax[:, 1] - softmax[:, 0]) * GAIN
-    return weight, float(bias[1] - bias[0])
+                value -= rate * step / np.sqrt(square)
+    embedding[~learnt] = 0
+    return embedding @ (softmax[:, 1] - softmax[:, 0]) * gain, float(bias[1] - bias[0])
 
 
-def logits(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
-    bucket, row = subwords(data, offsets)
-    n = len(offsets) - 1
-    total, count = np.bincount(row, weight[bucket], n), np.bincount(row, minlength=n)
-    return bias + total / (count + STEADY)
+def _stretch(bucket: np.ndarray, starts: np.ndarray, first: int, last: int, steady: int) -> tuple[np.ndarray, np.ndarray]:
+    own, count = np.unique(bucket[starts[first] : starts[last]], return_counts=True)
+    return own.astype(np.int32), (count / (starts[last] - starts[first] + steady)).astype(np.float32)
+
+
+def _highest(score: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The first of the highest windows of each row."""
+    order = np.lexsort((-score, row))
+    return order[np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))]
+
+
+def _features(score: np.ndarray, row: np.ndarray, bias: float) -> np.ndarray:
+    """The largest score of each row, the logarithm of its number of windows, and 1."""
+    count = np.bincount(row)
+    return np.column_stack([np.maximum.reduceat(score, np.cumsum(count) - count) + bias, np.log(count), np.ones(len(count))])
+
+
+class Model:
+    """A weight for each bucket, the softmax's bias, and three numbers that turn a text's features into a logit."""
+
+    def __init__(self, weight: np.ndarray, bias: float, scale: np.ndarray):
+        self.weight, self.bias, self.scale = weight, bias, scale
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if len(offsets) < 2:
+            return np.zeros(0)
+        bucket, starts, rows = by_word(data, offsets)
+        first, last, row = windows(rows)
+        logit = _features(_scores(self.weight, bucket, starts, first, last), row, self.bias) @ self.scale
+        return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+
+
+def fit(texts: list[str | None], toxic: list[int], seed: int = 0) -> Model:
+    y = np.array(toxic, np.int64)
+    if not len(y) or y.min() == y.max():
+        share = float(y.mean()) if len(y) else 0.0
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([0, 0, 40.0 if share else -40.0]))
+    bucket, starts, rows = by_word(*strings(pa.array(texts, pa.string())))
+    first, last, row = windows(rows)
+    weight, bias = _train([_stretch(bucket, starts, a, z, STEADY_TEXT) for a, z in zip(rows[:-1], rows[1:], strict=True)], y, GAIN_TEXT, seed)
+    rng = np.random.default_rng(seed)
+    clean = np.flatnonzero(y[row] == 0)
+    for _ in range(ROUNDS):
+        chosen = _highest(_scores(weight, bucket, starts, first, last), row)
+        chosen = np.append(chosen, rng.choice(clean, min(len(clean), MORE_CLEAN * int((y == 0).sum())), replace=False))
+        weight, bias = _train([_stretch(bucket, starts, first[k], last[k], STEADY) for k in chosen], y[row[chosen]], GAIN, seed)
+    x, scale = _features(_scores(weight, bucket, starts, first, last), row, bias), np.array([1.0, 0, 0])
+    count = np.where(y == 1, TOXIC_WEIGHT, 1.0)
+    for _ in range(50):  # Newton's steps of a logistic fit
+        p = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
+        scale = scale - np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (count * (p - y)) + 1e-3 * scale)
+    return Model(weight, bias, scale)
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str, int]]:
     """Labelled texts to learn from, none of them held out, of either class up to its bound."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = stage(marks, "labels")
-    short = docs.where(F.octet_length("text") <= MOST_BYTES).select("doc_id")
-    near = marks.join(short, "doc_id", "left_semi")
+    near = marks.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
     chosen = [r for mark, most in ((1, most_toxic), (0, most_clean)) for r in near.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     if not chosen:
         return []
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * (most_toxic + most_clean))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * (most_toxic + most_clean))
     return [(r["text"], r["toxic"]) for r in rows.collect()]
 
 
@@ -144,10 +221,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in learnt], [x for _, x in learnt]))
 
     def run(frames):
-        weight, bias = held.value
         for batch, data, offsets in batches(frames):
-            score = 1 / (1 + np.exp(-np.clip(logits(data, offsets, weight, bias), -50, 50)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held.value.scores(data, offsets))], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

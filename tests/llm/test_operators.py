@@ -255,14 +255,41 @@ def test_toxicity_learns_and_catches_misspellings(spark):
     for i, text in ((1000, "inonre theaner skoundrels blockheadd " + "anrein " * 30), (1001, "inonre theaner " + "anrein " * 30), (1002, None), (1003, "")):
         rows.append((i, text))
     labels += [(None, 1), (5, None)]
-    d, x = table(spark, rows, "doc_id long, text string"), table(spark, labels, "doc_id long, toxic int")
+    # a long text with one insult, the same without, repeated rows, no id, and columns of other names
+    rows += [(1004, "anrein theaner " * 2_000 + "blockhead " + "inonre theaner " * 2_000), (1005, "anrein theaner inonre " * 20_000), rows[7], rows[7], (None, "inonre scoundrel")]
+    rows = [(*r, 0.5, "x") for r in rows]
+    d, x = table(spark, rows, "doc_id long, text string, score double, toxic string"), table(spark, labels, "doc_id long, toxic int")
     out = {r.doc_id: r for r in toxicity.scored(d, x).collect()}
+    assert toxicity.scored(d, x).count() == len(rows)
+    assert out[1004].predicted == 1 and out[1005].predicted == 0 and out[None].predicted == 1 and out.pop(None).held_out
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in out)
     held = [i for i in range(600) if out[i].held_out]
     assert np.mean([out[i].predicted == int(i % 3 == 0) for i in held]) > 0.95
     assert out[1000].score > 0.5 > out[1001].score and 0 <= out[1002].score == out[1003].score <= 1
 
 
+def test_toxicity_of_held_out_documents(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    out = queries.op4_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").collect()
+    caught, called = [r.predicted for r in out if r.toxic], [r.toxic for r in out if r.predicted]
+    assert len(out) > 800 and np.mean(caught) >= 0.9 and np.mean(called) >= 0.85
+
+
+def test_windows_score_as_word_by_word():
+    texts = ["one two three", "", "é", "a b", None, "x " * 40]
+    weight = np.random.default_rng(0).normal(size=toxicity.BUCKETS).astype(np.float32)
+    bucket, starts, rows = toxicity.by_word(*common.strings(pa.array(texts)))
+    first, last, row = toxicity.windows(rows)
+    got = toxicity._scores(weight, bucket, starts, first, last)
+    want = []
+    for k, t in enumerate(texts):
+        w = (t or "").split()
+        for i in range(max(1, len(w) - toxicity.WINDOW + 1)):
+            own = [b for x in w[i : i + toxicity.WINDOW] for b in toxicity.subwords(*common.strings(pa.array([x])))[0]]
+            want.append((k, sum(float(weight[b]) for b in own) / (len(own) + toxicity.STEADY)))
+    assert row.tolist() == [k for k, _ in want] and np.allclose(got, [x for _, x in want])
+
+
 def test_toxicity_without_labels_or_documents(spark):
     d, x = table(spark, [(1, "a b")], "doc_id long, text string"), table(spark, [], "doc_id long, toxic int")
     assert toxicity.scored(d, x).collect()[0].predicted == 0
