@@ -142,8 +142,9 @@ def probed(pages: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def figure_area(boxes: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """P12. (book, page, x0, y0, x1, y1, page_area): share of the page that image boxes cover, overlaps counted twice."""
-    area = F.sum(F.abs((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))))
+    """P12. (book, page, x0, y0, x1, y1, page_area): share of the page that image boxes cover, overlaps counted twice. Areas are
+    added as decimals, so the order in which tasks add them does not show."""
+    area = F.sum(F.abs((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("decimal(24,6)")).cast("double")
     share = area / F.nullif(F.max("page_area"), F.lit(0))
     return boxes.groupBy("book", "page").agg(F.coalesce(share, F.lit(0.0)).alias("area")).withColumn("has_figure", F.col("area") >= threshold)
 

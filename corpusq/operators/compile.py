@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir), read again: an iteration's lineage ends there."""
-    spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="spark-")
-    path = f"{at.rstrip('/')}/corpusq/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.store import written
 
 
 def similar_pairs(rows: DataFrame, threshold: float, measure: str = "jaccard", by: str = "board") -> DataFrame:

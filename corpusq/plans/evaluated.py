@@ -50,10 +50,10 @@ def quantity_percentiles(spark, sf_dir):
 
 @plan.query(
     "anchors_verified",
-    "WITH a AS (SELECT CASE (event_id + k) % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'verification_unavailable' ELSE 'no' END AS status FROM events, (SELECT unnest(range(0, 2)) AS k) WHERE user_id % 2 = 0) SELECT count(*) AS total, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'verification_unavailable') AS unavailable, round(coalesce(count(*) FILTER (status = 'verified') / nullif(count(*), 0), 0), 3) AS verified_fraction FROM a",
+    "WITH a AS (SELECT CASE (event_id + k) % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'verification_unavailable' ELSE 'no' END AS status FROM events, (SELECT unnest(range(0, 2)) AS k)) SELECT count(*) AS total, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'verification_unavailable') AS unavailable, round(coalesce(count(*) FILTER (status = 'verified') / nullif(count(*), 0), 0), 3) AS verified_fraction FROM a",
 )
 def anchors_verified(spark, sf_dir):
-    g = A.table(spark, sf_dir, "events").where("user_id % 2 = 0").selectExpr("transform(sequence(0, 1), k -> named_struct('status', CASE (event_id + k) % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'verification_unavailable' ELSE 'no' END)) AS anchors")
+    g = A.table(spark, sf_dir, "events").selectExpr("transform(sequence(0, 1), k -> named_struct('status', CASE (event_id + k) % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'verification_unavailable' ELSE 'no' END)) AS anchors")
     return E.anchors_verified(g)
 
 
@@ -160,12 +160,12 @@ def disambiguation(spark, sf_dir):
 
 
 _KINDS = {"errors": ("incorrect_synthesis", "safety_critical", 0.6), "omissions": ("retrieval_omission", "material", 0.7)}
-_LEDGER_SQL = """WITH g AS (SELECT event_id AS q, event_type AS t FROM events WHERE event_id % 3 = 0), e AS (SELECT q, k AS i, 'errors' AS list, concat('wrong  ', t, ' ', k) AS basis, 'incorrect_synthesis' AS c, 'safety_critical' AS severity, 0.6 AS confidence FROM g, (SELECT unnest(range(0, 2)) AS k) UNION ALL SELECT q, 0, 'omissions', concat('lacks trial ', t), 'retrieval_omission', 'material', 0.7 FROM g WHERE q % 2 = 0),
+_LEDGER_SQL = """WITH g AS (SELECT event_id AS q, event_type AS t FROM events), e AS (SELECT q, k AS i, 'errors' AS list, concat('wrong  ', t, ' ', k) AS basis, 'incorrect_synthesis' AS c, 'safety_critical' AS severity, 0.6 AS confidence FROM g, (SELECT unnest(range(0, 2)) AS k) UNION ALL SELECT q, 0, 'omissions', concat('lacks trial ', t), 'retrieval_omission', 'material', 0.7 FROM g WHERE q % 2 = 0),
 l0 AS (SELECT q AS question_id, CASE WHEN regexp_matches(basis, 'trial|view') THEN 'outdated_evidence' ELSE c END AS category, severity, left(trim(regexp_replace(basis, '\\s+', ' ', 'g')), 240) AS excerpt, confidence, list, i FROM e)""".replace("\\\\", "\\")
 
 
 def _ledger(spark, sf_dir):
-    g = A.table(spark, sf_dir, "events").where("event_id % 3 = 0").selectExpr("event_id AS question_id", "transform(sequence(0, 1), k -> concat('wrong  ', event_type, ' ', k)) AS errors", "CASE WHEN event_id % 2 = 0 THEN array(concat('lacks trial ', event_type)) ELSE cast(array() as array<string>) END AS omissions")
+    g = A.table(spark, sf_dir, "events").selectExpr("event_id AS question_id", "transform(sequence(0, 1), k -> concat('wrong  ', event_type, ' ', k)) AS errors", "CASE WHEN event_id % 2 = 0 THEN array(concat('lacks trial ', event_type)) ELSE cast(array() as array<string>) END AS omissions")
     return E.defects(g, _KINDS, {"outdated_evidence": "trial|view"})
 
 

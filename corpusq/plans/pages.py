@@ -124,10 +124,10 @@ def captions(spark, sf_dir):
 
 @plan.query(
     "effective_captions",
-    f"WITH {A.PAGES_SQL}, f AS (SELECT *, concat('b/', doc_id, '.png') AS figure_path, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 900) ELSE '  ' END AS curated FROM pages0 WHERE has_figure AND book <> 'b1') SELECT doc_id, CASE WHEN nullif(regexp_replace(curated, '^\\s+|\\s+$', '', 'g'), '') IS NOT NULL THEN {_head_sql('curated', 700)} ELSE {_head_sql('text', 320)} END AS effective FROM f WHERE doc_id % 4 <> 1",
+    f"WITH {A.PAGES_SQL}, f AS (SELECT *, concat('b/', doc_id, '.png') AS figure_path, CASE WHEN doc_id % 2 = 0 THEN text ELSE '  ' END AS curated FROM pages0 WHERE has_figure AND book <> 'b1') SELECT doc_id, CASE WHEN nullif(regexp_replace(curated, '^\\s+|\\s+$', '', 'g'), '') IS NOT NULL THEN {_head_sql('curated', 700)} ELSE {_head_sql('text', 320)} END AS effective FROM f WHERE doc_id % 4 <> 1",
 )
 def effective_captions(spark, sf_dir):
-    p = A.pages(spark, sf_dir).where("has_figure").selectExpr("*", "concat('b/', doc_id, '.png') AS figure_path", "CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 900) ELSE '  ' END AS curated").withColumn("caption", F.col("text"))
+    p = A.pages(spark, sf_dir).where("has_figure").selectExpr("*", "concat('b/', doc_id, '.png') AS figure_path", "CASE WHEN doc_id % 2 = 0 THEN text ELSE '  ' END AS curated").withColumn("caption", F.col("text"))
     assets = A.table(spark, sf_dir, "documents").where("doc_id % 4 <> 1").selectExpr("concat('b/', doc_id, '.png') AS figure_path")
     return clean.effective_caption(p, ["b1"], assets).select("doc_id", "effective")
 
@@ -148,9 +148,9 @@ def html_text(spark, sf_dir):
 _BOXES = "concat('e', user_id % 10) AS book, CAST(user_id AS INT) AS page, value AS x0, event_id % 700 AS y0, value + event_id % 150 AS x1, event_id % 700 + event_id % 90 AS y1, 480000.0 AS page_area"
 
 
-@plan.query("figure_area", f"WITH b AS (SELECT {_BOXES} FROM events) SELECT book, page, round(sum(abs((x1 - x0) * (y1 - y0))) / max(page_area), 6) AS area, sum(abs((x1 - x0) * (y1 - y0))) / max(page_area) >= 0.1 AS has_figure FROM b GROUP BY book, page")
+@plan.query("figure_area", f"WITH b AS (SELECT {_BOXES} FROM events) SELECT book, page, sum(CAST(abs((x1 - x0) * (y1 - y0)) AS DECIMAL(24, 6)))::DOUBLE / max(page_area) AS area, sum(CAST(abs((x1 - x0) * (y1 - y0)) AS DECIMAL(24, 6)))::DOUBLE / max(page_area) >= 0.1 AS has_figure FROM b GROUP BY book, page")
 def figure_area(spark, sf_dir):
-    return clean.figure_area(A.table(spark, sf_dir, "events").selectExpr(*A._split(_BOXES))).withColumn("area", F.round("area", 6))
+    return clean.figure_area(A.table(spark, sf_dir, "events").selectExpr(*A._split(_BOXES)))
 
 
 @plan.query("figure_plates")

@@ -27,18 +27,18 @@ _TAGS = lambda c, lex: "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"
 
 @plan.query(
     "figures_off_target",
-    f"""WITH f AS (SELECT doc_id, substr(text, 1, 60) AS caption, substr(text, 61, 60) AS topic FROM documents), t AS (SELECT *, {_TAGS('caption', REGIONS)} AS ct, {_TAGS('topic', REGIONS)} AS tt, {_TAGS('caption', LEVELS)} AS cl, {_TAGS('topic', LEVELS)} AS tl FROM f)
+    f"""WITH f AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS caption, substr(text, length(text) // 2 + 1) AS topic FROM documents), t AS (SELECT *, {_TAGS('caption', REGIONS)} AS ct, {_TAGS('topic', REGIONS)} AS tt, {_TAGS('caption', LEVELS)} AS cl, {_TAGS('topic', LEVELS)} AS tl FROM f)
     SELECT doc_id, CASE WHEN contains(caption, 'license') THEN 'nonanatomical' WHEN len(tt) > 0 AND len(ct) > 0 AND NOT list_has_any(ct, tt) THEN 'region' WHEN len(tl) > 0 AND len(cl) > 0 AND len(list_filter(tl, lambda x: NOT list_contains(cl, x))) > 0 THEN 'level' END AS reason FROM t""",
 )
 def figures_off_target(spark, sf_dir):
-    f = A.table(spark, sf_dir, "documents").selectExpr("doc_id", "substr(text, 1, 60) AS caption", "substr(text, 61, 60) AS topic")
+    f = A.table(spark, sf_dir, "documents").selectExpr("doc_id", "substr(text, 1, length(text) div 2) AS caption", "substr(text, length(text) div 2 + 1) AS topic")
     return f.select("doc_id", rank.off_target("topic", "caption", REGIONS, LEVELS, "license").alias("reason"))
 
 
 @plan.query(
     "figures_collected",
     _HIT
-    + """, h AS (SELECT t.query_id, t.id, t.rank, c.book, c.page, concat(c.book, '/', c.doc_id % 50, '.png') AS path, substr(c.text, 1, 40) AS caption FROM text0 t JOIN chunks0 c ON c.id = t.id),
+    + """, h AS (SELECT t.query_id, t.id, t.rank, c.book, c.page, concat(c.book, '/', c.doc_id % 50, '.png') AS path, c.text AS caption FROM text0 t JOIN chunks0 c ON c.id = t.id),
     a AS (SELECT query_id, path, min(rank) AS rank, arg_min({'b': book, 'p': page, 'c': caption}, rank) AS m, 0 AS lane FROM h WHERE rank <= 20 GROUP BY ALL), b AS (SELECT query_id, path, min(r2) AS rank, arg_min({'b': book, 'p': page, 'c': caption}, r2) AS m, 1 AS lane FROM (SELECT *, 41 - rank AS r2 FROM h WHERE rank > 10) GROUP BY query_id, path),
     f AS (SELECT query_id, path, round(sum(1 / (60 + rank)), 9) AS score, arg_max(m, lane) AS m FROM (SELECT query_id, path, rank, m, lane FROM a UNION ALL SELECT query_id, path, rank, m, lane FROM b) GROUP BY ALL),
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM f WHERE NOT contains(m.c, '%%%') QUALIFY rank <= 6),
@@ -47,7 +47,7 @@ def figures_off_target(spark, sf_dir):
     SELECT query_id, path, score, rank, book, page, coalesce(n, 12 + row_number() OVER (PARTITION BY query_id, n IS NULL ORDER BY rank)) AS number FROM j""",
 )
 def figures_collected(spark, sf_dir):
-    h = _hits(spark, sf_dir).selectExpr("query_id", "rank", "book", "page", "concat(book, '/', doc_id % 50, '.png') AS path", "substr(text, 1, 40) AS caption")
+    h = _hits(spark, sf_dir).selectExpr("query_id", "rank", "book", "page", "concat(book, '/', doc_id % 50, '.png') AS path", "text AS caption")
     lanes = [h.where("rank <= 20"), h.where("rank > 10").withColumn("rank", 41 - F.col("rank"))]
     passages = h.where("rank <= 5").select("query_id", "book", "page", F.col("rank").alias("n"))
     return rank.collect_figures(lanes, passages, ~F.contains("caption", F.lit("%%%")), 6, 12).drop("caption")

@@ -37,10 +37,11 @@ def undone(spark, sf_dir):
     return S.undone(e, e.where("event_type = 'view'"), "event_id").select("event_id", "user_id")
 
 
-@plan.query("manifest_range", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey >= (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 10) AND o_orderkey <= (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 1010) AND o_custkey % 3 > 0")
+@plan.query("manifest_range", "WITH m AS (SELECT max(o_orderkey) AS m FROM orders), r AS (SELECT min(o_orderkey) FILTER (o_orderkey * 10 >= m) AS a, max(o_orderkey) FILTER (o_orderkey * 10 <= 9 * m) AS z FROM orders, m) SELECT o_orderkey AS id FROM orders, r WHERE o_orderkey BETWEEN a AND z AND o_custkey % 3 > 0")
 def manifest_range(spark, sf_dir):
     m = A.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey AS ord", "o_custkey % 3 > 0 AS enabled")
-    a, z = (r[0] for r in m.orderBy("ord").offset(10).limit(1001).agg(F.min("id"), F.max("id")).selectExpr("stack(2, `min(id)`, `max(id)`) AS x").collect())
+    last = m.agg(F.max("id")).first()[0]  # from a tenth of the ids on, to nine tenths
+    a, z = m.agg(F.min(F.when(F.col("id") * 10 >= last, F.col("id"))), F.max(F.when(F.col("id") * 10 <= 9 * last, F.col("id")))).first()
     return S.id_range(m, a, z).select("id")
 
 
@@ -87,12 +88,15 @@ def cache_hits(spark, sf_dir):
     return S.cached(q, cache, F.lit(50000), 45000)[0].select("query_id", "result")
 
 
-@plan.query("fingerprint", _WINDOWS_SQL + ", b AS (SELECT id, (instr('0123456789abcdef', substr(md5(id), 1, 1)) - 1) * 256 + (instr('0123456789abcdef', substr(md5(id), 2, 1)) - 1) * 16 + instr('0123456789abcdef', substr(md5(id), 3, 1)) - 1 AS b FROM chunks0), e AS (SELECT b, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS h FROM b GROUP BY b) SELECT sum(n) AS rows, sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM e")
+_HASHED_SQL = "e AS (SELECT g, b, count(*) AS n, sha256(string_agg(k, chr(10) ORDER BY k)) AS h FROM b GROUP BY g, b), s AS (SELECT g, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM e GROUP BY g), hashed AS (SELECT sum(n) AS rows, sha256(string_agg(h, chr(10) ORDER BY g)) AS hash FROM s)"
+
+
+@plan.query("fingerprint", _WINDOWS_SQL + ", b AS (SELECT id AS k, left(md5(id), 3) AS g, left(md5(id), 6) AS b FROM chunks0), " + _HASHED_SQL + " SELECT rows, hash AS fingerprint FROM hashed")
 def fingerprint(spark, sf_dir):
     return S.fingerprint(chunks(spark, sf_dir))
 
 
-@plan.query("book_fingerprint", _WINDOWS_SQL + ", c AS (SELECT book, count(*) AS n FROM chunks0 GROUP BY book) SELECT count(*) AS books, sha256(concat(string_agg(concat(book, ':', n), chr(10) ORDER BY concat(book, ':', n)), chr(10), 'model')) AS fingerprint FROM c")
+@plan.query("book_fingerprint", _WINDOWS_SQL + ", c AS (SELECT concat(book, ':', count(*)) AS k FROM chunks0 GROUP BY book), b AS (SELECT k, left(md5(k), 3) AS g, left(md5(k), 6) AS b FROM c), " + _HASHED_SQL + " SELECT rows AS books, sha256(concat(hash, chr(10), 'model')) AS fingerprint FROM hashed")
 def book_fingerprint(spark, sf_dir):
     return S.book_fingerprint(chunks(spark, sf_dir), "model")
 
@@ -115,9 +119,9 @@ def purged(spark, sf_dir):
     return clean.purged(A.pages(spark, sf_dir), audit).groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
 
 
-@plan.query("media_resolved", "WITH c AS (SELECT event_id AS id, [concat('a/i', event_id % 5), concat('i', event_id % 9)] AS im FROM events WHERE event_id % 10 = 0), e AS (SELECT id, regexp_extract(n, '([^/]+)$', 1) AS base FROM (SELECT id, unnest(im) AS n FROM c)) SELECT id, count(*) FILTER (base < 'i5') AS resolved, count(*) FILTER (base >= 'i5') AS missing, count(DISTINCT base) FILTER (base < 'i5') AS blobs FROM e GROUP BY id")
+@plan.query("media_resolved", "WITH c AS (SELECT event_id AS id, [concat('a/i', event_id % 5), concat('i', event_id % 9)] AS im FROM events), e AS (SELECT id, regexp_extract(n, '([^/]+)$', 1) AS base FROM (SELECT id, unnest(im) AS n FROM c)) SELECT id, count(*) FILTER (base < 'i5') AS resolved, count(*) FILTER (base >= 'i5') AS missing, count(DISTINCT base) FILTER (base < 'i5') AS blobs FROM e GROUP BY id")
 def media_resolved(spark, sf_dir):
-    c = A.table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("event_id AS id", "array(concat('a/i', event_id % 5), concat('i', event_id % 9)) AS images")
+    c = A.table(spark, sf_dir, "events").selectExpr("event_id AS id", "array(concat('a/i', event_id % 5), concat('i', event_id % 9)) AS images")
     m = A.table(spark, sf_dir, "events").selectExpr("concat('i', event_id % 5) AS name", "concat('blob', event_id % 5) AS blob").distinct()
     return S.media_resolved(c, m)
 

@@ -42,10 +42,10 @@ _AXES = {"first": {"triggers": ["stth"], "variants": LEVELS}, "second": {"trigge
 
 @plan.query(
     "ambiguity",
-    f"WITH d AS (SELECT doc_id, substr(text, 1, 60) AS query, substr(text, 61, 100) AS found FROM documents) SELECT doc_id, CASE WHEN contains(lower(query), 'stth') OR len({_TAGS('found', LEVELS)}) >= 2 THEN 'first' WHEN contains(lower(query), 'ou') OR len({_TAGS('found', REGIONS)}) >= 2 THEN 'second' END AS axis FROM d",
+    f"WITH d AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS query, substr(text, length(text) // 2 + 1) AS found FROM documents) SELECT doc_id, CASE WHEN contains(lower(query), 'stth') OR len({_TAGS('found', LEVELS)}) >= 2 THEN 'first' WHEN contains(lower(query), 'ou') OR len({_TAGS('found', REGIONS)}) >= 2 THEN 'second' END AS axis FROM d",
 )
 def ambiguity(spark, sf_dir):
-    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, 60) AS query", "substr(text, 61, 100) AS found")
+    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, length(text) div 2) AS query", "substr(text, length(text) div 2 + 1) AS found")
     return tag.ambiguity(d, _AXES).select("doc_id", "axis")
 
 
@@ -81,9 +81,9 @@ def topics(spark, sf_dir):
     return e.select("event_id", tag.topic(["a", "b"], "none").alias("topic"), F.transform(tag.missing(["a_blank", "c"], 3), lambda x: F.replace(x, F.lit("a_blank"), F.lit("a"))).alias("missing"))
 
 
-@plan.query("profiles", f"WITH d AS (SELECT doc_id, {_TAGS('substr(text, 1, 20)', REGIONS)}[1] AS a, {_TAGS('substr(text, 21, 60)', REGIONS)}[1] AS b FROM documents) SELECT doc_id, coalesce(a, b, 'generic') AS profile FROM d")
+@plan.query("profiles", f"WITH d AS (SELECT doc_id, {_TAGS('substr(text, 1, length(text) // 2)', REGIONS)}[1] AS a, {_TAGS('substr(text, length(text) // 2 + 1)', REGIONS)}[1] AS b FROM documents) SELECT doc_id, coalesce(a, b, 'generic') AS profile FROM d")
 def profiles(spark, sf_dir):
-    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, 20) AS a", "substr(text, 21, 60) AS b")
+    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, length(text) div 2) AS a", "substr(text, length(text) div 2 + 1) AS b")
     return d.select("doc_id", tag.profile(["a", "b"], REGIONS).alias("profile"))
 
 
@@ -97,13 +97,13 @@ _QSTOP = ", ".join(f"'{w}'" for w in tag.QUESTION_STOP)
 
 @plan.query(
     "coverage_gaps",
-    f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, substr(text, 1, 80) AS q, substr(text, 30) AS a FROM conversations), l AS (SELECT id, lower(a) AS a, string_split(regexp_replace(lower(regexp_replace(q, '^\\s+|\\s+$', '', 'g')), '\\s+(?:and|vs\\.?|versus|or)\\s+|,', chr(1), 'g'), chr(1)) AS l FROM c),
+    f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, text AS q, substr(text, length(text) // 2 + 1) AS a FROM conversations), l AS (SELECT id, lower(a) AS a, string_split(regexp_replace(lower(regexp_replace(q, '^\\s+|\\s+$', '', 'g')), '\\s+(?:and|vs\\.?|versus|or)\\s+|,', chr(1), 'g'), chr(1)) AS l FROM c),
     k AS (SELECT id, a, list_transform(l, lambda x: list_filter(regexp_extract_all(x, '[a-z0-9-]+'), lambda t: length(t) > 2 AND t NOT IN ({_QSTOP}))) AS t FROM l),
     g AS (SELECT id, a, list_transform(t, lambda x: list_filter(x, lambda y: length(y) = list_max(list_transform(x, lambda z: length(z))))[1]) AS keys FROM k)
     SELECT id, list_filter(keys, lambda x: x IS NOT NULL AND NOT contains(a, x)) AS gaps FROM g""",
 )
 def coverage_gaps(spark, sf_dir):
-    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "substr(text, 1, 80) AS q", "substr(text, 30) AS a")
+    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "text AS q", "substr(text, length(text) div 2 + 1) AS a")
     return c.select("id", tag.coverage_gaps("q", "a").alias("gaps"))
 
 
@@ -152,9 +152,9 @@ def sections_backfilled(spark, sf_dir):
     return tag.backfilled(own, scaffold, ["board", "section"]).groupBy("board", "section", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan.query("cards_pruned", f"WITH d AS (SELECT doc_id, substr(text, 1, 60) AS text, substr(text, 61, 60) AS topic FROM documents) SELECT doc_id FROM d WHERE len(list_filter({_TAGS('text', REGIONS)}, lambda x: NOT list_contains({_TAGS('topic', REGIONS)}, x))) = 0")
+@plan.query("cards_pruned", f"WITH d AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS text, substr(text, length(text) // 2 + 1) AS topic FROM documents) SELECT doc_id FROM d WHERE len(list_filter({_TAGS('text', REGIONS)}, lambda x: NOT list_contains({_TAGS('topic', REGIONS)}, x))) = 0")
 def cards_pruned(spark, sf_dir):
-    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, 60) AS text", "substr(text, 61, 60) AS topic")
+    d = _docs(spark, sf_dir).selectExpr("doc_id", "substr(text, 1, length(text) div 2) AS text", "substr(text, length(text) div 2 + 1) AS topic")
     return tag.pruned(d, REGIONS).select("doc_id")
 
 
@@ -164,7 +164,7 @@ def declarative_lines(spark, sf_dir):
     return c.select("id", F.md5(evaluate.declarative("t").cast("binary")).alias("said_md5"))
 
 
-@plan.query("slugs", "SELECT event_id, concat(event_type, '-', user_id, '-b') AS slug, CASE WHEN user_id % 2 = 0 THEN concat(event_type, ' ', user_id, ' focus') END AS query FROM events")
+@plan.query("slugs", "SELECT doc_id, md5(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug_md5, CASE WHEN doc_id % 2 = 0 THEN concat_ws(' ', nullif(regexp_replace(lang, '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_replace(source, '^\\s+|\\s+$', '', 'g'), ''), 'focus') END AS query FROM documents")
 def slugs(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "user_id", "concat(' ', upper(event_type), ' // ', user_id, ' (b)!') AS t", "CASE WHEN user_id % 2 = 0 THEN 'plan' ELSE 'intro' END AS section")
-    return e.select("event_id", tag.slug("t").alias("slug"), tag.search_text(["event_type", "user_id"], {"plan": "focus"}).alias("query"))
+    d = A.table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "lang", "source", "CASE WHEN doc_id % 2 = 0 THEN 'plan' ELSE 'intro' END AS section")
+    return d.select("doc_id", F.md5(tag.slug("text").cast("binary")).alias("slug_md5"), tag.search_text(["lang", "source"], {"plan": "focus"}).alias("query"))

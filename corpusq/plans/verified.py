@@ -67,23 +67,23 @@ def groundedness_summary(spark, sf_dir):
 
 
 def _quotes(spark, sf_dir):
-    """Each answer's last claim as a quote: of the turn itself, in capitals, or with its middle cut out."""
-    q = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS answer_id", "text AS premise", "substr(text, 11, 60) AS part")
-    return q.selectExpr("answer_id", "premise", "CASE WHEN answer_id % 3 = 0 THEN replace(part, ' ', '  ') WHEN answer_id % 3 = 1 THEN concat(substr(part, 1, 50), 'zzz') ELSE concat(substr(part, 1, 15), 'qq', substr(part, 40)) END AS quote")
+    """Quotes of a turn, one for each 60 letters of it: as they stand, with other letters at the end, or with the middle cut out."""
+    q = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS answer_id", "text AS premise", "posexplode(transform(sequence(1, greatest(1, length(text)), 60), i -> substr(text, i, 60))) AS (k, part)")
+    return q.selectExpr("answer_id", "k", "premise", "CASE WHEN answer_id % 3 = 0 THEN replace(part, ' ', '  ') WHEN answer_id % 3 = 1 THEN concat(substr(part, 1, 50), 'zzz') ELSE concat(substr(part, 1, 15), 'qq', substr(part, 40)) END AS quote")
 
 
 @plan.query("quote_matches")
 def quote_matches(spark, sf_dir):
     """The longest common run follows Python's difflib, which SQL has not."""
-    return verify.matched_quotes(_quotes(spark, sf_dir)).select("answer_id", F.round("score", 4).alias("score"), "matched")
+    return verify.matched_quotes(_quotes(spark, sf_dir)).select("answer_id", "k", F.round("score", 4).alias("score"), "matched")
 
 
 @plan.query(
     "quotes_verbatim",
-    "WITH q AS (SELECT conv_id * 1000 + turn AS answer_id, text AS premise, substr(text, 11, 60) AS part FROM conversations WHERE (conv_id * 1000 + turn) % 3 = 0), n AS (SELECT answer_id, lower(trim(regexp_replace(premise, '\\s+', ' ', 'g'))) AS p, lower(trim(regexp_replace(replace(part, ' ', '  '), '\\s+', ' ', 'g'))) AS q FROM q) SELECT round(avg((q <> '' AND contains(p, q))::INT), 4) AS match_rate, count(*) AS spans FROM n",
+    "WITH q0 AS (SELECT conv_id * 1000 + turn AS answer_id, text AS premise, unnest(list_transform(range(1, greatest(1, length(text)) + 1, 60), lambda i: substr(text, i, 60))) AS part FROM conversations), q AS (SELECT answer_id, premise, CASE answer_id % 3 WHEN 0 THEN part WHEN 1 THEN concat(substr(part, 1, 50), 'zzz') ELSE concat(substr(part, 1, 15), 'qq', substr(part, 40)) END AS part FROM q0), n AS (SELECT answer_id, lower(trim(regexp_replace(premise, '\\s+', ' ', 'g'))) AS p, lower(trim(regexp_replace(part, '\\s+', ' ', 'g'))) AS q FROM q) SELECT round(avg((q <> '' AND contains(p, q))::INT), 4) AS match_rate, count(*) AS spans FROM n",
 )
 def quotes_verbatim(spark, sf_dir):
-    return verify.match_rate(verify.matched_quotes(_quotes(spark, sf_dir).where("answer_id % 3 = 0"), 1.0))
+    return verify.match_rate(verify.matched_quotes(_quotes(spark, sf_dir), 1.0))
 
 
 _CAT = {"first": "(?i)tion", "second": "(?i)[aeo]n ", "threshold": "(?i)sch"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,33 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or the one that setCheckpointDir was given. Where both are unset, a local session
+    (tests) gets a new one; on a cluster that is an error, since executors could not see it."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/corpusq/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a table in the shared folder, read again: an iteration's lineage ends there."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_columns(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S1, S8. The table's columns of that schema; those it lacks are null, and a table that is not there is empty."""
     from pyspark.errors import AnalysisException
@@ -48,6 +78,14 @@ def distinct_figures(chunks: DataFrame) -> DataFrame:
     return chunks.where("figure_path is not null").groupBy("book", "figure_path").agg(F.min(F.struct("page", "i")).alias("at")).select("book", "figure_path", "at.page")
 
 
+def write_cards(cards: DataFrame, path: str, files: int = 1) -> None:
+    """S6. The cards table (id, deck, question, answer, text, images, tags), written anew each time; a card without text is
+    left out. Ids are deck and a hash of the question, so the same card keeps its id."""
+    text = F.concat_ws("\n", F.nullif(T.trimmed("question"), F.lit("")), F.nullif(T.trimmed("answer"), F.lit("")))
+    rows = cards.withColumn("text", text).where(F.col("text") != "").withColumn("id", F.concat_ws("::", "deck", F.left(F.sha1(F.coalesce("question", F.lit("")).cast("binary")), F.lit(16))))
+    rows.select("id", "deck", "question", "answer", "text", "images", "tags").repartition(files, "id").write.mode("overwrite").parquet(path)
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S9. JSON lines; a torn line is dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -115,18 +153,29 @@ def cached(queries: DataFrame, cache: DataFrame, now: Column, ttl: int) -> tuple
     return keyed.join(fresh, "key"), keyed.join(fresh, "key", "left_anti")
 
 
-def fingerprint(rows: DataFrame, key: str = "id", buckets: int = 4096) -> DataFrame:
-    """S18. Number of rows and a hash of the sorted ids: ids are dealt to buckets by hash, a bucket's ids sorted and hashed,
-    then the buckets' hashes in order. Nothing larger than a bucket is brought together."""
-    b = rows.select(F.col(key).cast("string").alias("k")).withColumn("b", F.conv(F.substring(F.md5(F.col("k").cast("binary")), 1, 3), 16, 10).cast("int") % buckets)
-    each = b.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("h"))
-    return each.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
+def _hashed(rows: DataFrame, key: str) -> DataFrame:
+    """One row: number of rows, and a hash of the sorted keys. Keys are dealt to buckets by hash, as many as the rows ask for;
+    a bucket's keys are sorted and hashed, then the buckets' hashes in order, in groups of up to 4 096, and the groups'."""
+    digits = lambda n: F.substring(F.md5(F.col("k").cast("binary")), 1, n)
+    deep = F.concat(digits(3), F.lit("/"), F.substring(F.md5(F.col("k").cast("binary")), 4, 3))
+    b = rows.select(F.col(key).cast("string").alias("k")).withColumn("b", deep)
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    each = b.groupBy("b").agg(F.count(F.lit(1)).alias("n"), joined("k").alias("h"))
+    ordered = lambda k: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "h"))), lambda x: x["h"]), "\n"), 256)
+    groups = each.groupBy(F.substring_index("b", "/", 1).alias("g")).agg(F.sum("n").alias("n"), ordered("b").alias("h"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), ordered("g").alias("hash"))
+
+
+def fingerprint(rows: DataFrame, key: str = "id") -> DataFrame:
+    """S18. Number of rows and a hash of the sorted ids. Buckets are the first six digits of the ids' hashes, so nothing
+    larger than a 16-millionth of the ids, or 4 096 hashes, is brought together."""
+    return _hashed(rows, key).select("rows", F.col("hash").alias("fingerprint"))
 
 
 def book_fingerprint(chunks: DataFrame, model: str) -> DataFrame:
-    """S19. Books with their number of chunks, and the model's name, as one hash."""
-    c = chunks.groupBy("book").agg(F.count(F.lit(1)).alias("n"))
-    return c.agg(F.count(F.lit(1)).alias("books"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "book", F.col("n").cast("string")))), "\n"), F.lit("\n" + model)), 256).alias("fingerprint"))
+    """S19. Books with their number of chunks, and the model's name, as one hash; books are hashed by bucket, as ids are."""
+    c = chunks.groupBy("book").agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws(":", "book", F.col("n").cast("string")).alias("line"))
+    return _hashed(c, "line").select(F.col("rows").alias("books"), F.sha2(F.concat("hash", F.lit("\n" + model)), 256).alias("fingerprint"))
 
 
 def exported(runs: DataFrame, column: str, run_id: str) -> DataFrame:
