@@ -8,7 +8,7 @@ from ..operators import rank, search, tag
 from ..sources import adapters as A
 from .base import Plan
 from .pages import _WINDOWS_SQL, chunks
-from .searched import _ASK_SQL, _BM25_SQL, _QUERIES_SQL, ask, text_queries
+from .searched import _ASK_SQL, _BM25_SQL, _QUERIES_SQL, ask, text_index, text_queries
 
 plan = Plan()
 
@@ -17,7 +17,7 @@ _HIT = f"{_WINDOWS_SQL}, docs0 AS (SELECT id, text FROM chunks0), {_QUERIES_SQL}
 
 def _hits(spark, sf_dir, k=40):
     c = chunks(spark, sf_dir)
-    return search.bm25(c.select("id", "text"), text_queries(spark, sf_dir), k).join(c, "id").join(text_queries(spark, sf_dir).select("query_id", "query"), "query_id")
+    return search.bm25(text_index(spark, sf_dir, "chunks"), text_queries(spark, sf_dir), k).join(c, "id").join(text_queries(spark, sf_dir).select("query_id", "query"), "query_id")
 
 
 REGIONS = {"north": ["the", "and"], "south": ["der", "und"], "west": ["les", "que"]}
@@ -188,7 +188,7 @@ def prompts_packed(spark, sf_dir):
 )
 def gap_audit(spark, sf_dir):
     topics = text_queries(spark, sf_dir).selectExpr("query_id AS topic", "query_id % 5 + 1 AS consequence", "query_id % 3 + 1 AS frequency")
-    scored = search.bm25(chunks(spark, sf_dir).select("id", "text"), text_queries(spark, sf_dir), 40).select(F.col("query_id").alias("topic"), "score")
+    scored = search.bm25(text_index(spark, sf_dir, "chunks"), text_queries(spark, sf_dir), 40).select(F.col("query_id").alias("topic"), "score")
     return rank.gap_audit(scored, topics, 20.0, 10.0)
 
 

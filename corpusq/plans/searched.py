@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate, search
 from ..sources import adapters as A
+from ..sources import store as S
 from .base import Plan
 from .pages import _WINDOWS_SQL, chunks
 
@@ -31,9 +34,18 @@ def text_queries(spark, sf_dir):
     return A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.words("text"), 1, 8), " ").alias("query"), F.col("text").alias("passage"))
 
 
+def text_index(spark, sf_dir, kind: str) -> search.Index:
+    """The index of the chunks or of the documents of a folder, in the shared folder; it is written once, and again if the
+    documents' number or letters have changed."""
+    d = A.table(spark, sf_dir, "documents")
+    state = ":".join(str(x) for x in d.agg(F.count(F.lit(1)), F.sum("n_chars")).first())
+    rows = chunks(spark, sf_dir).select("id", "text") if kind == "chunks" else d.select(F.col("doc_id").alias("id"), "text")
+    return search.indexed(rows, f"{S.shared_dir(spark)}/corpusq/index-{kind}-{hashlib.sha1(sf_dir.rstrip('/').encode()).hexdigest()}", state)
+
+
 @plan.query("fulltext_topk", f"{_WINDOWS_SQL}, docs0 AS (SELECT id, text FROM chunks0), {_QUERIES_SQL}, {_BM25_SQL.replace("{k}", "10")} SELECT query_id, id, score, rank FROM text0")
 def fulltext_topk(spark, sf_dir):
-    return search.bm25(chunks(spark, sf_dir).select("id", "text"), text_queries(spark, sf_dir), 10)
+    return search.bm25(text_index(spark, sf_dir, "chunks"), text_queries(spark, sf_dir), 10)
 
 
 @plan.query("postings", f"{_WINDOWS_SQL}, d AS (SELECT id, {_TERMS.format('text')} AS t FROM chunks0), p AS (SELECT id, len(t) AS length, unnest(t) AS term FROM d) SELECT id, length, term, count(*) AS tf FROM p GROUP BY ALL")
@@ -50,7 +62,7 @@ def postings(spark, sf_dir):
     SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h JOIN n USING (query_id) WHERE have = need QUALIFY rank <= 10""",
 )
 def all_terms(spark, sf_dir):
-    return search.all_terms(chunks(spark, sf_dir).select("id", "text"), text_queries(spark, sf_dir), 10, most=3)
+    return search.all_terms(text_index(spark, sf_dir, "chunks"), text_queries(spark, sf_dir), 10, most=3)
 
 
 _VECTORS_SQL = "v0 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q0 AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label FROM embeddings WHERE vec_id % 100 = 0)"
@@ -100,7 +112,7 @@ def hybrid_inputs(spark, sf_dir):
 
 @plan.query("hybrid_search", _HYBRID_SQL + " SELECT query_id, id, score, rank, length(text) AS chars FROM fused0 JOIN docs0 USING (id)")
 def hybrid_search(spark, sf_dir):
-    return search.hybrid(*hybrid_inputs(spark, sf_dir)).select("query_id", "id", "score", "rank", F.length("text").alias("chars"))
+    return search.hybrid(*hybrid_inputs(spark, sf_dir), index=text_index(spark, sf_dir, "documents")).select("query_id", "id", "score", "rank", F.length("text").alias("chars"))
 
 
 _CONTENT = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN (" + _STOP_SQL + ")))"
@@ -115,7 +127,7 @@ _ASK_SQL = (
 @plan.query("ask", _ASK_SQL + " SELECT * FROM ask0")
 def ask(spark, sf_dir):
     docs, v, q = hybrid_inputs(spark, sf_dir)
-    return search.ask(docs, v, q, F.col("lang") != "en").select("query_id", "id", "score", "off", "rank")
+    return search.ask(docs, v, q, F.col("lang") != "en", index=text_index(spark, sf_dir, "documents")).select("query_id", "id", "score", "off", "rank")
 
 
 @plan.query(
@@ -127,7 +139,7 @@ def ask(spark, sf_dir):
 )
 def recall_mrr(spark, sf_dir):
     c, q = chunks(spark, sf_dir).select("id", "text"), text_queries(spark, sf_dir)
-    ranked = search.bm25(c, q, 40).join(c, "id")
+    ranked = search.bm25(text_index(spark, sf_dir, "chunks"), q, 40).join(c, "id")
     return evaluate.recall(evaluate.first_hits(ranked, q.select("query_id", F.array("query").alias("any_of"))), [12, 40])
 
 
