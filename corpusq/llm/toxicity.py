@@ -7,13 +7,14 @@ Embeddings and softmax are trained together, in numpy, so a misspelling that no
 n-grams that it shares.
 
 A label says that a text is toxic, not where, and one mean over a whole text would thin a short insult away. So a text is
-scored by its windows of WINDOW words, one by one, and the largest score decides. The model is first trained on whole texts;
-then, ROUNDS times, the windows that it scores highest, one of each text, and some more of clean texts are what it is trained on
-anew. Last, a logistic fit on the learning texts turns the largest score, and the logarithm of the number of windows, into a
-probability; toxic texts count TOXIC_WEIGHT times in it.
+scored by its windows of WINDOW words, one by one, and the largest score decides. Which windows to learn from is first told by
+how much oftener their subwords are in toxic texts than in clean ones. Then, ROUNDS times, the model is trained on the windows
+that score highest, one of each text, and some more of clean texts, and its own scores choose the next. Last, a logistic fit on
+the learning texts turns the largest score, and the logarithm of the number of windows, into a probability; toxic texts count
+TOXIC_WEIGHT times in it.
 
 The model is fitted on at most MOST_TOXIC + MOST_CLEAN labelled texts, chosen by a hash of doc_id (a documented bound; whole
-texts of any length). Every document is scored over its whole text, without a shuffle. Of a trained model a window's
+texts of any length). Tasks go through these texts; the driver only sees windows' buckets, counts and features, and trains. Every document is scored over its whole text, without a shuffle. Of a trained model a window's
 score only needs one number for each bucket, so BUCKETS floats are sent to the tasks.
 
 Defined cases: null and empty texts, and those without words, have one empty window and score by the softmax's bias alone;
@@ -37,14 +38,18 @@ BUCKETS = 1 << 18
 SIZE = 4
 #: Words of a window; one begins at every word.
 WINDOW = 2
-#: Subwords of weight 0 that a whole text and a window have besides their own, so that few words don't decide alone.
-STEADY_TEXT, STEADY = 64, 8
-GAIN_TEXT, GAIN = 20.0, 10.0
-EPOCHS, ROUNDS, BATCH, RATE = 4, 2, 64, 0.1
+#: Subwords of weight 0 that a window has besides its own, so that few letters don't decide alone.
+STEADY = 8
+GAIN = 10.0
+EPOCHS, ROUNDS, BATCH, RATE = 4, 3, 64, 0.1
 #: Windows of clean texts that are learnt from besides the highest ones, for each clean text.
 MORE_CLEAN = 6
 #: A bucket is learnt if so many of the stretches have it; the others stay at 0.
 LEAST_STRETCHES = 3
+#: Added to the numbers of texts that have a subword, before they are compared.
+SMOOTH = 3.0
+#: Tasks that go through the learning texts.
+TASKS = 16
 TOXIC_WEIGHT = 4.0
 MOST_TOXIC, MOST_CLEAN = 1500, 4500
 _K = randoms(8, 41)
@@ -148,11 +153,6 @@ def _train(stretches: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, ga
     return embedding @ (softmax[:, 1] - softmax[:, 0]) * gain, float(bias[1] - bias[0])
 
 
-def _stretch(bucket: np.ndarray, starts: np.ndarray, first: int, last: int, steady: int) -> tuple[np.ndarray, np.ndarray]:
-    own, count = np.unique(bucket[starts[first] : starts[last]], return_counts=True)
-    return own.astype(np.int32), (count / (starts[last] - starts[first] + steady)).astype(np.float32)
-
-
 def _highest(score: np.ndarray, row: np.ndarray) -> np.ndarray:
     """The first of the highest windows of each row."""
     order = np.lexsort((-score, row))
@@ -180,45 +180,99 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit(texts: list[str | None], toxic: list[int], seed: int = 0) -> Model:
-    y = np.array(toxic, np.int64)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([0, 0, 40.0 if share else -40.0]))
-    bucket, starts, rows = by_word(*strings(pa.array(texts, pa.string())))
-    first, last, row = windows(rows)
-    weight, bias = _train([_stretch(bucket, starts, a, z, STEADY_TEXT) for a, z in zip(rows[:-1], rows[1:], strict=True)], y, GAIN_TEXT, seed)
-    rng = np.random.default_rng(seed)
-    clean = np.flatnonzero(y[row] == 0)
+def _having(frames):
+    """(bucket, toxic, n): texts of a mark that have a bucket."""
+    total = np.zeros((2, BUCKETS), np.int64)
+    for batch, data, offsets in batches(frames):
+        bucket, starts, rows = by_word(data, offsets)
+        toxic = batch.column("toxic").to_numpy()
+        for k in range(batch.num_rows):
+            total[toxic[k], np.unique(bucket[starts[rows[k]] : starts[rows[k + 1]]])] += 1
+    mark, bucket = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(mark), pa.array(total[mark, bucket])], ["bucket", "toxic", "n"])
+
+
+def _chosen(held, seed: int):
+    """(doc_id, toxic, nth, buckets, size) of windows to learn from: the highest of each text, and of clean ones some more."""
+
+    def run(frames):
+        weight = held.value
+        for batch, data, offsets in batches(frames):
+            bucket, starts, rows = by_word(data, offsets)
+            first, last, row = windows(rows)
+            high = _highest(_scores(weight, bucket, starts, first, last), row)
+            names, toxic, hashes = (batch.column(c).to_pylist() for c in ("doc_id", "toxic", "hash"))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            out = []
+            for k in range(batch.num_rows):
+                places = [high[k]]
+                if not toxic[k]:
+                    places += np.random.default_rng([seed, hashes[k] & 0xFFFFFFFF]).integers(ends[k], ends[k + 1], MORE_CLEAN).tolist()
+                out += [(names[k], toxic[k], i, bucket[starts[first[w]] : starts[last[w]]].astype(np.int32)) for i, w in enumerate(places)]
+            names, toxic, nth, buckets = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(toxic, pa.int32()), pa.array(nth, pa.int32()), pa.array(buckets, pa.list_(pa.int32()))], ["doc_id", "toxic", "nth", "buckets"])
+
+    return run
+
+
+def _found(held):
+    """(doc_id, toxic, largest, windows) of texts."""
+
+    def run(frames):
+        weight, bias = held.value
+        for batch, data, offsets in batches(frames):
+            bucket, starts, rows = by_word(data, offsets)
+            first, last, row = windows(rows)
+            x = _features(_scores(weight, bucket, starts, first, last), row, bias)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "toxic", "largest", "windows"])
+
+    return run
+
+
+def fit(texts: DataFrame, seed: int = 0) -> Model:
+    """The model of labelled texts (doc_id, toxic, hash, text)."""
+    spark = texts.sparkSession
+    count = dict(tuple(r) for r in texts.groupBy("toxic").count().collect())
+    if len(count) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([0, 0, 40.0 if 1 in count else -40.0]))
+    having = texts.mapInArrow(_having, "bucket long, toxic long, n long").groupBy("bucket", "toxic").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * BUCKETS
+    texts_with = np.zeros((2, BUCKETS))
+    texts_with[having["toxic"].to_numpy(), having["bucket"].to_numpy()] = having["n"].to_numpy()
+    weight, bias = np.log((texts_with[1] + SMOOTH) / (count[1] + 2 * SMOOTH)) - np.log((texts_with[0] + SMOOTH) / (count[0] + 2 * SMOOTH)), 0.0
     for _ in range(ROUNDS):
-        chosen = _highest(_scores(weight, bucket, starts, first, last), row)
-        chosen = np.append(chosen, rng.choice(clean, min(len(clean), MORE_CLEAN * int((y == 0).sum())), replace=False))
-        weight, bias = _train([_stretch(bucket, starts, first[k], last[k], STEADY) for k in chosen], y[row[chosen]], GAIN, seed)
-    x, scale = _features(_scores(weight, bucket, starts, first, last), row, bias), np.array([1.0, 0, 0])
-    count = np.where(y == 1, TOXIC_WEIGHT, 1.0)
+        held = spark.sparkContext.broadcast(weight.astype(np.float32))
+        some = texts.mapInArrow(_chosen(held, seed), "doc_id long, toxic int, nth int, buckets array<int>").toArrow().sort_by([("doc_id", "ascending"), ("nth", "ascending")])
+        stretches = []
+        for own in some["buckets"].combine_chunks():
+            own, times = np.unique(np.array(own.values, np.int32), return_counts=True)
+            stretches.append((own, (times / (times.sum() + STEADY)).astype(np.float32)))
+        weight, bias = _train(stretches, some["toxic"].to_numpy().astype(np.int64), GAIN, seed)
+        held.unpersist()
+    held = spark.sparkContext.broadcast((weight, bias))
+    found = texts.mapInArrow(_found(held), "doc_id long, toxic int, largest double, windows double").toArrow().sort_by("doc_id")
+    x, y = np.column_stack([found["largest"], found["windows"], np.ones(len(found))]), found["toxic"].to_numpy()
+    scale, times = np.array([1.0, 0, 0]), np.where(y == 1, TOXIC_WEIGHT, 1.0)
     for _ in range(50):  # Newton's steps of a logistic fit
         p = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
-        scale = scale - np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (count * (p - y)) + 1e-3 * scale)
+        scale = scale - np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (times * (p - y)) + 1e-3 * scale)
     return Model(weight, bias, scale)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str, int]]:
-    """Labelled texts to learn from, none of them held out, of either class up to its bound."""
+def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
+    """Labelled texts to learn from (doc_id, toxic, hash, text), none of them held out, of either class up to its bound."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = stage(marks, "labels")
-    near = marks.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
-    chosen = [r for mark, most in ((1, most_toxic), (0, most_clean)) for r in near.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    if not chosen:
-        return []
-    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * (most_toxic + most_clean))
-    return [(r["text"], r["toxic"]) for r in rows.collect()]
+    near = marks.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("hash", F.xxhash64("doc_id"))
+    bounded = [near.where(F.col("toxic") == mark).orderBy("hash", "doc_id").limit(most) for mark, most in ((1, most_toxic), (0, most_clean))]
+    ids = stage(bounded[0].unionByName(bounded[1]), "toxicity-ids").select(F.col("doc_id").alias("id"), "toxic", "hash")
+    # at most that many ids; of rows with one id, one
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic", "hash").agg(F.min("text").alias("text"))
+    return stage(rows.repartition(TASKS, "doc_id"), "toxicity-texts")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text) and labels (doc_id, toxic) to doc_id, held_out, score, predicted."""
-    learnt = sample(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in learnt], [x for _, x in learnt]))
+    held = docs.sparkSession.sparkContext.broadcast(fit(sample(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels)))
 
     def run(frames):
         for batch, data, offsets in batches(frames):
