@@ -249,8 +249,27 @@ def bibliography_like(c) -> Column:
     return (F.regexp_count(t, F.lit("et al")) >= 6) | (signs / (F.greatest(F.size(T.words(c)), F.lit(1)) / 100) >= 40)
 
 
+def label_agreement(chunks: DataFrame, books: str) -> DataFrame:
+    """P23. Of chunks of matching books with a chapter number both in the text and in the label: the share that agree."""
+    number = lambda c, p: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit(""))
+    both = chunks.where(F.col("book").rlike(books)).select(number("text", r"CHAPTER ([0-9]{1,3})\b").alias("said"), number("chapter", r"(?:Chapter |^)([0-9]{1,3})\b").alias("labelled"))
+    return both.where("said is not null and labelled is not null").agg(F.count(F.lit(1)).alias("labelled"), F.round(F.avg((F.col("said") == F.col("labelled")).cast("double")), 4).alias("agreement"))
+
+
+def weak_folios(chunks: DataFrame, exempt: list[str] = (), least: float = 0.9) -> DataFrame:
+    """P23. Books, but exempt ones, in which too few chunks have a printed page number."""
+    rows = chunks.where(~F.col("book").isin(list(exempt))) if exempt else chunks
+    return rows.groupBy("book").agg(F.round(F.avg((F.coalesce(F.length(F.col("printed_page").cast("string")), F.lit(0)) > 0).cast("double")), 4).alias("folio")).where(F.col("folio") < least)
+
+
+def short_chunks(chunks: DataFrame, least: int = 50) -> DataFrame:
+    """P23. Chunks of text alone, on no figure page and without a caption, of too few letters: their number."""
+    return chunks.where(~F.coalesce("has_figure", F.lit(False)) & (F.length(F.coalesce("caption", F.lit(""))) == 0) & (F.length(F.coalesce("text", F.lit(""))) < least)).agg(F.count(F.lit(1)).alias("short"))
+
+
 def invariants(chunks: DataFrame) -> DataFrame:
-    """P23. (book, chapter, text, printed_page): one row a check, with its value, target and verdict."""
+    """P23. (book, chapter, text, printed_page): one row a check over all chunks, with its value, target and verdict. The
+    checks by book or of some books are label_agreement, weak_folios and short_chunks."""
     a = chunks.agg(
         F.avg(bibliography_like("text").cast("double")).alias("bibliography"),
         F.avg((is_junk(F.col("chapter")) & (F.trim(F.coalesce("chapter", F.lit(""))) != "")).cast("double")).alias("junk"),
@@ -275,6 +294,19 @@ def contaminated_books(chunks: DataFrame, strong: list[str], legit: str, markers
     return below.join(inside, "book", "left").select("book", "n_strong", "first_strong", "boundary", F.coalesce("deletable", F.lit(0)).alias("deletable"), F.coalesce("pure", F.lit(False)).alias("pure"))
 
 
+def marker_hits(chunks: DataFrame, audit: DataFrame, markers: list[str]) -> DataFrame:
+    """P25. Pages with a marker outside the contaminated parts, to look at: each (book, page) once."""
+    marked = chunks.where(F.exists(F.array(*[F.lit(t) for t in markers]), lambda t: F.contains(F.lower(F.coalesce("text", F.lit(""))), t)))
+    parts = audit.select(F.col("book").alias("b"), "boundary")
+    return marked.join(parts, (F.col("book") == F.col("b")) & (F.col("page") >= F.col("boundary")), "left_anti").select("book", "page").distinct()
+
+
+def audit_verdict(audit: DataFrame, hits: DataFrame) -> DataFrame:
+    """P25. One row: books and rows that can be deleted, impure books, markers elsewhere (which decide nothing), and the verdict."""
+    of = audit.agg(F.coalesce(F.sum(F.when(F.col("pure"), F.col("deletable"))), F.lit(0)).alias("deletable"), F.count_if(F.col("pure") & (F.col("deletable") > 0)).alias("books"), F.count_if(~F.col("pure")).alias("impure"))
+    return of.crossJoin(hits.agg(F.count(F.lit(1)).alias("marker_hits"))).withColumn("verdict", F.when((F.col("deletable") > 0) | (F.col("impure") > 0), "dirty").otherwise("clean"))
+
+
 def purged(chunks: DataFrame, audit: DataFrame) -> DataFrame:
     """S22. Chunks outside the pure contaminated parts."""
     cut = audit.where("pure").select(F.col("book").alias("b"), "boundary")

@@ -184,6 +184,27 @@ def side(*keys) -> Column:
     return F.conv(F.left(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k for k in keys]).cast("binary"), 256), F.lit(1)), 16, 10).cast("int") % 2
 
 
+def pair_order(questions: DataFrame, hard: DataFrame, key: str = "question") -> DataFrame:
+    """E23. Questions in the order of the sheet, from place 0: hard ones first, then by id as text."""
+    marked = questions.select(key).distinct().join(hard.select(F.col(key).alias("_h")).distinct(), F.col(key) == F.col("_h"), "left")
+    marked = marked.select(key, F.when(F.col("_h").isNotNull(), "HARD").otherwise("easy").alias("tier")).withColumn("_k", F.concat(F.col("tier"), F.col(key).cast("string")))
+    return marked.join(numbered(marked, "_k"), "_k").select(key, "tier", F.col("n").alias("place"))
+
+
+def drift(fresh: DataFrame, original: DataFrame, most: float = 5.0) -> DataFrame:
+    """E24. (question, score) of the base arm, blinded, and as graded before: both means over the fresh questions that were
+    graded before, their difference, and whether graders have drifted too far for arms to be compared."""
+    both = fresh.select("question", F.col("score").alias("f")).join(original.select("question", F.col("score").alias("o")), "question").where("f is not null and o is not null")
+    m = both.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg("o"), 4).alias("original"), F.round(F.avg("f"), 4).alias("fresh"))
+    return m.withColumn("drift", F.round(F.col("fresh") - F.col("original"), 4)).withColumn("warning", F.coalesce(F.abs("drift") > most, F.lit(False)))
+
+
+def run_logs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E19. (question_id, question, status, attempts, selected_variant): the log of what failed, and that of variants chosen."""
+    errors = runs.where(F.col("status") != "completed").select("question_id", "status", "attempts")
+    return errors, runs.where("selected_variant is not null").select("question_id", "question", "selected_variant", "status")
+
+
 def unblinded(scores: DataFrame, keymap: DataFrame, arms: list[str]) -> DataFrame:
     """E24. (question, slot, score) and (question, slot, arm): a row a question with each arm's score."""
     return scores.join(keymap, ["question", "slot"]).groupBy("question").pivot("arm", arms).agg(F.first("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,63 @@ def off_target(topic, caption, regions: dict[str, list[str]], levels: dict[str,
     return out.when((F.size(tt) > 0) & (F.size(ct) > 0) & ~F.arrays_overlap(ct, tt), "region").when((F.size(tl) > 0) & (F.size(cl) > 0) & (F.size(F.array_except(tl, cl)) > 0), "level")
 
 
+@dataclass(frozen=True)
+class Guards:
+    """R16. The terms and books by which a figure is told to be off its topic; all lists are the domain's.
+
+    not_content: a pattern of captions of pages without content. scans: terms of pictures that no board wants; angles: of such
+    that no question wants either. sides: two names, each with its terms and its books' names. own: groups of terms that a
+    caption may only have if the topic has one too; own_of: such groups for topics of one side. opposed: for topics of a side,
+    pairs of groups of which a caption may not have only the other. levels: names with terms, for topics of the side level_of,
+    looked for in caption and page; blocked: those that a topic has to name."""
+
+    not_content: str
+    sides: dict[str, tuple[list[str], list[str]]]
+    scans: list[str] = ()
+    angles: list[str] = ()
+    own: list[list[str]] = ()
+    own_of: dict[str, list[list[str]]] = field(default_factory=dict)
+    opposed: dict[str, list[tuple[list[str], list[str]]]] = field(default_factory=dict)
+    levels: dict[str, list[str]] = field(default_factory=dict)
+    level_of: str = ""
+    blocked: list[str] = ()
+
+
+def no_content(caption, pattern: str) -> Column:
+    """R17. A page of titles, contents or blanks, by its caption."""
+    return F.coalesce(T.col(caption), F.lit("")).rlike(pattern)
+
+
+def off_topic(topic, caption, guards: Guards, book=None, context=None, strict: bool = False) -> Column:
+    """R16. Why a figure does not fit a topic, by the first guard that fires; null if it does. strict: only the guards that
+    need no exact topic (content, angles, sides), for free questions."""
+    low = lambda c: F.lower(F.coalesce(T.col(c), F.lit(""))) if c is not None else F.lit("")
+    top, cap, shelf = low(topic), low(caption), low(book)
+    page = F.concat_ws(" ", cap, low(context))
+
+    def has(text: Column, terms) -> Column:
+        return reduce(Column.__or__, [F.contains(text, F.lit(t.lower())) for t in terms], F.lit(False))
+
+    (one, (one_terms, one_books)), (two, (two_terms, two_books)) = guards.sides.items()
+    of = {s: (has(top, own), has(top, other)) for s, own, other in ((one, one_terms, two_terms), (two, two_terms, one_terms))}
+    on = {one: of[one][0] & ~of[one][1], two: of[two][0] & ~of[two][1]}
+    only = lambda text, yes, no: has(text, yes) & ~has(text, no)
+    across = (on[one] & (only(cap, two_terms, one_terms) | has(shelf, two_books))) | (on[two] & (only(cap, one_terms, two_terms) | has(shelf, one_books)))
+    foreign = lambda group: has(cap, group) & ~has(top, group)
+    any_of = lambda conditions: reduce(Column.__or__, conditions, F.lit(False))
+
+    reason = F.when(no_content(caption, guards.not_content), "no content")
+    if not strict:
+        reason = reason.when(has(cap, guards.scans), "scan")
+    reason = reason.when(has(cap, guards.angles), "angle").when(across, "side")
+    if strict:
+        return reason
+    asked, shown = T.tags(top, guards.levels), T.tags(page, {k: v for k, v in guards.levels.items() if k in guards.blocked})
+    compartment = [of[s][0] & ((only(top, a, b) & only(cap, b, a)) | (only(top, b, a) & only(cap, a, b))) for s, pairs in guards.opposed.items() for a, b in pairs]
+    reason = reason.when(any_of([foreign(g) for g in guards.own] + [of[s][0] & foreign(g) for s, groups in guards.own_of.items() for g in groups]), "own").when(any_of(compartment), "compartment")
+    return reason.when(of[guards.level_of][0] & (F.size(F.array_except(shown, asked)) > 0), "level") if guards.levels else reason
+
+
 def collect_figures(lanes: list[DataFrame], passages: DataFrame, guard: Column | None, cap: int, k: int) -> DataFrame:
     """R18. (query_id, path, book, page, rank, caption) lanes: each path at its best rank in a lane, lanes fused, the last
     lane's caption, guarded, then capped; a figure on a cited (book, page) takes that passage's number n, others go on."""
@@ -101,6 +159,13 @@ def refined_cards(hits: DataFrame, k: int, weight: float = 0.05, keep_ratio: flo
     return search.top(s, k)
 
 
+def retrieved_cards(cards: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, reranked: bool = True, pool: int = 40, index: search.Index | None = None, **refine) -> DataFrame:
+    """R20. (id, text) and (query_id, query, qvector): hybrid search, then reranking or a plain cut, then the refinement of R21."""
+    found = search.hybrid(cards.select("id", "text"), vectors, queries, pool, index=index).join(queries.select("query_id", "query"), "query_id")
+    found = search.rerank(found, search.lexical_score("query", "text"), pool) if reranked else found.where(F.col("rank") <= pool)
+    return refined_cards(found.select("query_id", "id", "query", "text", "score"), k, **refine)
+
+
 def low_confidence(tags, marks: list[str]) -> Column:
     """R23. The tokens of a tag text that are marks of low confidence."""
     return F.filter(T.words(tags), lambda t: t.isin(marks))
@@ -145,10 +210,12 @@ def year_of(text) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(T.col(text), F.lit("")), r"\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).cast("int")
 
 
-def literature(hits: DataFrame, now_year: int, k: int, recent: int = 5, bucket: int = 5) -> DataFrame:
+def literature(hits: DataFrame, now_year: int, k: int, recent: int = 5, bucket: int = 5, boost: Column | None = None) -> DataFrame:
     """R27. (query_id, axis, rank, pmid, tier, year): each record once, where first seen, then by bucket of five ranks, tier,
-    recent before old, newest first."""
+    recent before old, newest first. boost: a record's number of buckets by which it goes up."""
     once = first_seen(hits, ["query_id", "pmid"], [F.col("rank"), F.col("axis")])
+    if boost is not None:
+        once = once.withColumn("rank", F.greatest(F.lit(1), F.col("rank") - boost * bucket))
     old = F.when(F.lit(now_year) - F.col("year") <= recent, 0).otherwise(1)
     order = W.partitionBy("query_id").orderBy(F.floor((F.col("rank") - 1) / bucket), "tier", old, F.desc_nulls_last("year"), "pmid")
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
@@ -171,6 +238,12 @@ def topical(ranked: DataFrame, concepts: str = "concepts", text: str = "text") -
     return r.where(F.col("_ok") | ((F.col("_any") == 0) & (F.col("_p") == 1))).drop("_ok", "_any", "_p")
 
 
+def by_axis(queries: DataFrame, axes: dict[str, str]) -> DataFrame:
+    """R38. (query_id, query) once for each axis, with the axis's suffix; an axis without one leaves the query as it is."""
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("suffix")) for a, s in axes.items()]))
+    return queries.withColumn("a", each).select("query_id", "a.axis", T.trimmed(F.concat_ws(" ", "query", F.nullif(F.col("a.suffix"), F.lit("")))).alias("query"))
+
+
 def record_fields(rows: DataFrame) -> DataFrame:
     """R38. (doi, authors, year_text, pmid, abstract): a DOI without prefix if it is one, at most three authors, year, url;
     records without an abstract go."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .plans import compiled, evaluated, pages, ranked, searched, stored, streamed, structured, tagged, verified
+from .plans import audited, compiled, evaluated, pages, ranked, searched, stored, streamed, structured, tagged, verified
 
-PLANS = [pages.plan, searched.plan, ranked.plan, tagged.plan, verified.plan, compiled.plan, evaluated.plan, stored.plan, structured.plan, streamed.plan]
+PLANS = [pages.plan, searched.plan, ranked.plan, tagged.plan, verified.plan, compiled.plan, evaluated.plan, stored.plan, structured.plan, streamed.plan, audited.plan]
 
 #: Columns that are registered as JSON text, so that a result is a flat table: arrays.
 ARRAYS = {
