@@ -3,18 +3,21 @@
 A listed key is host + path. A URL fits a key if the key's host is its host or a parent domain of it, and its path starts
 with the key's path. So a URL's possible keys are its domain suffixes, each with the prefixes of its path that have the
 length of some listed path. Each possible key is looked up in the filter (one block of four 64-bit words, a bit in
-each); those that pass join the list exactly. The longest listed key wins (ties: the first by code point).
+each) where it is made, and only those that pass become rows, which join the list exactly. The longest listed key wins (ties: the
+first by code point).
 
-Only the filter's blocks are broadcast: there are at most MAX_BLOCKS of 40 bytes, however long the list is; a longer
-list only lets more keys through to the exact join.
+The filter goes to the tasks as one value of at most MAX_BLOCKS blocks of 32 bytes. For a longer list the filter is a
+table that is joined by block, so it grows with the list and lets no more through.
 
 Defined cases: a null URL, or one without "://", has empty host and path and fits no rule; rows with equal page_id and
-URL are judged each by itself and all returned; an empty table gives no rows, an empty list only default verdicts;
+URL are judged each by itself and all returned; a very long URL has a key for each of its domains and listed lengths; an empty table gives no rows, an empty list only default verdicts;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +55,7 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
     lengths = [r[0] for r in listed.select("path_length").distinct().orderBy("path_length").collect()]  # no more than the longest path has letters
     if not lengths:
         lengths = [0]
-    blocks = max(1, min(MAX_BLOCKS, -(-listed.count() // KEYS_PER_BLOCK)))
+    blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
     bloom = bloom_blocks(listed.select("key"), blocks)
 
     rows = pages.select("page_id", "url")
@@ -62,14 +65,24 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.struct(n.alias("n"), F.substring(F.col("path"), F.lit(1), n).alias("p")))
     keys = F.when(F.col("host") != "", F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(F.concat(h, p["p"]).alias("key"), p["n"].alias("n"))))))
+    keys = F.coalesce(keys, F.array().cast("array<struct<key:string,n:int>>"))
+    words = [f"w{i}" for i in range(4)]
+    if blocks <= MAX_BLOCKS:
+        # every block in order, those without a key as zeros, as one value
+        dense = pages.sparkSession.range(blocks).withColumnRenamed("id", "block").join(bloom, "block", "left").select("block", *[F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in words])
+        urls = urls.withColumn("filter", dense.agg(F.array_sort(F.collect_list(F.struct("block", *words)))).scalar())
+
+        def likely(x):
+            own = F.element_at("filter", (F.pmod(F.xxhash64(x["key"]), F.lit(blocks)) + 1).cast("int"))
+            return reduce(Column.__and__, [own[w].bitwiseAND(bit) != 0 for w, bit in zip(words, _bits(x["key"]), strict=True)])
+
+        keys = F.filter(keys, likely)
     # A first entry without a key keeps every row, and counts rows that are the same.
     none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("n")))
-    possible = urls.select("page_id", "url", "host", "path", F.explode(F.concat(none, F.coalesce(keys, F.array().cast("array<struct<key:string,n:int>>")))).alias("x")).select("page_id", "url", "host", "path", "x.key", "x.n")
-    passed = possible.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).join(F.broadcast(bloom), "block", "left")
-    hit = F.lit(True)
-    for i, bit in enumerate(_bits(F.col("key"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(bit) != 0)
-    passed = passed.where(F.col("key").isNull() | hit)
+    passed = urls.select("page_id", "url", "host", "path", F.explode(F.concat(none, keys)).alias("x")).select("page_id", "url", "host", "path", "x.key", "x.n")
+    if blocks > MAX_BLOCKS:
+        tested = passed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).join(bloom, "block", "left")
+        passed = tested.where(F.col("key").isNull() | reduce(Column.__and__, [F.col(w).bitwiseAND(bit) != 0 for w, bit in zip(words, _bits(F.col("key")), strict=True)]))
     found = passed.join(listed.withColumnRenamed("key", "rule"), F.expr("key = rule and n = path_length"), "left").select("page_id", "url", "host", "path", F.col("key").isNull().alias("row"), "rule", "rule_verdict")
     best = F.min_by(F.struct("rule", "rule_verdict"), F.when(F.col("rule").isNotNull(), F.struct(-F.length("rule"), "rule"))).alias("best")
     return (

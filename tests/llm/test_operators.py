@@ -510,11 +510,15 @@ def test_urls(spark):
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
     got = rows_of(urls.judge(df, rules), "page_id", "host", "path", "rule", "verdict")
     assert got == sorted(((r[0], *want(r[1])) for r in rows), key=str)
+    long = table(spark, [(1, "http://" + "a." * 200 + "example.org/es/" + "x/" * 5_000)], "page_id long, url string")
+    assert [tuple(r)[3:] for r in urls.judge(long, rules).collect()] == [("example.org/es/", "block")]
     assert {r.verdict for r in urls.judge(df, rules.limit(0), "block").collect()} == {"block"}
     assert urls.judge(df.limit(0), rules).count() == 0
 
 
-def test_bloom_filter_has_no_false_negatives(spark):
+@pytest.mark.parametrize("most", [1 << 18, 10])  # as one value, and as a table joined by block
+def test_bloom_filter_has_no_false_negatives(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MAX_BLOCKS", most)
     keys = [(f"h{i}.example", f"/p{i % 7}", "block") for i in range(3000)]
     pages = table(spark, [(i, f"http://www.h{i}.example/p{i % 7}/x") for i in range(4000)], "page_id long, url string")
     out = urls.judge(pages, spark.createDataFrame(keys, "host string, path string, verdict string"))
@@ -597,6 +601,9 @@ def test_language(spark):
     assert by[903].lang_pred == "xb" and all(0 <= r.score <= 1 for r in out)
     assert {r.lang_pred for r in langid.identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identified(df.limit(0)).count() == 0
+    # languages that are sent one at a time
+    texts, prototypes = df.select("doc_id", "text"), langid.learn(df.where("doc_id < 250"))
+    assert rows_of(langid.predict(texts, prototypes, part=1), "doc_id", "lang_pred") == rows_of(langid.predict(texts, prototypes), "doc_id", "lang_pred")
 
 
 # --- the registered queries and the pipeline ---------------------------------------------------------------------------
