@@ -9,6 +9,14 @@ near-dedup    of each group of near duplicates (similarity of five-word shingles
 decontaminate documents that benchmark passages make up a twentieth of go
 mix           documents are dropped and repeated so that sources come near their target weights
 tokens        token ids are written to binary files; the rows tell where each document stands
+
+Defined cases, by stage. language: null and empty texts, and those without a letter, go; repeated rows are judged each by
+itself; without any language learnt all documents go. near-dedup: null and empty texts stay, as they are like nothing; of rows
+with one doc_id one stays, and rows without a doc_id stay. decontaminate: null and empty texts stay; repeated rows are
+judged each by itself. mix: null and empty texts have no words and are never taken; ties and repeated rows are taken alike; a null
+source is a source. tokens: null and empty texts have the end id alone; a null doc_id comes first. Very long texts are taken
+whole by every stage; an empty table stays empty; columns of other names, also such as the stages use inside, are kept by all
+but the last stage, whatever they hold.
 """
 
 from __future__ import annotations
@@ -27,11 +35,11 @@ NEAR = 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    names, prototypes = langid.learn(docs.where(~held_out(F.col("doc_id"))))
+    prototypes = langid.learn(docs.where(~held_out(F.col("doc_id"))))
     prefix = decontaminate.free_name(docs, "_")
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    found = langid.predict(docs, names, prototypes, prefix)
+    found = langid.predict(docs, prototypes, prefix)
     return found.where((F.col(f"{prefix}lang_pred") != langid.UNKNOWN) & (F.col(f"{prefix}score") >= LEAST_SCORE)).select(*docs.columns)
 
 

@@ -6,14 +6,16 @@ the vectors of its trigrams, taken within words with one boundary at each end; a
 texts. The prototype with the largest cosine to a text's vector names its language, and that cosine is the score.
 
 Prototypes are sums, so they are learnt from all texts of the learning folds: each task returns a sum per language,
-and Spark adds them. There are SIZE numbers for each language, at most MOST_LANGUAGES of them; only these are collected.
+and Spark adds them. They stay in a table, SIZE numbers for each language; PART languages at a time are sent to the tasks,
+and a text keeps the best that it has met, so any number of languages does, each PART of them a pass over the texts.
 
 Letters are what Unicode calls letters, lowered; a to z and the accented letters of western Europe have a vector each, and the
 other letters share the same vectors by a hash.
 
 Defined cases: null text, and text without a letter, is "und" with score 0, as is any text if nothing was learnt; a
-negative cosine scores 0; ties go to the first language by code point; repeated documents are judged each by itself;
-rows with null lang or null doc_id are not learnt from; the empty table gives no rows; other columns are ignored.
+negative cosine counts as 0; ties, also of zeros, go to the first language by code point; repeated documents are judged each by itself;
+rows with null lang or null doc_id are not learnt from; a null doc_id counts as held out; a very long text is one bundle, made
+in memory of some times its size; the empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import types as T
 from .common import batches, held_out, randoms, stage
 
 SIZE = 1024
-MOST_LANGUAGES = 4096
+#: Languages whose prototypes are sent to the tasks at once.
+PART = 4096
 UNKNOWN = "und"
 _OWN = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 #: Letter vectors, the first for the boundary.
@@ -89,8 +92,8 @@ def bundles(data: np.ndarray, offsets: np.ndarray):
         yield k * ROWS, counts.astype(np.float32) @ bound
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages, by code point, and their prototypes, from (text, lang)."""
+def learn(docs: DataFrame) -> DataFrame:
+    """The prototypes (lang, i, x), SIZE rows a language, from (text, lang). Written."""
 
     def run(frames):
         sums: dict[str, np.ndarray] = {}
@@ -108,42 +111,61 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.astype(np.int64) for x in sums.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
     parts = docs.select("lang", F.col("text").cast("string").alias("text")).where("lang is not null and text is not null").mapInArrow(run, "lang string, bundle array<long>")
-    sums = stage(parts.select("lang", F.posexplode("bundle").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")), "prototypes")
-    if sums.where("i = 0").count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    out: dict[str, np.ndarray] = {}
-    for r in sums.collect():
-        out.setdefault(r["lang"], np.zeros(SIZE))[r["i"]] = r["x"]
-    names = sorted(k for k, v in out.items() if v.any())
-    return names, np.array([out[k] / np.linalg.norm(out[k]) for k in names]).reshape(len(names), SIZE)
+    return stage(parts.select("lang", F.posexplode("bundle").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")), "prototypes")
 
 
-PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+def _parts(prototypes: DataFrame, part: int):
+    """(languages by code point, their prototypes as rows of length 1), so many at a time."""
+    names = sorted(r["lang"] for r in prototypes.where("x <> 0").select("lang").distinct().collect())
+    for k in range(0, len(names), part):
+        own = names[k : k + part]
+        out = {name: np.zeros(SIZE) for name in own}
+        for r in prototypes.where(F.col("lang").between(own[0], own[-1])).collect():
+            if r["lang"] in out:
+                out[r["lang"]][r["i"]] = r["x"]
+        yield own, np.array([x / np.linalg.norm(x) for x in out.values()])
 
 
-def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, prefix: str = "", column: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score, each behind the prefix."""
-    held = docs.sparkSession.sparkContext.broadcast((names, prototypes.T.astype(np.float32)))
+PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
-    def run(frames):
-        known, against = held.value
-        for batch, data, offsets in batches(frames, column=column):
-            langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if known:
-                for first, bundle in bundles(data, offsets):
-                    length = np.sqrt((bundle.astype(np.float64) ** 2).sum(1))
-                    cosine = (bundle @ against) / np.maximum(length, 1e-9)[:, None]
-                    best = cosine.argmax(1)
-                    for i in np.flatnonzero(length > 0):
-                        langs[first + i], scores[first + i] = known[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, f"{prefix}lang_pred", f"{prefix}score"])
 
+def predict(docs: DataFrame, prototypes: DataFrame, prefix: str = "", column: str = "text", part: int = PART) -> DataFrame:
+    """docs with the columns lang_pred and score, each behind the prefix."""
+    lang, score = (prefix + f.name for f in PREDICTED)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(prefix + f.name, f.dataType) for f in PREDICTED]])
-    return docs.mapInArrow(run, schema)
+
+    def matched(names: list[str], rows: np.ndarray, again: bool):
+        held = docs.sparkSession.sparkContext.broadcast((names, rows.T.astype(np.float32)))
+
+        def run(frames):
+            known, against = held.value
+            for batch, data, offsets in batches(frames, column=column):
+                langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+                if again:
+                    langs, scores = batch.column(lang).to_pylist(), batch.column(score).to_numpy().copy()
+                if known:
+                    for first, bundle in bundles(data, offsets):
+                        length = np.sqrt((bundle.astype(np.float64) ** 2).sum(1))
+                        cosine = np.maximum(0, (bundle @ against) / np.maximum(length, 1e-9)[:, None])
+                        best = cosine.argmax(1)
+                        for i in np.flatnonzero(length > 0):
+                            own = min(1.0, float(cosine[i, best[i]]))
+                            if langs[first + i] == UNKNOWN or own > scores[first + i]:
+                                langs[first + i], scores[first + i] = known[best[i]], own
+                kept = [c for c in batch.schema.names if c not in (lang, score)] if again else batch.schema.names
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(langs, pa.string()), pa.array(scores)], [*kept, lang, score])
+
+        return run
+
+    out, again = docs, False
+    for names, rows in _parts(prototypes, part):
+        out = (stage(out, "languages") if again else out).mapInArrow(matched(names, rows, again), schema)
+        again = True
+    return out if again else docs.mapInArrow(matched([], np.zeros((0, SIZE)), False), schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, text, lang) to doc_id, held_out, lang_pred, score; learnt from the folds that are not held out."""
-    names, prototypes = learn(docs.where(~held_out(F.col("doc_id"))))
-    out = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), names, prototypes)
+    prototypes = learn(docs.where(~held_out(F.col("doc_id"))))
+    out = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), prototypes)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
