@@ -12,13 +12,13 @@ from .verified import _CLAIMS_SQL
 
 plan = Plan()
 
-# Claims of a conversation are a board's; every other turn is another section.
-_BOARD_SQL = _CLAIMS_SQL + ", b0 AS (SELECT answer_id // 1000 % 20 AS board, answer_id * 100 + ord AS id, concat('s', answer_id % 3) AS section, plain AS text, CASE WHEN ord % 9 = 8 THEN 'quarantine' WHEN ord % 7 = 6 THEN 'off_target' ELSE 'open' END AS status FROM claims0)"
+# Claims of ten conversations are a board, so that boards do not grow with the data; every other turn is another section.
+_BOARD_SQL = _CLAIMS_SQL + ", b0 AS (SELECT answer_id // 10000 AS board, answer_id * 100 + ord AS id, concat('s', answer_id % 3) AS section, plain AS text, CASE WHEN ord % 9 = 8 THEN 'quarantine' WHEN ord % 7 = 6 THEN 'off_target' ELSE 'open' END AS status FROM claims0)"
 
 
 def board_claims(spark, sf_dir):
     c = verify.claims(A.answers(spark, sf_dir))
-    return c.selectExpr("answer_id div 1000 % 20 AS board", "answer_id * 100 + ord AS id", "concat('s', answer_id % 3) AS section", "plain AS text", "CASE WHEN ord % 9 = 8 THEN 'quarantine' WHEN ord % 7 = 6 THEN 'off_target' ELSE 'open' END AS status")
+    return c.selectExpr("answer_id div 10000 AS board", "answer_id * 100 + ord AS id", "concat('s', answer_id % 3) AS section", "plain AS text", "CASE WHEN ord % 9 = 8 THEN 'quarantine' WHEN ord % 7 = 6 THEN 'off_target' ELSE 'open' END AS status")
 
 
 _PAIRS_SQL = _BOARD_SQL + ", t0 AS (SELECT board, id, section, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM b0), p0 AS (SELECT a.board, a.id AS a, b.id AS b FROM t0 a JOIN t0 b ON a.board = b.board AND a.id < b.id AND a.section <> b.section AND len(a.t) > 0 AND len(b.t) > 0 WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.3)"

@@ -89,7 +89,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     q = c.where("role = 'user'").selectExpr("conv_id", "turn", "text AS question")
     a = c.where("role = 'assistant'").selectExpr("conv_id AS c", "turn - 1 AS t", "text AS answer")
-    return q.join(a, F.expr("conv_id = c and turn = t")).selectExpr("conv_id * 1000 + turn AS card_ord", "concat('deck', conv_id % 5) AS deck", "question", "answer")
+    return q.join(a, F.expr("conv_id = c and turn = t")).selectExpr("conv_id * 1000 + turn AS card_ord", "concat('deck', conv_id div 20) AS deck", "question", "answer")
 
 
-CARDS_SQL = "cards0 AS (SELECT q.conv_id * 1000 + q.turn AS card_ord, concat('deck', q.conv_id % 5) AS deck, q.text AS question, a.text AS answer FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant')"
+CARDS_SQL = "cards0 AS (SELECT q.conv_id * 1000 + q.turn AS card_ord, concat('deck', q.conv_id // 20) AS deck, q.text AS question, a.text AS answer FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant')"
