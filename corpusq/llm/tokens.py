@@ -41,7 +41,7 @@ END_ID = 0
 #: Ids in a segment, as near as whole documents allow.
 SEGMENT_IDS = 1 << 18
 #: Bytes of text in a shard, about.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Distinct parts of texts whose ids a worker remembers, at about 40 bytes each.
 MOST_PIECES = 1_500_000
 #: Bytes of such parts, beyond which a worker forgets them all.
