@@ -641,7 +641,7 @@ def test_pipeline(spark):
         if name != "tokens":
             assert kept.columns == given.columns
         if name == "near-dedup":
-            assert sorted(r.doc_id for r in kept.collect()) == [w[0] for w in brute_near(rows) if w[3]]
+            assert sorted(r.doc_id for r in kept.collect()) == [w[0] for w in brute_near(rows, pipeline.NEAR) if w[3]]
         if name == "decontaminate":
             items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
             want = brute_contamination([tuple(r) for r in before.select("doc_id", "text").collect()], items, 13)
