@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, batches, stage, strings, words
+from .common import NOT_SPACE, batches, stage, words
 
 SIDE = 2
 GROUPS = MEMBERS = 32

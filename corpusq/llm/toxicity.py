@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, ALNUM, batches, held_out, mix, randoms, stage, strings, words
+from .common import _LOWER, ALNUM, batches, held_out, mix, randoms, stage, words
 
 LENGTHS = (3, 4, 5)
 BUCKETS = 1 << 18
