@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, lm, mixing, neardup, runs, tokens, toxicity, urls, warc
+from . import align, ann, decontaminate, langid, lm, mixing, neardup, runs, tokens, toxicity, urls, warc
 from .common import ready, table, tokenizer_path
 
 #: The rules that op8 judges by: host, path, verdict.
@@ -52,11 +52,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.detected(runs.planted(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_lm_score": op3_lm_score, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_tokens": op6_tokens, "op7_near_duplicates": op7_near_duplicates, "op8_url_filter": op8_url_filter, "op9_nearest": op9_nearest, "op10_language": op10_language, "op13_periodic_runs": op13_periodic_runs}
+QUERIES = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_lm_score": op3_lm_score, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_tokens": op6_tokens, "op7_near_duplicates": op7_near_duplicates, "op8_url_filter": op8_url_filter, "op9_nearest": op9_nearest, "op10_language": op10_language, "op12_alignment": op12_alignment, "op13_periodic_runs": op13_periodic_runs}
 
 ORACLE_SQL = {
     "op2_warc": """
