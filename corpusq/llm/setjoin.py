@@ -33,8 +33,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,16 +43,18 @@ from pyspark.sql import functions as F
 
 from .common import batches, mix, randoms, slices, stage
 from .graph import components
-from .neardup import _whole_tiles, forest, sets, shingles
+from .neardup import _whole_tiles, forest, shingles
 
 SHINGLE = 4
 #: Per cent; no less than LEAST_THRESHOLD, so that partners are in a band or the next.
 THRESHOLD, LEAST_THRESHOLD = 85, 70
 RATIO = 1.6
 #: One to spare for so many needed segments, and one deep segment for so many (2 and 1 at least).
-SPARE, DEEP = 12, 32
+SPARE, DEEP = 16, 48
 #: Bits of a sketch: so many for a shingle, in powers of two within these bounds.
 SKETCH, LEAST_SKETCH, MOST_SKETCH = 4, 64, 1 << 17
+#: Bits by which tasks know, before any shuffle, most documents whose sets are not needed. Sent to all tasks; 4 MB at any size.
+MARKS = 1 << 25
 #: Classes of a signature that meet in one tile, and pairs that are compared at once.
 PART, PAIRS = 512, 1 << 16
 _C = randoms(2, 41)
@@ -125,7 +125,7 @@ def sketch(values: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
-FEATURES = "uid long, doc_id long, n long, key binary, spare int, sketch binary, pieces array<struct<place:int,bucket:long>>"
+FEATURES = "uid long, doc_id long, n long, key binary, spare int, sketch binary, places array<int>, buckets array<long>"
 
 
 def features(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE) -> DataFrame:
@@ -147,10 +147,11 @@ def features(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE)
                     places.append(place)
                     buckets.append(bucket)
                     sizes[k] += len(place)
-            pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(buckets))], ["place", "bucket"]))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            pieces = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (places, buckets)]
             uid = pa.array(np.arange(number, number + batch.num_rows))
             number += batch.num_rows
-            yield pa.RecordBatch.from_arrays([uid, batch.column("doc_id"), pa.array(n), pa.array(keys, pa.binary()), pa.array(spare), pa.array(sketches, pa.binary()), pieces], ["uid", "doc_id", "n", "key", "spare", "sketch", "pieces"])
+            yield pa.RecordBatch.from_arrays([uid, batch.column("doc_id"), pa.array(n), pa.array(keys, pa.binary()), pa.array(spare), pa.array(sketches, pa.binary()), *pieces], ["uid", "doc_id", "n", "key", "spare", "sketch", "places", "buckets"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FEATURES)
 
@@ -254,6 +255,36 @@ def _similar(threshold: int):
     return run
 
 
+def sets(docs: DataFrame, length: int, marks: np.ndarray) -> DataFrame:
+    """(doc_id, key, shingles as bytes) of documents whose ids are marked, and of a few others."""
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def run(frames):
+        bits = sent.value
+        for frame in frames:
+            at = frame.column("mark").to_numpy(zero_copy_only=False)
+            wanted = frame.filter(pa.array(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1)).select(["doc_id", "text"])
+            for batch, data, offsets in batches([wanted]):
+                every, ends = shingles(data, offsets, length)
+                own = [np.unique(every[a:z]).tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], ["doc_id", "key", "shingles"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text", _mark("doc_id").alias("mark")).mapInArrow(run, "doc_id long, key binary, shingles binary")
+
+
+def _mark(c: str):
+    return F.pmod(F.xxhash64(c), F.lit(MARKS))
+
+
+def marked(ids: DataFrame) -> np.ndarray:
+    """A bit for each id, by its hash, in MARKS bits: the more ids, the more others are marked too."""
+    words = ids.select(_mark("id").alias("m")).groupBy(F.expr("m div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(m % 64 AS INT)))").alias("bits"))
+    out = np.zeros(MARKS // 64, np.uint64)
+    found = words.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 # --- operator ---------------------------------------------------------------------------------------------------------
 
 
@@ -287,10 +318,10 @@ def linked(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE) -
 
     # Signatures that several classes have, with the first of these.
     first = classes.select(F.col("c").alias("of"))
-    rows = found.join(first.hint("merge"), F.col("uid") == F.col("of"), "left_semi").select("uid", F.explode("pieces").alias("piece")).select(F.col("uid").alias("c"), "piece.place", "piece.bucket")
+    rows = found.join(first.hint("merge"), F.col("uid") == F.col("of"), "left_semi").select(F.col("uid").alias("c"), F.explode(F.arrays_zip("places", "buckets")).alias("piece")).select("c", F.col("piece.places").alias("place"), F.col("piece.buckets").alias("bucket"))
+    several = rows.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("b")
+    shared = stage(rows.join(several.hint("merge"), F.col("bucket") == F.col("b"), "left_semi").select("bucket", "c", "place"), "signatures")
     short = F.col("place") % 2 == 1
-    several = rows.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(~short, F.col("c"))).alias("hub")).where("rows > 1 and hub is not null")
-    shared = stage(rows.join(several.hint("merge"), F.col("bucket") == F.col("b")).select("bucket", "c", "place", "hub"), "signatures")
 
     by_uid = found.select("uid", "doc_id", "n", "key", "spare", "sketch")
 
@@ -305,8 +336,7 @@ def linked(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE) -
         for made in sets_made:
             ends = ends.join(made.select(F.col("c").alias("made")), F.col("c") == F.col("made"), "left_anti")
         ends = stage(ends.join(of("", "doc_id:id", "key:own"), F.col("c") == F.col("u")).select("c", "id", "own"), "set-ends")
-        texts = docs.join(ends.select(F.col("id").alias("wanted")).distinct(), F.col("doc_id") == F.col("wanted"), "left_semi")
-        new = sets(texts, length).join(ends, F.expr("doc_id = id and key = own")).select("c", "shingles")
+        new = sets(docs, length, marked(ends.select("id"))).join(ends, F.expr("doc_id = id and key = own")).select("c", "shingles")
         # rows of one id and text have equal sets
         repeated = named.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
         if not sets_made:
@@ -321,7 +351,8 @@ def linked(docs: DataFrame, threshold: int = THRESHOLD, length: int = SHINGLE) -
 
     again: list[bool] = []
     # Each class and the one that comes first most often among those with its signatures.
-    often = shared.where(~short & (F.col("c") != F.col("hub"))).groupBy("c", "hub").agg(F.count(F.lit(1)).alias("often"))
+    hubs = shared.where(~short).groupBy(F.col("bucket").alias("b")).agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub < last").drop("last")
+    often = shared.where(~short).join(hubs.hint("merge"), F.col("bucket") == F.col("b")).where("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("often"))
     stars = often.groupBy(F.col("c").alias("b")).agg(F.max_by("hub", F.struct("often", -F.col("hub"))).alias("a"))
     sketched = stars.join(of("x", "n:nx", "sketch:x").hint("merge"), F.col("a") == F.col("ux")).join(of("y", "n:ny", "sketch:y").hint("merge"), F.col("b") == F.col("uy")).select("a", "b", "nx", "ny", "x", "y")
     likely = stage(sketched.mapInArrow(_close(threshold), "a long, b long"), "set-stars")
