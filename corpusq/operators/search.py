@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import pivots, textindex
+from .pivots import distance, dot, norm
 
 K1, B = 1.2, 0.75
 FUSION = 60
@@ -37,123 +37,61 @@ def query_terms(queries: DataFrame, stop: list[str] = T.STOP, most: int = 14) ->
     return queries.select("query_id", F.explode(T.fulltext_terms("query", stop, most)).alias("term"))
 
 
-@dataclass
-class Index:
-    """R3. A written inverted index: postings (bucket, term, id, tf, length) and terms (bucket, term, df), both by bucket of
-    the term, the number of documents and the mean of their lengths."""
-
-    postings: DataFrame
-    terms: DataFrame
-    documents: int
-    mean: float
-
-
-def term_bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-
-
-#: Documents to a bucket of terms, and buckets that there are at least.
-BUCKET_DOCUMENTS, LEAST_BUCKETS = 50_000, 8
-
-
-def write_index(docs: DataFrame, path: str, state: str = "", stop: list[str] = T.STOP) -> None:
-    """R3. Index (id, text) below path, anew: texts are tokenised once, and postings move once, to the bucket of their term."""
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z][a-z0-9-]{2,})"))
-    n = docs.count()
-    buckets = max(LEAST_BUCKETS, n // BUCKET_DOCUMENTS)
-    sized = docs.select("id", F.filter(found, lambda t: ~t.isin(stop)).alias("terms")).withColumn("length", F.size("terms"))
-    every = sized.select("id", "length", F.explode("terms").alias("term")).withColumn("bucket", term_bucket(buckets))
-    # rows that stand together by bucket are counted where they are
-    counted = every.repartition(buckets, "bucket").groupBy("bucket", "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    counted.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    spark = docs.sparkSession
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    words = spark.read.parquet(f"{path}/terms").agg(F.sum("occurrences")).first()[0] or 0
-    spark.range(1).select(F.lit(n).cast("long").alias("documents"), F.lit(words / n if n else 0.0).alias("mean"), F.lit(buckets).alias("buckets"), F.lit(state).alias("state")).write.mode("overwrite").parquet(f"{path}/totals")
-
-
-def index_at(spark, path: str) -> tuple[Index, str, int] | None:
-    """The index below path, the state that it was written for, and its number of buckets; null if there is none."""
-    try:
-        totals = spark.read.parquet(f"{path}/totals").first()
-    except AnalysisException:
-        return None
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), totals["documents"], totals["mean"]), totals["state"], totals["buckets"]
-
-
-def indexed(docs: DataFrame, path: str, state: str, stop: list[str] = T.STOP) -> Index:
-    """R3. The index below path, written anew unless it was written for the same state of the documents."""
-    held = index_at(docs.sparkSession, path)
-    if not held or held[1] != state:
-        write_index(docs, path, state, stop)
-        held = index_at(docs.sparkSession, path)
-    return held[0]
-
-
-def bm25(docs: DataFrame | Index, queries: DataFrame, k: int = 10, stop: list[str] = T.STOP) -> DataFrame:
+def bm25(docs: DataFrame | textindex.Index, queries: DataFrame, k: int = 10, stop: list[str] = T.STOP) -> DataFrame:
     """R4. Top k of each query by BM25: k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)); any term may match.
-    From an index, only the buckets of asked terms are read, and their postings move once, by query and document. From
-    documents (id, text), only postings of asked terms are kept before any shuffle. Texts are never carried along."""
+    From an index, see textindex. From documents (id, text), only postings of asked terms are kept before any shuffle. Texts
+    are never carried along."""
     terms = query_terms(queries, stop)
-    if isinstance(docs, Index):
-        asked = docs.terms.join(terms, "term").select("bucket", "term", "df", "query_id")
-        hits = docs.postings.join(asked, ["bucket", "term"]).withColumns({"n": F.lit(docs.documents), "mean": F.lit(docs.mean)})
-    else:
-        found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z][a-z0-9-]{2,})"))
-        sized = docs.select("id", F.filter(found, lambda t: ~t.isin(stop)).alias("terms")).withColumn("length", F.size("terms"))
-        totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-        tf = sized.select("id", "length", F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-        hits = tf.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").crossJoin(totals).join(terms, "term")
+    if isinstance(docs, textindex.Index):
+        return textindex.bm25(docs, terms, k, K1, B)
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z][a-z0-9-]{2,})"))
+    sized = docs.select("id", F.filter(found, lambda t: ~t.isin(stop)).alias("terms")).withColumn("length", F.size("terms"))
+    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    tf = sized.select("id", "length", F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    hits = tf.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").crossJoin(totals).join(terms, "term")
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return top(hits.withColumn("w", weight).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
 
-def all_terms(docs: DataFrame | Index, queries: DataFrame, k: int = 10, most: int = 6, stop: list[str] = T.STOP) -> DataFrame:
+def all_terms(docs: DataFrame | textindex.Index, queries: DataFrame, k: int = 10, most: int = 6, stop: list[str] = T.STOP) -> DataFrame:
     """R6. Documents that have all of a query's first terms, by the number of their occurrences."""
     terms = query_terms(queries, stop, most)
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    held = docs.postings.join(docs.terms.join(terms, "term").select("bucket", "term", "query_id"), ["bucket", "term"]) if isinstance(docs, Index) else postings(docs, stop).join(terms, "term")
-    hits = held.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("score"))
+    if isinstance(docs, textindex.Index):
+        hits = textindex.all_terms(docs, terms, need)
+    else:
+        hits = postings(docs, stop).join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("score"))
     return top(hits.join(need, "query_id").where("have = need").select("query_id", "id", "score"), k)
 
 
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a) -> Column:
-    return F.sqrt(dot(a, a))
-
-
 def normalised(v) -> Column:
     """R2. A vector over its length; a zero vector stays."""
     n = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def distance(a, b) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-
-
 #: Bytes of query vectors that may be sent to every task; more queries are searched in several parts.
 MOST_QUERY_BYTES = 64 << 20
+#: Up to so many pairs are simply scored; beyond, pivots rule most of them out. The rows are the same.
+FEW_PAIRS = 4_000_000
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, measure: str = "l2") -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, measure: str = "l2", few_pairs: int = FEW_PAIRS) -> DataFrame:
     """R1, R13. (id, vector) and (query_id, qvector): each query's k nearest, by distance or by cosine; vectors that are null
     or of another size are skipped. Queries go to the vectors in parts of a checked size, and each task keeps k."""
     size = queries.agg(F.count(F.lit(1)), F.max(F.size("qvector"))).first()
     parts = max(1, math.ceil((size[0] or 0) * (size[1] or 0) * 8 / MOST_QUERY_BYTES))
-    score = -distance("vector", "qvector") if measure == "l2" else dot("vector", "qvector") / F.coalesce(F.nullif(norm("vector") * norm("qvector"), F.lit(0.0)), F.lit(1.0))
+    whole = (size[0] or 0) * vectors.select("id").count() <= few_pairs
+    ringed = vectors.where("vector is not null") if whole else pivots.ringed(vectors, measure)
 
     def part(i):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else queries
-        pairs = vectors.where("vector is not null").join(F.broadcast(own), F.size("vector") == F.size("qvector"))
-        return top(pairs.select("query_id", "id", F.round(score, 6).alias("score")), k)
+        if not whole:
+            return pivots.knn(ringed, own, k, measure)
+        return top(pivots.scored(ringed.join(F.broadcast(own), F.size("vector") == F.size("qvector")), measure), k)
 
     return reduce(DataFrame.unionByName, [part(i) for i in range(parts)])
 
@@ -169,7 +107,7 @@ def fuse(*lanes: DataFrame, k: int | None = None, c: int = FUSION) -> DataFrame:
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 40, measure: str = "l2", index: Index | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 40, measure: str = "l2", index: textindex.Index | None = None) -> DataFrame:
     """R8. k nearest by vector and k by text, fused; the payload is joined on at the end, by id."""
     lanes = knn(vectors, queries.select("query_id", "qvector"), k, measure), bm25(index or docs, queries.select("query_id", "query"), k)
     return fuse(*lanes, k=k).join(docs, "id")
@@ -191,7 +129,7 @@ def sink(ranked: DataFrame, off_domain: Column, k: int) -> DataFrame:
     return ranked.withColumn("off", F.coalesce(off_domain, F.lit(False))).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("off", "rank", "id"))).where(F.col("rank") <= k)
 
 
-def ask(docs: DataFrame, vectors: DataFrame, queries: DataFrame, off_domain: Column, k: int = 40, rerank_k: int = 12, index: Index | None = None) -> DataFrame:
+def ask(docs: DataFrame, vectors: DataFrame, queries: DataFrame, off_domain: Column, k: int = 40, rerank_k: int = 12, index: textindex.Index | None = None) -> DataFrame:
     """R11. Hybrid search, reranking, off-domain rows last, one job for all queries."""
     found = hybrid(docs, vectors, queries, k, index=index).join(queries.select("query_id", "query"), "query_id")
     return sink(rerank(found, lexical_score("query", "text"), k), off_domain, rerank_k)

@@ -200,8 +200,12 @@ def contamination_audit(spark, sf_dir):
     return clean.contaminated_books(A.pages(spark, sf_dir), [_STRONG], "^de$", [_MARK])
 
 
-def chunks(spark, sf_dir, most=120, overlap=20):
-    return chunk.chunk_pages(A.pages(spark, sf_dir), most, overlap)
+#: Words of a chunk, and of its overlap with the one before.
+CHUNKS = (120, 20)
+
+
+def chunks(spark, sf_dir):
+    return chunk.chunk_pages(A.pages(spark, sf_dir), *CHUNKS)
 
 
 _WINDOWS_SQL = f"""WITH {A.PAGES_SQL}, w0 AS (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM pages0),

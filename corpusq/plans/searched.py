@@ -7,11 +7,11 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, search
+from ..operators import evaluate, search, textindex
 from ..sources import adapters as A
 from ..sources import store as S
 from .base import Plan
-from .pages import _WINDOWS_SQL, chunks
+from .pages import _WINDOWS_SQL, CHUNKS, chunks
 
 plan = Plan()
 
@@ -34,13 +34,16 @@ def text_queries(spark, sf_dir):
     return A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.words("text"), 1, 8), " ").alias("query"), F.col("text").alias("passage"))
 
 
-def text_index(spark, sf_dir, kind: str) -> search.Index:
-    """The index of the chunks or of the documents of a folder, in the shared folder; it is written once, and again if the
-    documents' number or letters have changed."""
-    d = A.table(spark, sf_dir, "documents")
-    state = ":".join(str(x) for x in d.agg(F.count(F.lit(1)), F.sum("n_chars")).first())
-    rows = chunks(spark, sf_dir).select("id", "text") if kind == "chunks" else d.select(F.col("doc_id").alias("id"), "text")
-    return search.indexed(rows, f"{S.shared_dir(spark)}/corpusq/index-{kind}-{hashlib.sha1(sf_dir.rstrip('/').encode()).hexdigest()}", state)
+def text_index(spark, sf_dir, kind: str) -> textindex.Index:
+    """The index of the chunks or of the documents of a folder, in the shared folder. Books are runs of documents; those whose
+    documents' content has changed since the index was written are indexed again, the others stay as they are."""
+    d = A.table(spark, sf_dir, "documents").withColumn("book", A.book())
+    if kind == "chunks":
+        rows = lambda keys: chunks(spark, sf_dir).select("id", F.col("book").alias("key"), "text").join(keys, "key", "left_semi")
+    else:
+        rows = lambda keys: d.select(F.col("doc_id").alias("id"), F.col("book").alias("key"), "text").join(keys, "key", "left_semi")
+    path = f"{S.shared_dir(spark)}/corpusq/index-{kind}-{hashlib.sha1(sf_dir.rstrip('/').encode()).hexdigest()}"
+    return textindex.refresh(spark, path, S.digest(d, "book", *A.COLUMNS), rows, f"{kind}:{CHUNKS}")
 
 
 @plan.query("fulltext_topk", f"{_WINDOWS_SQL}, docs0 AS (SELECT id, text FROM chunks0), {_QUERIES_SQL}, {_BM25_SQL.replace("{k}", "10")} SELECT query_id, id, score, rank FROM text0")
@@ -82,11 +85,22 @@ def knn_l2(spark, sf_dir):
     return search.knn(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10)
 
 
+@plan.query("knn_pruned", plan.sql["knn_l2"])
+def knn_pruned(spark, sf_dir):
+    """The same, with pairs ruled out by pivots at any size."""
+    return search.knn(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10, few_pairs=0)
+
+
 @plan.query("knn_cosine", f"WITH {_VECTORS_SQL}, s AS (SELECT query_id, id, round(list_cosine_similarity(v, q), 6) AS score FROM v0, q0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
 def knn_cosine(spark, sf_dir):
     return search.knn(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10, "cosine")
 
 
+@plan.query("knn_cosine_pruned", plan.sql["knn_cosine"])
+def knn_cosine_pruned(spark, sf_dir):
+    return search.knn(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10, "cosine", few_pairs=0)
+
+
 @plan.query("normalised", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), n AS (SELECT *, list_transform(v, lambda x: x * (label + 1) / sqrt(list_inner_product(list_transform(v, lambda y: y * (label + 1)), list_transform(v, lambda y: y * (label + 1))))) AS u FROM e) SELECT vec_id, round(list_sum(u), 5) AS total, round(list_inner_product(u, u), 5) AS square FROM n")
 def normalised(spark, sf_dir):
     v = A.table(spark, sf_dir, "embeddings").select("vec_id", search.normalised(F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))).alias("u"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean
+from ..operators import clean, purge
 from ..sources import adapters as A
 from ..sources import store as S
+from ..sources.versions import Versions
 from .base import Plan
 from .pages import _WINDOWS_SQL, chunks
 
 plan = Plan()
 
+CHUNK_COLUMNS = ["book", "page", "chapter", "i", "id", "text"]
+
 
 @plan.query("new_books", f"WITH {A.PAGES_SQL} SELECT book, count(*) AS pages FROM pages0 WHERE book NOT IN (SELECT DISTINCT book FROM pages0 WHERE source = 'src1' AND book = 'b0') GROUP BY book")
 def new_books(spark, sf_dir):
@@ -91,16 +97,36 @@ def cache_hits(spark, sf_dir):
 _HASHED_SQL = "e AS (SELECT g, b, count(*) AS n, sha256(string_agg(k, chr(10) ORDER BY k)) AS h FROM b GROUP BY g, b), s AS (SELECT g, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM e GROUP BY g), hashed AS (SELECT sum(n) AS rows, sha256(string_agg(h, chr(10) ORDER BY g)) AS hash FROM s)"
 
 
-@plan.query("fingerprint", _WINDOWS_SQL + ", b AS (SELECT id AS k, left(md5(id), 3) AS g, left(md5(id), 6) AS b FROM chunks0), " + _HASHED_SQL + " SELECT rows, hash AS fingerprint FROM hashed")
+@plan.query("fingerprint", _WINDOWS_SQL + ", b AS (SELECT id AS k, left(md5(id), 3) AS g, left(md5(id), 6) AS b FROM chunks0), " + _HASHED_SQL + f" SELECT rows, '{','.join(sorted(CHUNK_COLUMNS))}' AS schema, hash AS fingerprint FROM hashed")
 def fingerprint(spark, sf_dir):
-    return S.fingerprint(chunks(spark, sf_dir))
+    return S.fingerprint(chunks(spark, sf_dir).select(*CHUNK_COLUMNS))
+
+
+#: What stands for a value in a row's hash: + or - for null, its bytes, its text.
+_PIECE = "concat(CASE WHEN {0} IS NULL THEN '-' ELSE '+' END, strlen(coalesce(CAST({0} AS VARCHAR), '')), ':', coalesce(CAST({0} AS VARCHAR), ''))"
+_DIGEST = "concat_ws('.', " + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)" for i in range(4)) + ")"
+
+
+def digest_sql(table: str, key: str, *columns: str) -> str:
+    """The digests of a table's rows by key: key, rows, digest."""
+    return f"SELECT {key} AS key, count(*) AS rows, {_DIGEST} AS digest FROM (SELECT {key}, md5(concat({', '.join(_PIECE.format(c) for c in columns)})) AS h FROM {table}) GROUP BY ALL"
+
+
+@plan.query("content_digest", _WINDOWS_SQL + " " + digest_sql("chunks0", "book", "id", "chapter", "text"))
+def content_digest(spark, sf_dir):
+    return S.digest(chunks(spark, sf_dir), "book", "id", "chapter", "text")
 
 
-@plan.query("book_fingerprint", _WINDOWS_SQL + ", c AS (SELECT concat(book, ':', count(*)) AS k FROM chunks0 GROUP BY book), b AS (SELECT k, left(md5(k), 3) AS g, left(md5(k), 6) AS b FROM c), " + _HASHED_SQL + " SELECT rows AS books, sha256(concat(hash, chr(10), 'model')) AS fingerprint FROM hashed")
+@plan.query("book_fingerprint", _WINDOWS_SQL + f", dg AS ({digest_sql('chunks0', 'book', 'id', 'text')}), c AS (SELECT concat_ws(':', key, digest, rows) AS k FROM dg), b AS (SELECT k, left(md5(k), 3) AS g, left(md5(k), 6) AS b FROM c), " + _HASHED_SQL + " SELECT rows AS books, sha256(concat(hash, chr(10), 'model')) AS fingerprint FROM hashed")
 def book_fingerprint(spark, sf_dir):
     return S.book_fingerprint(chunks(spark, sf_dir), "model")
 
 
+@plan.query("text_fingerprint", f"SELECT rows, sha256(digest) AS fingerprint FROM ({digest_sql("(SELECT *, 'all' AS a FROM benchmark)", 'a', 'item_id', 'text')})")
+def text_fingerprint(spark, sf_dir):
+    return S.text_fingerprint(A.table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 @plan.query("citations_exported", "SELECT 'run1' AS run_id, event_id AS question_id, CAST(k AS INT) AS ord, concat('b', k) AS book, event_id + k AS page FROM events, (SELECT unnest(range(0, 3)) AS k)")
 def citations_exported(spark, sf_dir):
     r = A.table(spark, sf_dir, "events").selectExpr("event_id AS question_id", "transform(sequence(0, 2), k -> named_struct('book', concat('b', k), 'page', event_id + k)) AS citations")
@@ -113,10 +139,67 @@ def paths_rerooted(spark, sf_dir):
     return e.select("event_id", S.rerooted("p", "assets").alias("path"))
 
 
-@plan.query("purged", f"WITH {A.PAGES_SQL} SELECT book, count(*) AS pages FROM pages0 WHERE NOT (book = 'b0' AND page >= 300) GROUP BY book")
+# Books of even number have foreign pages from the 101st on, with a signature; each third one has a marker, and of each sixth
+# book a page of the foreign part has a chapter of the book's own, so that its part is not pure.
+_FOREIGN = "page > 100 AND CAST(substr(book, 2) AS INT) % 2 = 0"
+_BOOK_ROWS = f"book, page, concat(text, CASE WHEN {_FOREIGN} THEN ' foreign part' ELSE '' END, CASE WHEN {_FOREIGN} AND page % 3 = 0 THEN ' foreign marker' ELSE '' END) AS text, CASE WHEN NOT ({_FOREIGN}) OR (page = 150 AND CAST(substr(book, 2) AS INT) % 6 = 4) THEN 'own' ELSE '' END AS chapter, doc_id"
+
+
+def _purged_tables(spark, sf_dir):
+    """Chunks, figures and caption lines of books in versions, and their audit."""
+    v = Versions(spark, S.new_path(spark, "versions"))
+    rows = A.pages(spark, sf_dir).selectExpr(*A._split(_BOOK_ROWS))
+    figures = A.pages(spark, sf_dir).where("has_figure").selectExpr("book", "page", "concat(book, '::f', doc_id) AS id")
+    lines = figures.selectExpr("book", "CASE WHEN page % 10 = 0 THEN '{torn' ELSE to_json(named_struct('id', id, 'caption', 'c')) END AS line")
+    v.overwrite(chunks=rows, figures=figures, captions=lines)
+    return v, lambda c: clean.contaminated_books(c, ["foreign part"], "^own$", ["foreign marker"])
+
+
+@plan.query(
+    "purged",
+    f"""WITH {A.PAGES_SQL}, c AS (SELECT {_BOOK_ROWS}, has_figure FROM pages0),
+    f AS (SELECT book, min(page) FILTER (contains(text, 'foreign part')) AS s FROM c GROUP BY book HAVING count(*) FILTER (contains(text, 'foreign part')) >= 15),
+    b AS (SELECT book, coalesce(max(page) FILTER (chapter = 'own' AND page < s), 0) + 1 AS boundary FROM c JOIN f USING (book) GROUP BY book),
+    p AS (SELECT book, boundary FROM c JOIN b USING (book) WHERE page >= boundary GROUP BY ALL HAVING NOT bool_or(chapter = 'own') AND bool_or(contains(text, 'foreign marker'))),
+    k AS (SELECT c.*, p.boundary IS NULL OR c.page < p.boundary AS kept FROM c LEFT JOIN p USING (book))
+    SELECT 'chunks' AS tab, book, count(*) AS n FROM k WHERE kept GROUP BY ALL UNION ALL SELECT 'figures', book, count(*) FROM k WHERE kept AND has_figure GROUP BY ALL UNION ALL SELECT 'captions', book, count(*) FROM k WHERE has_figure AND (kept OR page % 10 = 0) GROUP BY ALL""",
+)
 def purged(spark, sf_dir):
-    audit = spark.range(1).selectExpr("'b0' AS book", "300 AS boundary", "true AS pure")
-    return clean.purged(A.pages(spark, sf_dir), audit).groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
+    v, audit = _purged_tables(spark, sf_dir)
+    purge.purge(v, audit)
+    return reduce(DataFrame.unionByName, [v.read(t).groupBy(F.lit(t).alias("tab"), "book").agg(F.count(F.lit(1)).alias("n")) for t in ("chunks", "figures", "captions")])
+
+
+@plan.query("purge_report", plan.sql["purged"].split("SELECT 'chunks' AS tab")[0] + "SELECT CASE WHEN count(*) FILTER (NOT kept) > 0 THEN 'purged' WHEN EXISTS (SELECT 1 FROM b WHERE book NOT IN (SELECT book FROM p)) THEN 'impure' ELSE 'clean' END AS state, count(*) FILTER (NOT kept) AS chunks, count(*) FILTER (NOT kept AND has_figure) AS figures, count(*) FILTER (NOT kept AND has_figure AND page % 10 > 0) AS captions, (SELECT count(*) FROM b WHERE book NOT IN (SELECT book FROM p)) AS impure, CASE WHEN EXISTS (SELECT 1 FROM b WHERE book NOT IN (SELECT book FROM p)) THEN 'impure' ELSE 'clean' END AS again FROM k")
+def purge_report(spark, sf_dir):
+    v, audit = _purged_tables(spark, sf_dir)
+    first, again = purge.purge(v, audit), purge.purge(v, audit)
+    names = ("state", "chunks", "figures", "captions", "impure")
+    return spark.createDataFrame([(*[first[n] for n in names], again["state"])], "state string, chunks long, figures long, captions long, impure long, again string")
+
+
+@plan.query("rolled_back", f"WITH {A.PAGES_SQL} SELECT book, count(*) AS pages, sum(length(text))::BIGINT AS letters FROM pages0 GROUP BY book")
+def rolled_back(spark, sf_dir):
+    """Books replaced, compacted, and put back."""
+    v = Versions(spark, S.new_path(spark, "versions"))
+    p = A.pages(spark, sf_dir).select("book", "page", "text")
+    first = v.overwrite(pages=p)
+    v.replace(pages=p.where("book = 'b0'").withColumn("text", F.lit("other")))
+    v.compact("pages", at_least=2)
+    v.rollback(first)
+    return v.read("pages").groupBy("book").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("letters"))
+
+
+@plan.query("replaced_books", f"WITH {A.PAGES_SQL} SELECT book, count(*) AS pages, count(*) FILTER (page % 2 = 0 AND CAST(substr(book, 2) AS INT) % 3 = 1) AS changed FROM pages0 WHERE CAST(substr(book, 2) AS INT) % 3 < 2 GROUP BY book")
+def replaced_books(spark, sf_dir):
+    """Some books replaced and some removed, read as one table after the parts are put together."""
+    v = Versions(spark, S.new_path(spark, "versions"))
+    p = A.pages(spark, sf_dir).select("book", "page", F.lit("old").alias("state"))
+    v.overwrite(pages=p)
+    number = F.expr("CAST(substr(book, 2) AS INT) % 3")
+    v.replace(pages=p.where(number == 1).withColumn("state", F.expr("CASE WHEN page % 2 = 0 THEN 'new' ELSE 'old' END")), removed={"pages": p.where(number == 2)})
+    v.compact("pages", at_least=2)
+    return v.read("pages").groupBy("book").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("state") == "new").alias("changed"))
 
 
 @plan.query("media_resolved", "WITH c AS (SELECT event_id AS id, [concat('a/i', event_id % 5), concat('i', event_id % 9)] AS im FROM events), e AS (SELECT id, regexp_extract(n, '([^/]+)$', 1) AS base FROM (SELECT id, unnest(im) AS n FROM c)) SELECT id, count(*) FILTER (base < 'i5') AS resolved, count(*) FILTER (base >= 'i5') AS missing, count(DISTINCT base) FILTER (base < 'i5') AS blobs FROM e GROUP BY id")

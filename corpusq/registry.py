@@ -33,7 +33,7 @@ ARRAYS = {
     "verified_claims": ["bleed_terms"],
 }
 #: Columns whose type DuckDB would choose wider.
-LONGS = {"all_terms": ["score"], "book_fingerprint": ["books"], "chunk_shape": ["total_words"], "fingerprint": ["rows"], "groundedness_summary": ["cited", "unsupported"], "judging_budget": ["spent"], "judging_cost": ["tokens_in"], "reference_share": ["removed", "kept"]}
+LONGS = {"all_terms": ["score"], "book_fingerprint": ["books"], "chunk_shape": ["total_words"], "fingerprint": ["rows"], "text_fingerprint": ["rows"], "groundedness_summary": ["cited", "unsupported"], "judging_budget": ["spent"], "judging_cost": ["tokens_in"], "reference_share": ["removed", "kept"]}
 DOUBLES = {"coverage_drops": ["before"], "defect_ledger": ["confidence"]}
 
 

@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 PAGES_PER_BOOK = 500
 
 
+#: The columns of documents that pages are made of.
+COLUMNS = ["doc_id", "text", "lang", "source"]
+
+
+def book():
+    """The book of a document, as pages have it."""
+    return F.expr(f"concat('b', doc_id div {PAGES_PER_BOOK})")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

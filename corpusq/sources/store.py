@@ -165,18 +165,34 @@ def _hashed(rows: DataFrame, key: str) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), ordered("g").alias("hash"))
 
 
+def digest(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """S18, S19. (key, rows, digest) of rows by key, whatever their order: the four 32-bit parts of each row's 128-bit hash are added
+    up, so that a row that is changed, added, removed or repeated changes its key's digest. Digests of parts add up as well."""
+    parts = [F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    hashed = rows.select(F.col(key).alias("key"), F.md5(F.concat(*parts).cast("binary")).alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(4)]
+    return hashed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *sums).select("key", "rows", F.concat_ws(".", *[f"s{i}" for i in range(4)]).alias("digest"))
+
+
 def fingerprint(rows: DataFrame, key: str = "id") -> DataFrame:
-    """S18. Number of rows and a hash of the sorted ids. Buckets are the first six digits of the ids' hashes, so nothing
-    larger than a 16-millionth of the ids, or 4 096 hashes, is brought together."""
-    return _hashed(rows, key).select("rows", F.col("hash").alias("fingerprint"))
+    """S18. Number of rows, the sorted names of the columns, and a hash of the sorted ids. Buckets are the first six digits of the
+    ids' hashes, so nothing larger than a 16-millionth of the ids, or 4 096 hashes, is brought together."""
+    return _hashed(rows, key).select("rows", F.lit(",".join(sorted(rows.columns))).alias("schema"), F.col("hash").alias("fingerprint"))
 
 
 def book_fingerprint(chunks: DataFrame, model: str) -> DataFrame:
-    """S19. Books with their number of chunks, and the model's name, as one hash; books are hashed by bucket, as ids are."""
-    c = chunks.groupBy("book").agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws(":", "book", F.col("n").cast("string")).alias("line"))
+    """S19. Books with the digest of their content and their number of chunks, and the model's name, as one hash: it changes if a
+    text, a book, the chunks' size or the model does. Books are hashed by bucket, as ids are."""
+    books = digest(chunks, "book", "id", "text")
+    c = books.select(F.concat_ws(":", "key", "digest", F.col("rows").cast("string")).alias("line"))
     return _hashed(c, "line").select(F.col("rows").alias("books"), F.sha2(F.concat("hash", F.lit("\n" + model)), 256).alias("fingerprint"))
 
 
+def text_fingerprint(texts: DataFrame, *columns: str) -> DataFrame:
+    """S19. A set of texts, as prompts, as one digest, whatever their order: it changes if a text does."""
+    return digest(texts.withColumn("_all", F.lit("all")), "_all", *columns).select("rows", F.sha2("digest", 256).alias("fingerprint"))
+
+
 def exported(runs: DataFrame, column: str, run_id: str) -> DataFrame:
     """S20. One row for each element of a nested column, with its run."""
     return runs.select(F.lit(run_id).alias("run_id"), "question_id", F.posexplode(column).alias("ord", "e")).select("run_id", "question_id", "ord", "e.*")
@@ -197,5 +213,5 @@ def media_resolved(cards: DataFrame, media: DataFrame) -> DataFrame:
 
 def kept_lines(lines: DataFrame, gone: DataFrame) -> DataFrame:
     """S22. Caption lines without those of deleted ids; lines that do not parse stay."""
-    parsed = lines.withColumn("id", F.from_json("line", "id string")["id"])
-    return parsed.join(gone.select("id"), "id", "left_anti").select("line")
+    parsed = lines.withColumn("_id", F.from_json("line", "id string")["id"])
+    return parsed.join(gone.select(F.col("id").alias("_gone")), F.col("_id") == F.col("_gone"), "left_anti").select(*lines.columns)
