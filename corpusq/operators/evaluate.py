@@ -266,6 +266,29 @@ def defects(grades: DataFrame, kinds: dict[str, tuple[str, str, float]], routes:
     return out.withColumn("defect_id", F.concat_ws("-", F.col("question_id").cast("string"), "category", "list", F.col("i").cast("string"))).drop("list", "i")
 
 
+#: The probable layer of a defect. Fixed values.
+LAYERS = {"unsupported_claim": "model_synthesis", "disambiguation_failure": "query_decomposition"}
+
+
+def verification_defects(runs: DataFrame) -> DataFrame:
+    """E27. (question_id, answer, n_cited, n_unsupported, unsupported_markers): a defect for each answer some of whose cited claims
+    their sources do not entail."""
+    basis = F.concat(F.lit("verification: "), F.col("n_unsupported").cast("string"), F.lit("/"), F.coalesce("n_cited", F.lit(0)).cast("string"), F.lit(" cited claims not entailed by cited source (markers: "), F.array_join(F.coalesce("unsupported_markers", F.array().cast("array<string>")), ", "), F.lit(")"))
+    return _single(runs.where("n_unsupported > 0"), "unsupported_claim", F.coalesce("answer", F.lit("")), basis, 0.5, "hypothesis")
+
+
+def status_defects(grades: DataFrame) -> DataFrame:
+    """E27. (question_id, letter, usability, reason): a defect for each answer that could not be graded."""
+    reason = F.coalesce("reason", F.lit("engine returned an empty/None answer after disambiguation"))
+    basis = F.lit("Not gradable: empty answer after disambiguation narrowed question scope")
+    return _single(grades.where("letter = 'Not gradable' or usability = 'not gradable'"), "disambiguation_failure", reason, basis, 0.7, "supported")
+
+
+def _single(rows: DataFrame, category: str, excerpt: Column, basis: Column, confidence: float, causal: str) -> DataFrame:
+    """One defect of a question."""
+    return rows.select("question_id", F.lit(category).alias("category"), F.lit("material").alias("severity"), F.left(T.collapsed(excerpt), F.lit(240)).alias("excerpt"), F.lit(confidence).alias("confidence"), F.concat_ws("-", F.col("question_id").cast("string"), F.lit(category), F.lit("0")).alias("defect_id"), basis.alias("basis"), F.lit(LAYERS[category]).alias("layer"), F.lit(causal).alias("causal_status"))
+
+
 def defect_clusters(ledger: DataFrame) -> DataFrame:
     """E28. Counts by category and by severity."""
     return ledger.cube("category", "severity").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")).where("g in (1, 2)").drop("g")

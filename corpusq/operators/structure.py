@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.articles import article_parts
 
 LABEL = r"(?i)^\s*(fig(ure)?|plate)\b"
 
@@ -37,35 +38,15 @@ def complete_caption(page_text, most: int = 240) -> Column:
 SKIPPED_SECTIONS = ["coi-statement", "conflict-of-interest", "disclaimer", "funding-information", "funding", "data-availability", "supplementary-material", "author-contributions", "ethics-statement"]
 
 
-def untagged(xml: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(xml, F.lit("")), r"<[^>]*>", "")
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(value))
-    return T.collapsed(t)
-
-
 def article_sections(articles: DataFrame, aliases: dict[str, str], least: int = 20) -> DataFrame:
-    """P20. (work_id, xml) to the abstract and the body's top sections; those of a kind to skip go, a section's name is its
-    kind or else its title; a text without these elements has none. A section within another belongs to it: the closing tags are
-    counted off, so only sections of the top level are cut out."""
+    """P20. (work_id, xml) to the abstract and the body's top sections with all their text; those of a kind to skip go, a section's
+    name is its kind or else its title; XML that does not parse has none, and neither has what is shorter than `least`."""
     from .clean import canonical_section
 
-    abstract = F.regexp_extract("xml", r"(?s)<abstract\b[^>]*>(.*?)</abstract>", 1)
-    body = F.regexp_extract("xml", r"(?s)<body\b[^>]*>(.*)</body>", 1)
-    # the body's pieces, each beginning with <sec or </sec>; depth tells which open a top section
-    pieces = F.filter(F.split(body, r"(?=<sec\b|</sec>)"), lambda p: p.startswith("<sec") | p.startswith("</sec>"))
-    step = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("s"))
-    tops = F.aggregate(
-        pieces,
-        step,
-        lambda acc, p: F.when(p.startswith("<sec") & (acc["d"] == 0), F.struct(F.lit(1).alias("d"), F.concat(acc["s"], F.array(p)).alias("s"))).otherwise(
-            F.struct((acc["d"] + F.when(p.startswith("<sec"), 1).otherwise(-1)).alias("d"), F.when(F.size(acc["s"]) > 0, F.concat(F.slice(acc["s"], 1, F.greatest(F.size(acc["s"]) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc["s"], F.lit(-1)), p)))).otherwise(acc["s"]).alias("s"))
-        ),
-    )["s"]
-    kind = lambda s: F.lower(T.trimmed(F.regexp_extract(s, r"^<sec\b[^>]*?sec-type=[\"']([^\"']*)[\"']", 1)))
-    named = F.transform(tops, lambda s: F.struct(kind(s).alias("kind"), F.coalesce(F.nullif(kind(s), F.lit("")), F.regexp_extract(s, r"(?s)<title[^>]*>(.*?)</title>", 1)).alias("label"), untagged(s).alias("text")))
-    every = F.concat(F.array(F.struct(F.lit("").alias("kind"), F.lit("abstract").alias("label"), untagged(abstract).alias("text"))), F.filter(named, lambda n: ~n["kind"].isin(SKIPPED_SECTIONS)))
-    out = articles.where("xml is not null").select("work_id", F.posexplode(F.filter(every, lambda n: F.length(n["text"]) >= least)).alias("sequence", "n"))
+    parts = articles.where("xml is not null").select("work_id", article_parts("xml").alias("parts"))
+    named = F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), F.coalesce(F.nullif(p["kind"], F.lit("")), p["title"]).alias("label"), T.collapsed(p["text"]).alias("text")))
+    kept = F.filter(named, lambda n: ~n["kind"].isin(SKIPPED_SECTIONS) & (F.length(n["text"]) >= least))
+    out = parts.select("work_id", F.posexplode(kept).alias("sequence", "n"))
     return out.select("work_id", "sequence", canonical_section(F.col("n.label"), aliases).alias("section"), F.col("n.text").alias("content"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunk, clean, evaluate, rank, structure, verify
+from ..operators import chunk, clean, evaluate, gate, rank, structure, tag, verify
 from ..sources import adapters as A
 from ..sources import store as S
 from .base import Plan
@@ -265,6 +265,60 @@ def gate_metric_set(spark, sf_dir):
     )
 
 
+# Cases are conversations. Their dictation is the first turn, with a side and a level by a rule; each sentence of a later turn is a
+# claim, cited by place; a figure is asked of each.
+_SIDE, _LEVEL = "CASE conv_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE '' END", "CASE WHEN conv_id % 2 = 0 THEN 'C5-6' ELSE '' END"
+_CASE = f"conv_id AS case_id, concat(text, CASE WHEN conv_id % 3 < 2 THEN concat(' Seen on the ', {_SIDE}, ' side.') ELSE '' END, CASE WHEN conv_id % 2 = 0 THEN ' At C5-6.' ELSE '' END) AS dictation, CASE WHEN conv_id % 7 = 0 THEN 'bilateral' ELSE {_SIDE} END AS laterality, CASE WHEN conv_id % 11 = 0 THEN 'T1' ELSE {_LEVEL} END AS level, substr(text, 1, 12 + 30 * (conv_id % 2)) AS read_goal, substr(text, 3, 20) AS goal, substr(text, 5, 3) AS phrase"
+_CLAIM = "case_id, (turn + k) % 4 AS n, concat('s', (turn + k) % 4) AS section, concat('f', k % 3) AS slot, turn * 1000 + k AS id, concat(s, CASE WHEN (turn + k) % 5 > 0 THEN ' [1]' ELSE ' [L2]' END) AS text, CASE WHEN k % 2 = 0 THEN concat('p', case_id % 10) END AS pmid, k"
+_GATE_SQL = f"""WITH cases0 AS (SELECT {_CASE} FROM conversations WHERE turn = 0), claims00 AS (SELECT conv_id AS case_id, turn, string_split(text, '. ') AS p FROM conversations WHERE turn > 0),
+  claims01 AS (SELECT {_CLAIM} FROM (SELECT case_id, turn, k, p[k + 1] AS s FROM claims00, LATERAL (SELECT unnest(range(0, len(p))) AS k))),
+  claims0 AS (SELECT 'gt' AS context, * FROM claims01 UNION ALL SELECT 'det', * FROM claims01 WHERE k % 2 = 0)"""
+
+
+def _gate_tables(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations")
+    cases = c.where("turn = 0").selectExpr(*A._split(_CASE))
+    said = c.where("turn > 0").selectExpr("conv_id AS case_id", "turn", "posexplode(split(text, '[.] ')) AS (k, s)").selectExpr(*A._split(_CLAIM))
+    claims = said.withColumn("context", F.lit("gt")).unionByName(said.where("k % 2 = 0").withColumn("context", F.lit("det")))
+    return cases, claims
+
+
+@plan.query(
+    "gate_report",
+    _GATE_SQL
+    + """, n AS (SELECT count(*) AS n FROM cases0),
+    side AS (SELECT case_id, CASE WHEN regexp_matches(lower(dictation), '\\bleft\\b') THEN 'left' WHEN regexp_matches(lower(dictation), '\\bright\\b') THEN 'right' ELSE '' END AS side, CASE WHEN contains(dictation, 'C5-6') THEN 'C5-6' ELSE '' END AS lev FROM cases0),
+    det AS (SELECT case_id, count(DISTINCT section) = 4 AS ok FROM claims0 WHERE context = 'det' GROUP BY 1), gt AS (SELECT case_id, count(DISTINCT section) = 4 AS ok FROM claims0 WHERE context = 'gt' GROUP BY 1),
+    facet AS (SELECT case_id, count(DISTINCT concat(section, slot)) FILTER (section IN ('s0', 's1') AND slot IN ('f0', 'f1')) = 4 AS ok FROM claims0 WHERE context = 'gt' GROUP BY 1),
+    lit AS (SELECT case_id, count(DISTINCT section) FILTER (section IN ('s1', 's2')) = 2 AND bool_and(pmid <> 'p3') AS ok FROM claims0 WHERE context = 'gt' AND pmid IS NOT NULL GROUP BY 1),
+    el AS (SELECT case_id, section, contains(text, '[1]') AS cites FROM claims0 WHERE context = 'gt' AND section IN ('s0', 's1', 's3')), cn AS (SELECT case_id, count(DISTINCT section) FILTER (cites) = 3 AS ok FROM el GROUP BY 1),
+    tk AS (SELECT case_id, id, section, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM claims0 WHERE context = 'gt'),
+    dup AS (SELECT count(*) AS pairs FROM tk a JOIN tk b ON a.case_id = b.case_id AND a.id < b.id AND a.section <> b.section WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.72),
+    red AS (SELECT count(*) AS hits FROM (SELECT DISTINCT case_id, phrase FROM cases0 JOIN claims0 USING (case_id) WHERE contains(lower(concat(section, chr(10), text)), lower(phrase)))),
+    share AS (SELECT 'section_coverage_det' AS metric, count(*) FILTER (ok) AS k FROM det UNION ALL SELECT 'section_coverage_gt', count(*) FILTER (ok) FROM gt UNION ALL SELECT 'facet_coverage', count(*) FILTER (ok) FROM facet UNION ALL SELECT 'lit_coverage', count(*) FILTER (ok) FROM lit UNION ALL SELECT 'corpus_n_coverage', count(*) FILTER (ok) FROM cn
+      UNION ALL SELECT 'intake_side_acc', count(*) FILTER (side = laterality) FROM cases0 JOIN side USING (case_id) UNION ALL SELECT 'intake_level_acc', count(*) FILTER (lev = level) FROM cases0 JOIN side USING (case_id) UNION ALL SELECT 'intake_goal_acc', count(*) FILTER (trim(read_goal) <> '' AND contains(lower(read_goal), lower(goal))) FROM cases0 UNION ALL SELECT 'near_dup_rate', pairs FROM dup
+      UNION ALL SELECT 'figure_archetype_acc', count(*) FILTER (case_id % 4 > 0) FROM cases0 UNION ALL SELECT 'figure_side_acc', count(*) FILTER (side = laterality) FROM cases0 JOIN side USING (case_id) UNION ALL SELECT 'figure_guard_reject', count(*) FROM cases0)
+    SELECT metric, round(k / n, 6) AS value FROM share, n UNION ALL SELECT 'attribution_precision', round(avg(cites::INT), 6) FROM el UNION ALL SELECT 'red_flag_contamination', hits::DOUBLE FROM red""",
+)
+def gate_report(spark, sf_dir):
+    """The gate's metrics over cases, boards and schematics made of the conversations."""
+    cases, claims = _gate_tables(spark, sf_dir)
+    read = tag.intake(cases.select("case_id", "dictation", F.col("read_goal").alias("goal")), "dictation")
+    specs = structure.specifications(read.selectExpr("case_id", "'p' AS profile", "laterality AS side", "level"), {"p": "cross"}, {"p": "spine"})
+    wanted = cases.selectExpr("case_id", "CASE WHEN case_id % 4 > 0 THEN 'cross' ELSE 'other' END AS archetype", "laterality AS side", "level")
+    literature = claims.where("context = 'gt' AND pmid IS NOT NULL").select("case_id", "section", "pmid")
+    known = spark.createDataFrame([(f"p{i}",) for i in range(10) if i != 3], "pmid string")
+    facets = {"s0": ["f0", "f1"], "s1": ["f0", "f1"]}
+    return gate.gate_metrics(read, cases.select("case_id", "laterality", "level", "goal"), claims, literature, cases.select("case_id", "phrase"), structure.conformance(specs, wanted), ["s0", "s1", "s2", "s3"], facets, ["s1", "s2"], ["s0", "s1", "s3"], known)
+
+
+@plan.query("gate_passed", "SELECT metric, value, CASE WHEN metric IN ('near_dup_rate', 'red_flag_contamination') THEN value <= 0.25 ELSE value >= 0.25 END AS ok FROM (" + plan.sql["gate_report"] + ")")
+def gate_passed(spark, sf_dir):
+    """The gate over those metrics, each against a quarter."""
+    baseline = spark.createDataFrame([(m, 0.25, d) for m, d in gate.DIRECTIONS.items()], "metric string, baseline double, direction string")
+    return evaluate.quality_gate(gate_report(spark, sf_dir), baseline).select("metric", "value", "ok")
+
+
 _CATEGORY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(claim, '{p}') THEN '{name}'" for name, p in verify.CATEGORIES.items()) + " ELSE 'other' END"
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
-from ..operators import search
+from ..operators import search, verify
 from ..sources import adapters as A
 from .base import Plan
 from .pages import _WINDOWS_SQL, chunks
 from .searched import _BM25_SQL, _QUERIES_SQL, text_index, text_queries
+from .verified import _GROUNDED_SQL, SUFFIX
 
 plan = Plan()
 
@@ -174,6 +175,24 @@ def defect_ledger(spark, sf_dir):
     return _ledger(spark, sf_dir)
 
 
+@plan.query(
+    "verification_defects",
+    _GROUNDED_SQL
+    + " SELECT g1.answer_id AS question_id, 'unsupported_claim' AS category, 'material' AS severity, left(trim(regexp_replace(a.answer, '\\s+', ' ', 'g')), 240) AS excerpt, 0.5::DOUBLE AS confidence, concat(g1.answer_id, '-unsupported_claim-0') AS defect_id, "
+    "concat('verification: ', n_unsupported, '/', n_cited, ' cited claims not entailed by cited source (markers: ', array_to_string(unsupported_markers, ', '), ')') AS basis, 'model_synthesis' AS layer, 'hypothesis' AS causal_status FROM g1 JOIN answers0 a USING (answer_id) WHERE n_unsupported > 0",
+)
+def verification_defects(spark, sf_dir):
+    answers = A.answers(spark, sf_dir)
+    g = verify.groundedness(verify.verified(answers, A.premises(spark, sf_dir), SUFFIX))
+    return E.verification_defects(g.join(answers, "answer_id").withColumnRenamed("answer_id", "question_id"))
+
+
+@plan.query("status_defects", "SELECT event_id AS question_id, 'disambiguation_failure' AS category, 'material' AS severity, left(props, 240) AS excerpt, 0.7::DOUBLE AS confidence, concat(event_id, '-disambiguation_failure-0') AS defect_id, 'Not gradable: empty answer after disambiguation narrowed question scope' AS basis, 'query_decomposition' AS layer, 'supported' AS causal_status FROM events WHERE event_type = 'error' OR value < 5")
+def status_defects(spark, sf_dir):
+    g = A.table(spark, sf_dir, "events").selectExpr("event_id AS question_id", "CASE WHEN event_type = 'error' THEN 'Not gradable' ELSE 'B' END AS letter", "CASE WHEN value < 5 THEN 'not gradable' ELSE 'usable' END AS usability", "props AS reason")
+    return E.status_defects(g)
+
+
 @plan.query("defect_clusters", _LEDGER_SQL + " SELECT category, severity, count(*) AS n FROM l0 GROUP BY GROUPING SETS ((category), (severity))")
 def defect_clusters(spark, sf_dir):
     return E.defect_clusters(_ledger(spark, sf_dir))
