@@ -29,7 +29,7 @@ def reference_share(spark, sf_dir):
 
 
 _TITLE = "CASE WHEN page % 70 = 0 THEN 'Chapter 3: foreign' WHEN page % 35 = 0 THEN 'PREFACE to all' WHEN page % 21 = 0 THEN concat(page, ' - ', replace(substr(text, 1, 20), chr(10), ' ')) WHEN page % 14 = 0 THEN concat('x', page, 'abcdefghijklmnopqrstuvwxyz') ELSE replace(substr(text, 1, 30), chr(10), ' ') END"
-_TOC_SQL = f"WITH {A.PAGES_SQL}, toc0 AS (SELECT book, page, {_TITLE} AS title FROM pages0 WHERE page % 7 = 0)"
+_TOC_SQL = f"WITH {A.PAGES_SQL}, toc0 AS (SELECT book, page, {_TITLE} AS title FROM pages0)"
 _TRIM = "regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g')"
 _FRONT = f"(lower({_TRIM}) IN ('cover', 'cover page') OR regexp_matches(lower({_TRIM}), '^({'|'.join(clean.FRONT_PREFIXES)})'))"
 _NUMBERED = "regexp_matches(coalesce(title, ''), '^\\s*[0-9]+\\s*[-–]\\s*\\S')"
@@ -38,7 +38,7 @@ _JUNK = f"({_TRIM} = '' OR length({_TRIM}) > 60 OR regexp_matches({_TRIM}, '(?i)
 
 
 def _toc(spark, sf_dir):
-    return A.pages(spark, sf_dir).where("page % 7 = 0").selectExpr("book", "page", f"{_TITLE} AS title")
+    return A.pages(spark, sf_dir).selectExpr("book", "page", f"{_TITLE} AS title")
 
 
 @plan.query("label_kinds", f"{_TOC_SQL} SELECT book, count(*) FILTER ({_JUNK}) AS junk, count(*) FILTER ({_NUMBERED}) AS numbered, count(*) FILTER ({_FRONT}) AS front, count(*) FILTER ({_RANDOM}) AS random FROM toc0 GROUP BY book")

@@ -64,10 +64,10 @@ def specifications(spark, sf_dir):
     return S.specifications(_cases(spark, sf_dir), _ARCH, _REG).select("case_id", "spec", "archetype", "region")
 
 
-@plan.query("conformance", "SELECT count(*) FILTER (event_id % 4 > 0) AS archetype_ok, count(*) AS side_ok, count(*) AS level_ok, count(*) AS guard_ok FROM events WHERE event_type = 'click'")
+@plan.query("conformance", "SELECT count(*) FILTER (event_id % 4 > 0 AND event_type = 'click' OR event_id % 4 = 0 AND event_type NOT IN ('click', 'view')) AS archetype_ok, count(*) AS side_ok, count(*) AS level_ok, count(*) AS guard_ok FROM events")
 def conformance(spark, sf_dir):
-    specs = S.specifications(_cases(spark, sf_dir).where("profile = 'click'"), _ARCH, _REG)
-    truth = _cases(spark, sf_dir).where("profile = 'click'").withColumn("archetype", F.when(F.col("case_id") % 4 > 0, "cross").otherwise("other"))
+    specs = S.specifications(_cases(spark, sf_dir), _ARCH, _REG)
+    truth = _cases(spark, sf_dir).withColumn("archetype", F.when(F.col("case_id") % 4 > 0, "cross").otherwise("corridor"))
     return S.conformance(specs, truth).agg(*[F.count_if(c).alias(c) for c in ("archetype_ok", "side_ok", "level_ok", "guard_ok")])
 
 
