@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, batches, stage, words
+from .common import NOT_SPACE, batches, new_path, stage, words
 
 SIDE = 2
 GROUPS = MEMBERS = 32
@@ -40,6 +40,8 @@ LEAST_SQUARE = 1e-12
 BATCH = 16384
 #: Words whose counts are sent to the tasks, at most, and the parts in which gradients are added up.
 HEAD, SLICES = 1 << 17, 16
+#: Tasks whose gradients are added up at once.
+TASKS = 64
 #: Distinct words that a task counts before it passes them on.
 MOST_COUNTED = 1 << 20
 
@@ -247,7 +249,10 @@ def coded(docs: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "classes", "log_counts", "tail", "times"])
 
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(ROUNDS)).cast("int")
-    return stage(docs.mapInArrow(run, CODED).withColumns({"row": F.monotonically_increasing_id(), "part": part}), "classes")
+    # by part, so that a step of training reads its own part only
+    rows, path = docs.mapInArrow(run, CODED).withColumns({"row": F.monotonically_increasing_id(), "part": part}), new_path(docs.sparkSession, "classes")
+    rows.write.partitionBy("part").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _classes(frames):
@@ -275,10 +280,13 @@ def gradient(rows: DataFrame, network: Network) -> np.ndarray | None:
     def added(t: pa.Table) -> pa.Table:
         t = t.sort_by("task")
         total = sum(np.frombuffer(x.as_py(), np.float64) for x in t["total"])
-        return pa.table({"slice": t["slice"].slice(0, 1), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"slice": t["slice"].slice(0, 1), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "total": pa.array([total.tobytes()], pa.binary()), "task": t["task"].slice(0, 1)})
 
+    schema = "slice int, n long, total binary, task int"
     sums = rows.select("classes").mapInArrow(run, "slice int, n long, total binary").withColumn("task", F.spark_partition_id())
-    found = sums.groupBy("slice").applyInArrow(added, "slice int, n long, total binary").collect()
+    # in two steps, so that no group holds a row of every task
+    some = sums.groupBy("slice", F.expr(f"task div {TASKS}")).applyInArrow(lambda t: added(t.select(["slice", "n", "total", "task"])), schema)
+    found = some.groupBy("slice").applyInArrow(added, schema).collect()
     held.unpersist()
     if not found:
         return None
