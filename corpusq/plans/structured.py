@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import structure as S
+from ..operators import tag
 from ..sources import adapters as A
 from .base import Plan
 
@@ -46,10 +47,17 @@ def article_sections(spark, sf_dir):
     return found.select("work_id", "section", F.length("content").cast("long").alias("letters"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@plan.query("labelled_abstracts", "SELECT event_id AS pmid, label, text FROM (SELECT event_id, 'METHODS' AS label, concat('First ', user_id, ' then.') AS text FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'TEXT', 'plain' FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id, 'AIM', 'an aim' FROM events WHERE event_id % 3 = 0)")
+@plan.query(
+    "labelled_abstracts",
+    """WITH t AS (SELECT conv_id AS pmid, CASE WHEN turn % 5 = 4 THEN 'TEXT' ELSE upper(role) END AS label, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations WHERE conv_id % 7 <> 3)
+    SELECT pmid, label, length(string_agg(t, ' ' ORDER BY turn)) AS letters, md5(string_agg(t, ' ' ORDER BY turn)) AS text_md5 FROM t WHERE t <> '' GROUP BY ALL""",
+)
 def labelled_abstracts(spark, sf_dir):
-    e = _events(spark, sf_dir).selectExpr("event_id AS pmid", "CASE event_id % 3 WHEN 0 THEN concat('<Abstract><AbstractText Label=\"Methods:\">First ', user_id, '</AbstractText><AbstractText Label=\"aim\">an <i>aim</i></AbstractText><AbstractText Label=\"METHODS\">then.</AbstractText></Abstract>') WHEN 1 THEN '<Abstract><AbstractText>plain</AbstractText></Abstract>' ELSE '<Abstract><bad' END AS xml")
-    return S.labelled_abstracts(e)
+    """Abstracts of which each turn of a conversation is a part, labelled by its role; one in seven does not parse."""
+    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "replace(replace(text, '&', '&amp;'), '<', '&lt;') AS t", "CASE WHEN turn % 5 = 4 THEN '' ELSE concat(' Label=\"', initcap(role), ':\"') END AS label")
+    whole = c.groupBy(F.col("conv_id").alias("pmid")).agg(F.array_sort(F.collect_list(F.struct("turn", "label", "t"))).alias("parts"))
+    xml = F.concat(F.lit("<Abstract>"), F.array_join(F.transform("parts", lambda x: F.concat(F.lit("<AbstractText"), x["label"], F.lit(">"), x["t"], F.lit("</AbstractText>"))), ""), F.when(F.col("pmid") % 7 == 3, "").otherwise("</Abstract>"))
+    return S.labelled_abstracts(whole.select("pmid", xml.alias("xml"))).select("pmid", "label", F.length("text").cast("long").alias("letters"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 _ARCH, _REG = {"click": "cross", "view": "plan"}, {"click": "spine"}
@@ -94,18 +102,34 @@ def manifest_errors(spark, sf_dir):
     return S.manifest_errors(_manifest(spark, sf_dir), {"SP": 4, "SB": 3})
 
 
-@plan.query("board_cards", "SELECT event_id AS board, CAST(o AS INT) AS ord, s AS section, c AS card FROM events, (VALUES (0, 'intro', 'before'), (2, 'anat', 'a fact'), (5, 'anat', 'done')) v(o, s, c)")
+@plan.query(
+    "board_cards",
+    """WITH c AS (SELECT conv_id, turn, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS card, (turn % 3 = 2 OR turn % 3 = 0 AND NOT (turn = 0 AND conv_id % 4 = 0))::INT AS h FROM conversations),
+    o AS (SELECT *, sum(h + 1) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord FROM c)
+    SELECT conv_id AS board, CAST(ord AS INT) AS ord, CASE WHEN turn % 3 = 2 THEN 'risk' WHEN conv_id % 4 = 0 AND turn < 2 THEN 'intro' ELSE 'anat' END AS section, md5(card) AS card_md5 FROM o WHERE card <> '' AND NOT ends_with(card, '?')""",
+)
 def board_cards(spark, sf_dir):
-    b = _events(spark, sf_dir).select(F.col("event_id").alias("board"), F.lit("- ✓ before\n## Anatomy\n- ⚠ a fact \n- ✗ a question?\n## Unknown\n- [x] done\nplain").alias("markdown"))
-    return S.board_cards(b, {"Anatomy": "anat"}, "intro")
+    """Boards of conversations: turns are cards, under headings by place."""
+    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "concat(CASE WHEN turn % 3 = 2 THEN concat('## Risks', chr(10)) WHEN turn % 3 = 0 AND NOT (turn = 0 AND conv_id % 4 = 0) THEN concat('## Anatomy', chr(10)) ELSE '' END, CASE turn % 2 WHEN 0 THEN '- \u2713 ' ELSE '  - [x] ' END, replace(text, chr(10), ' ')) AS line")
+    b = c.groupBy(F.col("conv_id").alias("board")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+    return S.board_cards(b, {"Anatomy": "anat", "Risks": "risk"}, "intro").select("board", "ord", "section", F.md5(F.col("card").cast("binary")).alias("card_md5"))
 
 
-@plan.query("intake_accuracy", "SELECT count(*) AS cases, count(*) FILTER (event_id % 3 > 0) AS side_ok, count(*) FILTER (event_id % 2 = 0) AS goal_ok, count(*) FILTER (event_id % 5 > 0) AS history_ok FROM events")
+_INTAKE = "conv_id AS case_id, concat(text, CASE conv_id % 3 WHEN 0 THEN ' Pain on the left.' WHEN 1 THEN ' The right arm.' ELSE '' END, CASE WHEN conv_id % 2 = 0 THEN ' Seen at C5-6.' ELSE '' END) AS dictation, CASE conv_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE '' END AS side, CASE WHEN conv_id % 2 = 0 THEN 'C5-6' ELSE '' END AS level"
+
+
+@plan.query(
+    "intake_accuracy",
+    f"""WITH c AS (SELECT {_INTAKE}, text, conv_id FROM conversations WHERE turn = 0)
+    SELECT count(*) AS cases, count(*) FILTER (conv_id % 7 > 0 OR side = 'left') AS laterality_ok, count(*) FILTER (conv_id % 11 > 0 OR level = 'T1') AS level_ok, count(*) FILTER (contains(lower(substr(text, 1, 30)), lower(substr(text, 1 + conv_id % 30, 9)))) AS goal_ok,
+      count(*) FILTER ((contains(lower(substr(text, 1, 20)), lower(substr(text, 4, 8))) OR contains(lower(substr(text, 21)), lower(substr(text, 4, 8)))) AND (contains(lower(substr(text, 1, 20)), lower(substr(text, 18 + 9 * (conv_id % 3), 8))) OR contains(lower(substr(text, 21)), lower(substr(text, 18 + 9 * (conv_id % 3), 8))))) AS history_ok FROM c""",
+)
 def intake_accuracy(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    read = e.selectExpr("event_id AS case_id", "CASE WHEN event_id % 3 > 0 THEN 'left' END AS side", "CASE WHEN event_id % 2 = 0 THEN 'Full REMOVAL of it' ELSE 'none' END AS goal", "CASE WHEN event_id % 5 > 0 THEN array('High blood pressure', 'Asthma') ELSE array('asthma') END AS history")
-    truth = e.selectExpr("event_id AS case_id", "'left' AS side", "'removal' AS goal", "array('asthma', 'blood pressure') AS history")
-    return S.intake_accuracy(read, truth, ["side"], ["goal"], ["history"])
+    """What the deterministic pass reads from first turns, and parts of them, against truths by a rule that is sometimes another."""
+    c = A.table(spark, sf_dir, "conversations").where("turn = 0").selectExpr(*A._split(_INTAKE), "text", "conv_id")
+    read = tag.intake(c.select("case_id", "dictation", F.expr("substr(text, 1, 30)").alias("goal"), F.expr("array(substr(text, 1, 20), substr(text, 21))").alias("history")), "dictation")
+    truth = c.selectExpr("case_id", "CASE WHEN conv_id % 7 = 0 THEN 'left' ELSE side END AS laterality", "CASE WHEN conv_id % 11 = 0 THEN 'T1' ELSE level END AS level", "substr(text, 1 + conv_id % 30, 9) AS goal", "array(substr(text, 4, 8), substr(text, 18 + 9 * (conv_id % 3), 8)) AS history")
+    return S.intake_accuracy(read, truth, ["laterality", "level"], ["goal"], ["history"])
 
 
 @plan.query("section_coverage", "SELECT user_id AS case_id, count(*) FILTER (event_type IN ('click', 'view')) AS sections, count(*) FILTER (event_type IN ('click', 'view') AND event_id % 2 = 0) AS citing, NOT bool_or(event_id % 2 = 0 AND event_id % 100 = 0) AS no_fabrication FROM events GROUP BY user_id")

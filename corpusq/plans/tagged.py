@@ -107,41 +107,56 @@ def coverage_gaps(spark, sf_dir):
     return c.select("id", tag.coverage_gaps("q", "a").alias("gaps"))
 
 
+# Turns as dense lines: their sentences as questions, as numbered steps, as clauses, or as they are.
+_DENSE = "conv_id * 1000 + turn AS id, CASE conv_id % 4 WHEN 0 THEN replace(text, '. ', '? ') WHEN 1 THEN concat('(1) ', replace(text, '. ', '; (2) ')) WHEN 2 THEN replace(text, '. ', ';') ELSE text END AS t"
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
 @plan.query(
     "compound_split",
-    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN [concat('Is it ', user_id, '?'), 'Or not?'] WHEN 1 THEN ['first', concat('second ', user_id)] WHEN 2 THEN ['a', 'b', CAST(user_id AS VARCHAR)] WHEN 3 THEN [concat('The first sentence is long enough to count here ', user_id, ' and so on to be sure.'), 'The second sentence is long enough to count here as well.', 'The third sentence is long enough to count here too, surely so.'] ELSE []::VARCHAR[] END AS parts FROM events",
+    f"""WITH c0 AS (SELECT {_DENSE} FROM conversations), c AS (SELECT id, {_STRIP.format('t')} AS t FROM c0),
+    k AS (SELECT *, length(t) - length(replace(t, '?', '')) AS q, len(regexp_extract_all(t, '\\([0-9]+\\)')) AS s, length(t) - length(replace(t, ';', '')) AS c, string_split_regex(t, '[.]\\s+') AS p FROM c),
+    l AS (SELECT *, list_filter(list_transform(p, lambda x, i: {_STRIP.format("concat(x, CASE WHEN i < len(p) THEN '.' ELSE '' END)")}), lambda x: length(x) > 15) AS long FROM k),
+    o AS (SELECT id, CASE WHEN q >= 2 THEN list_transform(list_filter(list_transform(string_split(t, '?'), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), lambda x: concat(x, '?'))
+      WHEN s >= 2 THEN list_filter(list_transform(string_split_regex(t, '\\([0-9]+\\)'), lambda x: regexp_replace(x, '^[ ;,.]+|[ ;,.]+$', '', 'g')), lambda x: x <> '')
+      WHEN c >= 2 THEN list_filter(list_transform(string_split(t, ';'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') WHEN length(t) > 180 AND len(long) >= 3 THEN long ELSE [] END AS parts FROM l)
+    SELECT id, CAST(len(parts) AS INT) AS n, md5(array_to_string(parts, '|')) AS parts_md5 FROM o""",
 )
 def compound_split(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").selectExpr(
-        "event_id",
-        "CASE event_id % 5 WHEN 0 THEN concat('Is it ', user_id, '? Or not? ') WHEN 1 THEN concat('(1) first; (2) second ', user_id, '.') WHEN 2 THEN concat('a; b;', user_id) WHEN 3 THEN concat('The first sentence is long enough to count here ', user_id, ' and so on to be sure. The second sentence is long enough to count here as well. The third sentence is long enough to count here too, surely so.') ELSE 'Short. One.' END AS t",
-    )
-    return e.select("event_id", tag.split_compound("t").alias("parts"))
+    c = A.table(spark, sf_dir, "conversations").selectExpr(*A._split(_DENSE)).withColumn("parts", tag.split_compound("t"))
+    return c.select("id", F.size("parts").alias("n"), F.md5(F.array_join("parts", "|").cast("binary")).alias("parts_md5"))
+
+
+_ANSWER = "conv_id * 1000 + turn AS id, CASE conv_id % 4 WHEN 0 THEN concat(' Not  Found', CASE WHEN turn % 2 = 0 THEN '. ' ELSE '' END) WHEN 1 THEN concat('Not found. ', text) ELSE regexp_replace(text, CASE WHEN turn % 3 = 0 THEN '.' ELSE 'zzz' END, ' '{g}) END AS answer"
 
 
-@plan.query("refusals", "SELECT event_type, count(*) FILTER (event_id % 4 < 2) AS refused FROM events GROUP BY event_type")
+@plan.query("refusals", f"WITH a AS (SELECT {_ANSWER.replace('{g}', ", 'g'")} FROM conversations) SELECT id, lower(regexp_replace(trim(regexp_replace(coalesce(answer, ''), '\\s+', ' ', 'g')), '[.]$', '')) IN ('', 'not found') AS refused FROM a")
 def refusals(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").selectExpr("event_type", "CASE event_id % 4 WHEN 0 THEN ' Not  found. ' WHEN 1 THEN ' ' WHEN 2 THEN 'Not found, but see' ELSE 'found' END AS answer")
-    return e.groupBy("event_type").agg(F.count_if(tag.is_refusal("answer", "not found.")).alias("refused"))
+    """Answers that are the refusal, begin with it, are turns, or are blank."""
+    return A.table(spark, sf_dir, "conversations").selectExpr(*A._split(_ANSWER.replace("{g}", ""))).select("id", tag.is_refusal("answer", "not found.").alias("refused"))
 
 
-@plan.query("replies_parsed", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS label, CASE WHEN event_id % 3 > 0 THEN CAST(user_id AS INT) END AS n FROM events")
+@plan.query("replies_parsed", "SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 3 > 0 THEN role END AS label, CASE WHEN conv_id % 3 > 0 THEN length(text)::INT END AS n, CASE WHEN conv_id % 3 > 0 THEN md5(text) END AS said_md5 FROM conversations")
 def replies_parsed(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "CASE event_id % 3 WHEN 0 THEN 'no json here' WHEN 1 THEN concat('```json', chr(10), to_json(named_struct('label', event_type, 'n', user_id)), chr(10), '```') ELSE concat('Sure: ', to_json(named_struct('label', event_type, 'n', user_id)), ' done') END AS reply")
-    return tag.replies(e, "label string, n int").select("event_id", "parsed.label", "parsed.n")
+    """Replies with JSON of a turn, in a fence or between sentences, or without any."""
+    json = "to_json(named_struct('label', role, 'n', length(text), 'said', text))"
+    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", f"CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN concat(text, chr(10), '```json', chr(10), {json}, chr(10), '```') ELSE concat(text, ' ', {json}, ' ', text) END AS reply")
+    return tag.replies(c, "label string, n int, said string").select("id", "parsed.label", "parsed.n", F.md5(F.col("parsed.said").cast("binary")).alias("said_md5"))
 
 
-@plan.query("lines_parsed", "SELECT event_id, [concat('T', user_id % 3), 'L2'] AS refs, event_type AS kind, CAST(user_id AS VARCHAR) AS dose FROM events")
+@plan.query("lines_parsed", "SELECT conv_id * 1000 + turn AS id, CASE WHEN contains(text, '. ') THEN [concat('L', turn), concat('T', conv_id % 3)] ELSE [concat('L', turn)] END AS refs, role AS kind, md5(regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g')) AS said_md5 FROM conversations")
 def lines_parsed(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").selectExpr("event_id", "concat('Kind: ', event_type, ' ', chr(10), 'dose:', user_id, chr(10), 'plain line', chr(10), 'kind: later') AS f", "concat('x [T', user_id % 3, '] y [L2] [T', user_id % 3, '] [9]') AS r")
-    return e.select("event_id", tag.refs("r").alias("refs"), tag.fields("f").alias("m")).select("event_id", "refs", F.col("m")["kind"].alias("kind"), F.col("m")["dose"].alias("dose"))
+    """Marks in a turn, and its role and text as fields."""
+    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "concat('[L', turn, '] ', replace(text, '. ', concat(' [T', conv_id % 3, ']. ')), ' [9] [L', turn, ']') AS r", "concat('Kind: ', role, ' ', chr(10), 'a line without a field', chr(10), ' SAID :', replace(text, chr(10), ' '), chr(10), 'kind: later') AS f")
+    return c.select("id", tag.refs("r").alias("refs"), tag.fields("f").alias("m")).select("id", "refs", F.col("m")["kind"].alias("kind"), F.md5(F.col("m")["said"].cast("binary")).alias("said_md5"))
 
 
-@plan.query("cards_coerced", "SELECT event_type, count(*) FILTER (event_id % 6 > 0 AND user_id % 3 > 0) AS kept, count(*) FILTER (NOT (event_id % 6 > 0 AND user_id % 3 > 0)) AS dropped FROM events GROUP BY event_type")
+@plan.query("cards_coerced", "SELECT conv_id * 1000 + turn AS id, turn % 5 BETWEEN 1 AND 3 AND conv_id % 6 > 0 AND regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> '' AS kept FROM conversations")
 def cards_coerced(spark, sf_dir):
-    c = A.table(spark, sf_dir, "events").selectExpr("event_type", "user_id % 3 AS slot", "CASE WHEN event_id % 6 > 0 THEN 'q' ELSE ' ' END AS question")
-    ok, rest = tag.coerced_cards(c, spark.range(1, 3).withColumnRenamed("id", "slot"), ["slot"])
-    return ok.withColumn("k", F.lit(1)).unionByName(rest.withColumn("k", F.lit(0))).groupBy("event_type").agg(F.sum("k").alias("kept"), F.sum(1 - F.col("k")).alias("dropped"))
+    """Turns as cards of five places, of which three are known; some are blank."""
+    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "turn % 5 AS slot", "CASE WHEN conv_id % 6 = 0 THEN regexp_replace(text, '[^ ]', '') ELSE text END AS question")
+    ok, rest = tag.coerced_cards(c, spark.range(1, 4).withColumnRenamed("id", "slot"), ["slot"])
+    return ok.withColumn("kept", F.lit(True)).unionByName(rest.withColumn("kept", F.lit(False))).select("id", "kept")
 
 
 @plan.query("sections_backfilled", "WITH c AS (SELECT user_id % 30 AS board, event_type AS section, 'own' AS origin FROM events WHERE user_id % 4 = 0), s AS (SELECT DISTINCT user_id % 30 AS board, event_type AS section, 'scaffold' AS origin FROM events) SELECT board, section, origin, count(*) AS n FROM (SELECT * FROM c UNION ALL SELECT s.* FROM s ANTI JOIN c USING (board, section)) GROUP BY ALL")
@@ -158,10 +173,18 @@ def cards_pruned(spark, sf_dir):
     return tag.pruned(d, REGIONS).select("doc_id")
 
 
-@plan.query("declarative_lines", "WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id % 3 AS k, text AS t FROM conversations) SELECT id, md5(CASE k WHEN 0 THEN concat('A fact.', chr(10), '   kept reason') WHEN 1 THEN 'Then.' ELSE 'One' END) AS said_md5 FROM c")
+_LINED = "doc_id, replace(text, '. ', CASE doc_id % 3 WHEN 0 THEN concat('?', chr(10), '   ') WHEN 1 THEN concat('.', chr(10)) ELSE concat('?', chr(10)) END) AS t"
+
+
+@plan.query(
+    "declarative_lines",
+    f"""WITH d AS (SELECT {_LINED} FROM documents), l AS (SELECT doc_id, string_split(coalesce(t, ''), chr(10)) AS l FROM d)
+    SELECT doc_id, md5(array_to_string(list_filter(l, lambda x, i: NOT ends_with({_STRIP.format('x')}, '?') AND NOT (regexp_matches(x, '^\\s{{2,}}\\S') AND i > 1 AND ends_with({_STRIP.format('l[i - 1]')}, '?'))), chr(10))) AS said_md5 FROM l""",
+)
 def declarative_lines(spark, sf_dir):
-    c = A.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "CASE conv_id % 3 WHEN 0 THEN concat('A fact.', chr(10), '   kept reason') WHEN 1 THEN concat('Why? ', chr(10), '   since so', chr(10), 'Then.') ELSE concat('One', chr(10), 'Two?') END AS t")
-    return c.select("id", F.md5(evaluate.declarative("t").cast("binary")).alias("said_md5"))
+    """Documents whose sentences are questions, with or without reasons below them, or statements, one a line."""
+    d = A.table(spark, sf_dir, "documents").selectExpr(*A._split(_LINED))
+    return d.select("doc_id", F.md5(evaluate.declarative("t").cast("binary")).alias("said_md5"))
 
 
 @plan.query("slugs", "SELECT doc_id, md5(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug_md5, CASE WHEN doc_id % 2 = 0 THEN concat_ws(' ', nullif(regexp_replace(lang, '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_replace(source, '^\\s+|\\s+$', '', 'g'), ''), 'focus') END AS query FROM documents")

@@ -15,7 +15,6 @@ ARRAYS = {
     "checklists": ["checklist"],
     "claims": ["markers"],
     "claims_compiled": ["cites"],
-    "compound_split": ["parts"],
     "coverage_drops": ["missing"],
     "coverage_gaps": ["gaps"],
     "decision_cards": ["bottom_line", "furniture", "uncertainties"],
