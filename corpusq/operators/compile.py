@@ -30,16 +30,49 @@ def similar_pairs(rows: DataFrame, threshold: float, measure: str = "jaccard", b
     return both.where(value >= threshold).select(by, "a", "b")
 
 
+#: Rounds over all boards before small ones are finished by themselves, and the open pairs that make a board small.
+ROUNDS, SMALL = 4, 1_000_000
+
+
+def _finished(key, frame):
+    """A board's open pairs, gone through in order: a row is kept unless an earlier kept one is paired with it. In time and
+    memory in proportion to the pairs, of which there are SMALL at most."""
+    import pandas as pd
+
+    frame = frame.sort_values(["b", "a"], kind="stable")
+    gone: set = set()
+    for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+        # all pairs of a as the later one stand before this, so a is decided
+        if a not in gone:
+            gone.add(b)
+    ids = pd.unique(pd.concat([frame["a"], frame["b"]]))
+    return pd.DataFrame({"board": [key[0]] * len(ids), "id": ids, "kept": [i not in gone for i in ids.tolist()]})
+
+
 def greedy(rows: DataFrame, pairs: DataFrame, by: str = "board") -> DataFrame:
     """D1, D3. Going through a board's rows in order of id, a row is kept unless it is paired with an earlier kept row. Done
-    in rounds over all boards: rows without an undecided earlier neighbour are kept, and their later neighbours go. Returns
-    (board, id, kept, of): of is the earliest kept neighbour of a row that went."""
+    in rounds over all boards: rows without an undecided earlier neighbour are kept, and their later neighbours go. After ROUNDS
+    of them only chains are left; boards of few open pairs are finished each in one task, whatever the length of their chains, and
+    the rounds go on for others until they are small. Returns (board, id, kept, of): of is the earliest kept neighbour of a row that went."""
     pairs = written(pairs.select(by, "a", "b"))
     state = written(pairs.select(by, F.col("a").alias("id")).unionByName(pairs.select(by, F.col("b").alias("id"))).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    rounds = 0
     while True:
         open_ = state.where("kept is null").select(by, "id")
         if open_.isEmpty():
             break
+        rounds += 1
+        if rounds > ROUNDS:
+            left = pairs.join(open_.withColumnRenamed("id", "a"), [by, "a"], "left_semi").join(open_.withColumnRenamed("id", "b"), [by, "b"], "left_semi").select(by, "a", "b")
+            small = left.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SMALL).select(by)
+            kind = {f.name: f.dataType.simpleString() for f in state.schema.fields}
+            done = left.join(small, by, "left_semi").groupBy(by).applyInPandas(_finished, f"board {kind[by]}, id {kind['id']}, kept boolean").withColumnRenamed("board", by).withColumnRenamed("kept", "now")
+            # a row of a small board without an open pair has no earlier neighbour that is kept
+            alone = open_.join(small, by, "left_semi").select(by, "id", F.lit(True).alias("alone"))
+            state = written(state.join(done, [by, "id"], "left").join(alone, [by, "id"], "left").select(by, "id", F.coalesce("kept", "now", "alone").alias("kept")))
+            open_ = state.where("kept is null").select(by, "id")
+            if open_.isEmpty():
+                break
         blocked = pairs.join(open_.withColumnRenamed("id", "a"), [by, "a"], "left_semi").select(by, F.col("b").alias("id")).distinct()
         winners = open_.join(blocked, [by, "id"], "left_anti").withColumn("won", F.lit(True))
         losers = pairs.join(winners.select(by, F.col("id").alias("a")), [by, "a"], "left_semi").select(by, F.col("b").alias("id")).distinct().withColumn("lost", F.lit(True))

@@ -154,6 +154,20 @@ def test_collapse_is_the_sequential_rule(spark):
     assert any(h for h in want.values())
 
 
+def test_a_long_chain_takes_few_writes(spark, monkeypatch):
+    n, writes = 10_000, []
+    real = compile.written
+    monkeypatch.setattr(compile, "written", lambda df, *a: (writes.append(1), real(df, *a))[1])
+    chain = spark.range(n).selectExpr("1 AS board", "id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(2, 5, 7), (2, 5, 6), (2, 6, 7)], "board int, a long, b long"))
+    marks = compile.greedy(spark.range(n + 1).selectExpr("1 AS board", "id"), chain).collect()
+    assert len(marks) == n + 1 and all(m.kept == (m.id % 2 == 0) and m.of == (None if m.kept else m.id - 1) for m in marks)
+    assert len(writes) <= 20
+    # where no board is small, rounds go on
+    monkeypatch.setattr(compile, "SMALL", 0)
+    short = compile.greedy(spark.range(13).selectExpr("1 AS board", "id"), chain.where("a < 12 and board = 1")).collect()
+    assert all(m.kept == (m.id % 2 == 0) for m in short)
+
+
 def test_merge_is_the_sequential_rule(spark):
     import random
 
