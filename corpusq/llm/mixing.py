@@ -176,18 +176,28 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, most:
     return ranked.join(taken, ["doc", "rank"], "left").select("doc_id", F.col("copy").alias("row"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), "first_shard", "last_shard")
 
 
-def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
-    """The documents as the mix takes them, with their columns: each as often as its words are taken, rounded up or down
-    by a hash of its id so that a source's words keep their number on average; no document comes more than `most` times."""
-    key = "_mix_id"
-    while key in docs.columns:
+def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS, most: int = MOST, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The documents as the mix takes them, with their columns: for each pass over a source a row for each document that slots
+    take of. A document that is taken whole keeps its text; of others there are the words of the stretches that are taken, in their
+    order, with a space between (and n_chars, if there is such a column, is their length). So a source has the words of its target
+    to within one. Of rows alike in id, source and text, the other columns are those of one."""
+    key = "_mix"
+    while any(c.startswith(key) for c in docs.columns):
         key += "_"
-    n = key + "n"
-    taken = mix(docs, seed=seed, **options)
-    # rows with the same id and text stand or fall alike: their takes are added and shared out again
-    exact = F.sum("taken") / F.count(F.lit(1)) / F.max("size")
-    share = taken.where("size > 0").groupBy(F.col("doc_id").alias(key), F.col("size").alias(key + "s")).agg(exact.alias(key + "x"))
-    draw = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    copies = stage(share.select(key, key + "s", F.floor(F.col(key + "x") + draw).cast("int").alias(n)).where(F.col(n) > 0), "mix-copies")
-    joined = docs.withColumn(key + "w", n_words(F.col("text"))).join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(key + "w") == F.col(key + "s")))
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    ranked, sources, buckets = _sized(docs, weights, most)
+    found = _in_slots(_pieces(ranked, buckets, block_words), slots(sources, block_words, shard_slots, seed))
+    takes = found.groupBy("doc", "rank", "pass").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("stretches"))
+    takes = takes.join(sources.select("rank", "source"), "rank").select(F.col("doc.doc_id").alias(key + "id"), F.col("doc.hash").alias(key + "hash"), F.col("source").alias(key + "source"), (F.col("taken") == F.col("doc.size")).alias(key + "whole"), F.col("stretches").alias(key + "stretches"))
+    each = docs.withColumn(key + "h", F.xxhash64("text"))
+    if not ranked.where("copy > 1").isEmpty():
+        each = each.dropDuplicates(["doc_id", "source", key + "h"])
+    same = F.col("doc_id").eqNullSafe(F.col(key + "id")) & (F.col(key + "h") == F.col(key + "hash")) & F.col("source").eqNullSafe(F.col(key + "source"))
+    joined = each.join(stage(takes, "mix-takes").hint("merge"), same)
+    # the words of a text, found once for all stretches of it
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD), 0))
+    part = F.transform(words, lambda w: F.array_join(F.flatten(F.transform(key + "stretches", lambda x: F.slice(w, (x["from"] + 1).cast("int"), x["words"].cast("int")))), " "))[0]
+    out = joined.withColumn("text", F.when(F.col(key + "whole"), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col(key + "whole"), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return out.select(*docs.columns)

@@ -199,6 +199,28 @@ def test_mix_of_nothing_and_documents_of_the_mix(spark):
     most = collections.Counter(r.doc_id for r in out.collect())
     assert most and max(n for d, n in most.items() if d != 3) <= 3
     assert not {60, 61, 63} & set(most)
+    assert mixing.mixed(table(spark, [], DOCS)).count() == 0
+
+
+def test_documents_of_the_mix_have_the_words_of_its_targets(spark):
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [(i, f"a{i} b{i} " * 20, "en", f"s{i % 3}", 160, 1, "x", i) for i in range(300)] + [(1000, long, "en", "s2", 9, 1, "y", 1), (1001, "  odd \n white\tspace ", "en", "s1", 9, 1, "y", 1), (1002, None, "en", None, 0, 1, "z", 1), (1003, "of no source " * 30, "en", None, 9, 1, "z", 1)]
+    rows += [rows[7], rows[7]]
+    df = table(spark, rows, DOCS)
+    size = lambda t: len(re.findall(mixing.WORD, t or ""))
+    target = {r.source: r.target for r in mixing.mix(df).select("source_size", "target", "doc_id").join(df.select("doc_id", "source"), "doc_id").collect()}
+    for block_words in (16, 256):
+        out = mixing.mixed(df, block_words=block_words).collect()
+        taken = collections.Counter()
+        for r in out:
+            taken[r.source] += size(r.text)
+        assert all(abs(taken[s] - t) <= 1 for s, t in target.items()), (taken, target)
+        text = {(r[0], r[3]): r[1] for r in rows}
+        for r in out:
+            own = text[r.doc_id, r.source]
+            assert r.text == own or set(r.text.split()) <= set(own.split()) and r.n_chars == len(r.text) and size(r.text) < size(own)
+        assert any(r.text != text[r.doc_id, r.source] for r in out) and any(r.text == text[r.doc_id, r.source] for r in out)
+        assert not {1002} & {r.doc_id for r in out}
 
 
 def test_permutation_is_one(spark):
