@@ -121,6 +121,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(1, keepdims=True))
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 class Network:
     """Predicts a token's class from both sides."""
 
@@ -161,7 +167,7 @@ class Network:
     def gradients(self, classes: np.ndarray, context: np.ndarray) -> dict[str, np.ndarray]:
         """Of the sum of the tokens' negative log-probabilities."""
         h, group, member, m = self.hidden(context), classes // MEMBERS, classes % MEMBERS, len(classes)
-        dg = np.exp(_log_softmax(h @ self.p["group"] + self.p["group_bias"]))
+        dg = _softmax(h @ self.p["group"] + self.p["group_bias"])
         dg[np.arange(m), group] -= 1
         dh = dg @ self.p["group"].T
         out = {"group": h.T @ dg, "group_bias": dg.sum(0, dtype=np.float64), "member": np.zeros((GROUPS, SIZE, MEMBERS)), "member_bias": np.zeros((GROUPS, MEMBERS))}
@@ -170,14 +176,14 @@ class Network:
         for g in range(GROUPS):
             own = order[cuts[g] : cuts[g + 1]]
             if len(own):
-                dm = np.exp(_log_softmax(h[own] @ self.p["member"][g] + self.p["member_bias"][g]))
+                dm = _softmax(h[own] @ self.p["member"][g] + self.p["member_bias"][g])
                 dm[np.arange(len(own)), member[own]] -= 1
                 dh[own] += dm @ self.p["member"][g].T
                 out["member"][g], out["member_bias"][g] = h[own].T @ dm, dm.sum(0, dtype=np.float64)
         dh = (dh * (1 - h**2)).astype(np.float64)
         out["bias"] = dh.sum(0)
-        flat, places = dh.ravel(), np.arange(SIZE)
-        out["embedding"] = np.stack([np.bincount((context[:, k, None] * SIZE + places).ravel(), flat, (CLASSES + 1) * SIZE).reshape(-1, SIZE) for k in range(2 * SIDE)])
+        columns = np.ascontiguousarray(dh.T)
+        out["embedding"] = np.stack([np.stack([np.bincount(context[:, k], x, CLASSES + 1) for x in columns], axis=1) for k in range(2 * SIDE)])
         return out
 
     def packed(self, gradients: dict[str, np.ndarray]) -> np.ndarray:
