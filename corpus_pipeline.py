@@ -7,13 +7,14 @@ language      documents whose language cannot be told go: no letter, or a profil
 near-dedup    of each group of near duplicates (similarity of five-word shingles NEAR per cent or more), the document with
               the smallest id stays
 decontaminate documents that benchmark passages make up a twentieth of go
-mix           documents are dropped and repeated so that sources come near their target weights
+mix           for each pass over a source a row for what the mix takes of each document, all of it or stretches of blocks, so that
+              each source has the words of its target
 tokens        token ids are written to binary files; the rows tell where each document stands
 
 Defined cases, by stage. language: null and empty texts, and those without a letter, go; repeated rows are judged each by
 itself; without any language learnt all documents go. near-dedup: null and empty texts stay, as they are like nothing; of rows
 with one doc_id one stays, and rows without a doc_id stay. decontaminate: null and empty texts stay; repeated rows are
-judged each by itself. mix: null and empty texts have no words and are never taken; ties and repeated rows are taken alike; a null
+judged each by itself. mix: null and empty texts have no words and are never taken; repeated rows are documents of their own; a null
 source is a source. tokens: null and empty texts have the end id alone; a null doc_id comes first. Very long texts are taken
 whole by every stage; an empty table stays empty; columns of other names, also such as the stages use inside, are kept by all
 but the last stage, whatever they hold.
