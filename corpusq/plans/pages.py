@@ -174,15 +174,14 @@ def box_captions(spark, sf_dir):
 
 @plan.query(
     "corpus_invariants",
-    f"""WITH {A.PAGES_SQL}, c AS (SELECT book, chapter AS title, text, CASE WHEN page % 20 > 0 THEN page END AS printed_page,
+    f"""WITH {A.PAGES_SQL}, c AS (SELECT book, chapter AS title, text,
       len(regexp_extract_all(coalesce(text, ''), 'et al')) AS e, len(regexp_extract_all(coalesce(text, ''), '[0-9]{{4}};[0-9]+')) + len(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+ [A-Z]{{1,3}}[,.]')) AS o, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS w FROM pages0),
-    a AS (SELECT avg((e >= 6 OR (e + o) / (greatest(w, 1) / 100) >= 40)::INT) AS bibliography, avg(({_JUNK} AND {_TRIM} <> '')::INT) AS junk, avg((printed_page IS NOT NULL)::INT) AS folio, avg((w < 20)::INT) AS short, count(DISTINCT book)::DOUBLE AS books FROM c),
-    u AS (UNPIVOT a ON bibliography, junk, folio, short, books INTO NAME "check" VALUE value)
-    SELECT "check", round(value, 4) AS value, CASE WHEN "check" IN ('bibliography', 'junk') THEN 0.05 WHEN "check" = 'folio' THEN 0.9 WHEN "check" = 'short' THEN 0.0 ELSE 1.0 END::DOUBLE AS target,
-      CASE WHEN "check" = 'folio' THEN value >= 0.9 WHEN "check" = 'books' THEN value >= 1 WHEN "check" = 'short' THEN value <= 0 ELSE value < 0.05 END AS ok FROM u""",
+    a AS (SELECT avg((e >= 6 OR (e + o) / (greatest(w, 1) / 100) >= 40)::INT) AS bibliography, avg(({_JUNK} AND {_TRIM} <> '')::INT) AS junk, count(DISTINCT book)::DOUBLE AS books FROM c),
+    u AS (UNPIVOT a ON bibliography, junk, books INTO NAME "check" VALUE value)
+    SELECT "check", round(value, 4) AS value, CASE WHEN "check" = 'books' THEN 1.0 ELSE 0.05 END::DOUBLE AS target, CASE WHEN "check" = 'books' THEN value >= 1 ELSE value < 0.05 END AS ok FROM u""",
 )
 def corpus_invariants(spark, sf_dir):
-    return clean.invariants(A.pages(spark, sf_dir).withColumn("printed_page", F.when(F.col("page") % 20 > 0, F.col("page"))))
+    return clean.invariants(A.pages(spark, sf_dir))
 
 
 _STRONG, _MARK = "%%%", "!!"
