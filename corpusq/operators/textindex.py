@@ -62,7 +62,7 @@ class Index:
 
     def dataset(self, name: str) -> DataFrame:
         """A dataset of all segments, with their number."""
-        read = [self.versions.spark.read.parquet(f"{self.versions.folder(p)}/{name}").withColumn("seq", F.lit(p["seq"])) for p in self.parts]
+        read = [self.versions.dataset(p, name).withColumn("seq", F.lit(p["seq"])) for p in self.parts]
         return reduce(DataFrame.unionByName, read)
 
     def replaced(self) -> DataFrame | None:
@@ -79,8 +79,7 @@ class Index:
         for p in self.parts:
             if p["buckets"] not in numbered:
                 numbered[p["buckets"]] = [r[0] for r in terms.select(bucket_of("term", p["buckets"]).alias("b")).distinct().collect()]
-            rows = self.versions.spark.read.parquet(f"{self.versions.folder(p)}/{name}")
-            out.append(rows.where(F.col("bucket").isin(numbered[p["buckets"]])).drop("bucket").withColumn("seq", F.lit(p["seq"])))
+            out.append(self.versions.dataset(p, name).where(F.col("bucket").isin(numbered[p["buckets"]])).drop("bucket").withColumn("seq", F.lit(p["seq"])))
         return reduce(DataFrame.unionByName, out).join(terms.select("term").distinct(), "term", "left_semi")
 
 
@@ -97,27 +96,33 @@ def _tokens(stop: list[str]) -> Column:
 
 def _segment(v: Versions, seq: int, docs: DataFrame, n: int, keys: DataFrame, dead: DataFrame | None) -> dict:
     """Write a segment of n documents (id, key, length, terms). dead: the terms of replaced documents, and their numbers."""
-    spark, buckets, ranges = v.spark, max(LEAST_BUCKETS, n // BUCKET_DOCUMENTS), max(1, n // RANGE)
+    buckets, ranges = max(LEAST_BUCKETS, n // BUCKET_DOCUMENTS), max(1, n // RANGE)
     part = v.part(seq, buckets=buckets, ranges=ranges)
     at = v.folder(part)
     keys.write.parquet(f"{at}/keys")
     ranged = docs.withColumns({"range": F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"), "kb": bucket_of("key", KEY_BUCKETS)})
-    ranged.select("id", "key", "length", "terms", "range", "kb").write.partitionBy("kb").parquet(f"{at}/docs")
-    ranged = spark.read.schema(ranged.select("id", "key", "length", "terms", "range").schema).parquet(f"{at}/docs")
+    schemas = part["schemas"] = {}  # a dataset without rows has no files to tell it
+
+    def written(rows: DataFrame, name: str, by: str) -> DataFrame:
+        rows.write.partitionBy(by).parquet(f"{at}/{name}")
+        schemas[name] = rows.schema.jsonValue()
+        return v.dataset(part, name)
+
+    ranged = written(ranged.select("id", "key", "length", "terms", "range", "kb"), "docs", "kb")
     # a range's documents move together once; counting and gathering its blocks needs no other shuffle
     tokens = ranged.repartition("range").select("range", "id", "length", F.explode("terms").alias("term"))
     counted = tokens.groupBy("range", "term", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     blocks = counted.groupBy("range", "term").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("postings"))
     blocks = blocks.withColumn("bucket", bucket_of("term", buckets))
-    blocks.repartition(F.col("bucket"), F.expr(f"range div {GROUP}")).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
-    terms = spark.read.parquet(f"{at}/blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df")) if n else spark.createDataFrame([], "bucket int, term string, df long")
+    blocks = written(blocks.repartition(F.col("bucket"), F.expr(f"range div {GROUP}")).sortWithinPartitions("bucket", "term", "range"), "blocks", "bucket")
+    terms = blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     words, documents = ranged.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], n
     if dead is not None:
         gone = dead.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df")).withColumn("bucket", bucket_of("term", buckets))
         terms = terms.unionByName(gone).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
         less = dead.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         documents, words = documents - less[0], words - less[1]
-    terms.repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/terms")
+    written(terms.repartition("bucket"), "terms", "bucket")
     return part | {"documents": documents, "words": words}
 
 

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Parts of a table from which on compact() is worth its cost.
 MANY_PARTS = 8
@@ -88,6 +89,11 @@ class Versions:
     def folder(self, part: dict) -> str:
         return f"{self.path}/{part['name']}"
 
+    def dataset(self, part: dict, name: str) -> DataFrame:
+        """A dataset of a part, by the schema that the part notes, or by its files'."""
+        reader, schema = self.spark.read, part.get("schemas", {}).get(name)
+        return (reader.schema(StructType.fromJson(schema)) if schema else reader).parquet(f"{self.folder(part)}/{name}")
+
     def keys(self, table: str, version: int | None = None) -> DataFrame | None:
         """(key, seq, rows, digest) of all keys that a table holds, by the part that has their rows."""
         parts = self.entry(version)["tables"].get(table)
@@ -102,7 +108,7 @@ class Versions:
         every = self.entry(version)["tables"].get(table)
         if not every:
             return None
-        read = [self.spark.read.parquet(f"{self.folder(p)}/{dataset}").withColumn("_seq", F.lit(p["seq"])) for p in (every if parts is None else parts)]
+        read = [self.dataset(p, dataset).withColumn("_seq", F.lit(p["seq"])) for p in (every if parts is None else parts)]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
         if len(every) > 1:
             held = self.keys(table, version).select(F.col("key").alias("_key"), F.col("seq").alias("_live"))
