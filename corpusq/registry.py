@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .plans import audited, compiled, evaluated, pages, ranked, searched, stored, streamed, structured, tagged, verified
+from .sources.store import importable
 
 PLANS = [pages.plan, searched.plan, ranked.plan, tagged.plan, verified.plan, compiled.plan, evaluated.plan, stored.plan, structured.plan, streamed.plan, audited.plan]
 
@@ -38,6 +39,7 @@ DOUBLES = {"coverage_drops": ["before"], "defect_ledger": ["confidence"]}
 
 def _flat(name: str, f):
     def run(spark, sf_dir):
+        importable(spark)
         out = f(spark, sf_dir)
         changed = {c: F.to_json(F.col(c)) for c in ARRAYS.get(name, [])} | {c: F.col(c).cast("long") for c in LONGS.get(name, [])} | {c: F.col(c).cast("double") for c in DOUBLES.get(name, [])}
         return out.withColumns(changed) if changed else out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -27,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package (on a cluster, ship it with --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusq/{name}-{uuid.uuid4().hex}"
 
