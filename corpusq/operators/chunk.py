@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import written
 
 LEAST_WORDS = 20
 
@@ -75,46 +76,120 @@ def chapter_atoms(pages: DataFrame) -> DataFrame:
     return runs.groupBy("book", "run").agg(F.min("page").alias("page"), F.first("chapter").alias("chapter"), parts.alias("p")).select("book", "page", "chapter", F.struct("page", F.lit(0).alias("i")).alias("ord"), T.collapsed(F.array_join(F.transform("p", lambda x: x["text"]), " ")).alias("atom"), F.lit(False).alias("is_head")).where("atom <> ''")
 
 
-def pack(atoms: DataFrame, most: int, overlap: int, group: str | None = None) -> DataFrame:
+#: Words in a place bucket: rows that may lie at the same place of a book meet by book and bucket.
+PLACES = 128
+
+
+def _by_place(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Rows once for each bucket of places that [first, last) lies in."""
+    return rows.withColumn("bucket", F.explode(F.sequence(F.floor(first / PLACES), F.floor((last - 1) / PLACES))))
+
+
+def _placed(atoms: DataFrame) -> DataFrame:
+    """Atoms with their words' places in the book, [lo, hi), and the place where their section begins. Words are counted by page,
+    then pages by book, so that no task holds the atoms of a book."""
+    page, n = [*_BOOK, "page_key"], F.size("words")
+    keyed = atoms.select(
+        "arm", "most", "overlap", "section", "book", "page", "chapter", "words",
+        F.concat(F.when(F.col("book").isNull(), "").otherwise("="), F.coalesce("book", F.lit(""))).alias("book_key"),
+        F.coalesce(F.col("page").cast("long"), F.lit(-(1 << 40))).alias("page_key"),
+        n.cast("long").alias("n"), F.col("ord.i").alias("i"), F.xxhash64("words").alias("same"), "is_head",
+    )
+    upto = W.partitionBy(*page).orderBy("i", "same").rowsBetween(W.unboundedPreceding, 0)
+    inner = keyed.withColumn("to", F.sum("n").over(upto)).withColumn("head", F.max(F.when((F.col("section") == "heading") & F.col("is_head"), F.col("to") - F.col("n"))).over(upto))
+    pages = inner.groupBy(*page).agg(F.sum("n").alias("page_n"), F.max("head").alias("last_head"), F.first("section").alias("section"), F.min_by("chapter", "i").alias("chapter"))
+    book = W.partitionBy(*_BOOK).orderBy("page_key")
+    base = F.sum("page_n").over(book.rowsBetween(W.unboundedPreceding, 0)) - F.col("page_n")
+    cut = (F.col("section") == "page") | ((F.col("section") == "chapter") & ~F.col("chapter").eqNullSafe(F.lag("chapter").over(book)))
+    pages = pages.withColumn("base", base).withColumn("cut", F.when(F.coalesce(cut, F.lit(False)), F.col("base")))
+    begun = F.max(F.coalesce(F.col("base") + F.col("last_head"), "cut")).over(book.rowsBetween(W.unboundedPreceding, -1))
+    pages = pages.select(*page, "base", F.coalesce("cut", begun, F.lit(0).cast("long")).alias("begun"))
+    hi = F.col("base") + F.col("to")
+    return inner.join(pages, page).select(*_BOOK, "most", "overlap", "book", "page", "chapter", "words", "n", (hi - F.col("n")).alias("lo"), hi.alias("hi"), F.coalesce(F.col("base") + F.col("head"), "begun").alias("sec"))
+
+
+_BOOK = ["arm", "book_key"]
+_SECTION = [*_BOOK, "sec"]
+
+
+def _chained(narrow: DataFrame) -> DataFrame:
+    """(arm, book_key, sec, most, overlap, lo, first, open): the atoms of narrow at which chunks begin. `first` is where the first
+    of the windows that begin there does, `open` where the last does, which goes on over later atoms. Which atom overflows a chunk
+    follows from the place where the chunk begins, and that from the atom before that overflowed; so each atom's successor is
+    looked up by place, and the successors reached from a section's first chunk are marked by pointer jumping."""
+    step = F.greatest(F.lit(1), F.col("most") - F.col("overlap"))
+    windows = lambda n: F.when(n <= F.col("most"), 0).otherwise(F.ceil((n - F.col("most")) / step))
+    at_place = _by_place(narrow.select(*_SECTION, F.col("lo").alias("next"), F.col("hi").alias("next_hi")), F.col("next"), F.col("next_hi"))
+
+    def overflowed(rows: DataFrame) -> DataFrame:
+        """With next, next_hi: the section's atom that holds the word `most` places after `open`; rows that have none go."""
+        x = F.col("open") + F.col("most")
+        return rows.withColumn("x", x).withColumn("bucket", F.floor(x / PLACES)).join(at_place, [*_SECTION, "bucket"]).where("next <= x and x < next_hi").drop("x", "bucket")
+
+    key = [*_SECTION, "most", "overlap"]
+    # atoms that alone are too long, before the section's first that is not
+    heads = narrow.where("n <= most").groupBy(*key).agg(F.min("lo").alias("lo"))
+    long = narrow.where("n > most").join(heads.select(*_SECTION, F.col("lo").alias("head")), _SECTION, "left").where("head is null or lo < head")
+    alone = long.select(*key, "lo", F.col("lo").alias("first"), (F.col("lo") + windows(F.col("n")) * step).alias("open"), F.col("hi").alias("end"))
+    # the first chunk with room, and the first atom that overflows it: less than the overlap may lie before that
+    fresh = heads.withColumn("first", F.col("lo")).withColumn("open", F.col("lo"))
+    second = overflowed(fresh).withColumn("first", F.greatest("open", F.col("next") - F.col("overlap")))
+    second = written(second.withColumn("open", F.col("first") + windows(F.col("next_hi") - F.col("first")) * step).select(*key, F.col("next").alias("lo"), "first", "open"))
+    # all later ones, whose whole overlap is always there
+    full = narrow.join(second.select(*_SECTION, F.col("lo").alias("after")), _SECTION).where("lo > after")
+    nodes = full.withColumn("open", F.col("lo") - F.col("overlap") + windows(F.col("overlap") + F.col("n")) * step).select(*key, "lo", "open")
+    third = overflowed(second).select(*_SECTION, F.col("next").alias("lo")).withColumn("hit", F.lit(True))
+    jumps = overflowed(nodes).select(*_SECTION, "lo", "next")
+    state = written(nodes.join(jumps, [*_SECTION, "lo"], "left").join(third, [*_SECTION, "lo"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
+    while not state.where("hit and next is not null").isEmpty():
+        # after k rounds the first 2^k of a chain are marked, and next is 2^k further on
+        hop = state.where("next is not null").select(*_SECTION, F.col("lo").alias("next"), F.col("next").alias("beyond"))
+        marks = state.where("hit and next is not null").select(*_SECTION, F.col("next").alias("lo")).withColumn("now", F.lit(True))
+        state = written(state.join(hop, [*_SECTION, "next"], "left").join(marks, [*_SECTION, "lo"], "left").select(*key, "lo", "open", F.col("beyond").alias("next"), (F.col("hit") | F.coalesce("now", F.lit(False))).alias("hit")))
+    later = state.where("hit").select(*key, "lo", F.lit(None).cast("long").alias("first"), "open")
+    ends = narrow.groupBy(*_SECTION).agg(F.max("hi").alias("sec_hi"))
+    order = W.partitionBy(*_SECTION).orderBy("lo")
+    chain = fresh.select(*key, "lo", "first", "open").unionByName(second).unionByName(later)
+    # an overlap that is no less than a chunk is the whole chunk before
+    chain = chain.withColumn("first", F.coalesce("first", F.greatest(F.lag("open").over(order), F.col("lo") - F.col("overlap")))).withColumn("then", F.lead("lo").over(order))
+    return chain.join(ends, _SECTION).select(*key, "lo", "first", "open", F.coalesce("then", "sec_hi").alias("end")).unionByName(alone)
+
+
+def pack_arms(atoms: DataFrame) -> DataFrame:
     """C5. Atoms of a book, in order, merged into chunks of at most `most` words; the last `overlap` words of a full chunk
-    open the next. group: "page", "chapter" or "heading" closes a chunk where that changes. Needs a book's atoms in order
-    one after the other, so a book is a group; its size is a book's, whatever the number of books."""
-    import pandas as pd
+    open the next. Columns beside the atoms': arm, most, overlap, and section, "page", "chapter" or "heading", which closes a
+    chunk where that changes, or null. (arm, book, i, page, chapter, text): page and chapter are those of the atom at which the
+    chunk began. Atoms without words are left out. No book is a group of one task: places, successors and chunks are joins on
+    narrow rows; of texts, a task holds a page while its words are counted, and an atom or a chunk thereafter."""
+    placed = written(_placed(atoms.withColumn("words", T.words("atom")).where(F.size("words") > 0)), "placed")
+    narrow = placed.select(*_SECTION, "most", "overlap", "n", "lo", "hi")
+    step = F.greatest(F.lit(1), F.col("most") - F.col("overlap"))
+    k = F.sequence(F.lit(0).cast("long"), ((F.col("open") - F.col("first")) / step).cast("long"))
+    spans = F.transform(k, lambda x: F.struct((F.col("first") + x * step).alias("a"), F.when(F.col("first") + x * step < F.col("open"), F.col("first") + x * step + F.col("most")).otherwise(F.col("end")).alias("z")))
+    chunks = _chained(narrow).select(*_BOOK, F.col("lo").alias("at"), F.posexplode(spans).alias("k", "s")).select(*_BOOK, "at", F.col("s.a").alias("a"), F.col("s.z").alias("z"), F.row_number().over(W.partitionBy(*_BOOK).orderBy("at", "k")).alias("i"))
+    chunks = written(chunks, "chunks")
+    # an atom and a chunk that share words meet in the first bucket that both lie in
+    pieces = _by_place(chunks, F.col("a"), F.col("z")).join(_by_place(narrow.select(*_BOOK, "lo", "hi"), F.col("lo"), F.col("hi")), [*_BOOK, "bucket"])
+    pieces = pieces.where("a < hi and lo < z").where(F.col("bucket") == F.floor(F.greatest("a", "lo") / PLACES))
+    of_atom = pieces.groupBy(*_BOOK, "lo").agg(F.collect_list(F.struct("i", "a", "z", "at")).alias("pieces"))
+    cut = placed.join(of_atom, [*_BOOK, "lo"])
+    first = lambda p: F.greatest(p["a"] - F.col("lo"), F.lit(0).cast("long")).cast("int")
+    last = lambda p: F.least(p["z"] - F.col("lo"), F.col("n")).cast("int")
+    piece = F.transform("pieces", lambda p: F.struct(p["i"].alias("i"), F.col("lo").alias("lo"), F.array_join(F.slice(F.col("words"), first(p) + 1, last(p) - first(p)), " ").alias("t")))
+    parts = cut.select(*_BOOK, F.explode(piece).alias("p")).groupBy(*_BOOK, "p.i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p.lo", "p.t"))), lambda x: x["t"]), " ").alias("text"))
+    began = chunks.select(*_BOOK, "i", F.col("at").alias("lo")).join(placed.select(*_BOOK, "lo", "book", "page", "chapter"), [*_BOOK, "lo"])
+    return began.join(parts, [*_BOOK, "i"]).select("arm", "book", (F.col("i") - 1).cast("int").alias("i"), F.col("page").cast("int").alias("page"), "chapter", "text")
+
+
+def _arm(atoms: DataFrame, arm: str, most: int, overlap: int, group: str | None) -> DataFrame:
+    if most < 1 or overlap < 0:
+        raise ValueError("a chunk has at least one word, an overlap none or more")
+    return atoms.select("*", F.lit(arm).alias("arm"), F.lit(most).cast("long").alias("most"), F.lit(overlap).cast("long").alias("overlap"), F.lit(group).cast("string").alias("section"))
 
-    step = max(1, most - overlap)
 
-    def windows(words):
-        last = 0 if len(words) <= most else -(-(len(words) - most) // step)
-        return [words[k * step : k * step + most] for k in range(last + 1)]
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ord_page", "ord_i"], kind="stable")
-        done, open_words, at = [], [], None
-        keys = frame[group] if group in ("page", "chapter") else pd.Series([None] * len(frame), index=frame.index)
-        before = None
-        for n, (words, page, chapter, head, key) in enumerate(zip(frame["atom"].str.split(), frame["page"], frame["chapter"], frame["is_head"], keys, strict=True)):
-            key = None if key is None or key != key else key
-            if open_words and ((group == "heading" and head) or (group in ("page", "chapter") and n and key != before)):
-                done.append((open_words, at))
-                open_words = []
-            before = key
-            if not open_words:
-                at = (page, chapter)
-            if len(open_words) + len(words) <= most:
-                open_words = open_words + words
-            elif not open_words:  # the atom alone is too long
-                done += [(w, (page, chapter)) for w in windows(words)]
-            else:
-                done.append((open_words, at))
-                *full, open_words = windows((done[-1][0][-overlap:] if overlap else []) + words)
-                at = (page, chapter)
-                done += [(w, at) for w in full]
-        if open_words:
-            done.append((open_words, at))
-        return pd.DataFrame([(frame["book"].iloc[0], i, int(p), c, " ".join(w)) for i, (w, (p, c)) in enumerate(done)], columns=["book", "i", "page", "chapter", "text"])
-
-    flat = atoms.select("book", "page", "chapter", "atom", "is_head", F.col("ord.page").alias("ord_page"), F.col("ord.i").alias("ord_i"))
-    return flat.groupBy("book").applyInPandas(one, "book string, i int, page int, chapter string, text string")
+def pack(atoms: DataFrame, most: int, overlap: int, group: str | None = None) -> DataFrame:
+    """C5. pack_arms with one size, overlap and kind of section."""
+    return pack_arms(_arm(atoms, "", most, overlap, group)).drop("arm")
 
 
 STRATEGIES = {"page": (page_atoms, "page"), "paragraph": (paragraph_atoms, None), "sentence": (sentence_atoms, None), "heading": (heading_atoms, "heading"), "chapter": (chapter_atoms, "chapter")}
@@ -158,10 +233,14 @@ def arms(sizes: list[int] = (600, 300), overlaps: list[int] = (80, 0)) -> list[t
 
 
 def run_arms(pages: DataFrame, grid) -> DataFrame:
-    """C8. The shape of every arm, as one job."""
-    each = [chunk(pages, s, m, o).withColumn("arm", F.lit(f"{s}/{m}/{o}")) for s, m, o in grid]
-    base = [chunk(pages, s, m, 0).withColumn("arm", F.lit(f"{s}/{m}/{o}")) for s, m, o in grid]
-    return shape(reduce(DataFrame.unionByName, each), ["arm"], reduce(DataFrame.unionByName, base))
+    """C8. The shape of every arm; all arms are packed in one pass."""
+    sized = {f"{s}/{m}/{o}": (s, m, o) for s, m, o in grid}
+    each = [_arm(STRATEGIES[s][0](pages), arm, m, o, STRATEGIES[s][1]) for arm, (s, m, o) in sized.items()]
+    # the same arms without overlap, in the same pass
+    base = [_arm(STRATEGIES[s][0](pages), f"-{arm}", m, 0, STRATEGIES[s][1]) for arm, (s, m, o) in sized.items()]
+    packed = written(pack_arms(reduce(DataFrame.unionByName, each + base)), "arms")
+    of_base = F.col("arm").startswith("-")
+    return shape(packed.where(~of_base), ["arm"], packed.where(of_base).withColumn("arm", F.substring("arm", F.lit(2), F.length("arm"))))
 
 
 def boundaries(chunks: DataFrame, by: list[str] = ()) -> DataFrame:
