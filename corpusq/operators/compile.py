@@ -10,19 +10,38 @@ from ..functions import text as T
 from ..sources.store import written
 
 
-def similar_pairs(rows: DataFrame, threshold: float, measure: str = "jaccard", by: str = "board") -> DataFrame:
-    """D1, D2. (board, id, tokens as an array) to pairs (board, a, b), a < b, of at least that similarity. Candidates share a
-    token among each set's rarest; the number of those is such that similar sets must (for the overlap coefficient, of
-    the smaller set). Sets are compared once, on their sizes and what they share."""
+#: Sets that have one token in their prefix, before that token's sets are split over tasks.
+SPLIT = 4096
+
+
+def _sides(rows: DataFrame, threshold: float, measure: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """The tokens by which sets meet, rarest first: (board, t, part, a, an, ar) of a set as the smaller one, and (board, t, part, b,
+    bn, br) as the larger one, with its size and the token's rank in it. A pair's first common token lies in the prefix of both under
+    jaccard; for the overlap coefficient in that of the smaller set, and in the larger one early enough that what follows can hold the
+    share asked for, so of a larger set only tokens go on that lie in some smaller set's prefix and leave room for the smallest of those."""
     sets = rows.where(F.size("tokens") > 0).select(by, "id", F.explode("tokens").alias("t"), F.size("tokens").alias("n"))
     frequency = sets.groupBy(by, "t").agg(F.count(F.lit(1)).alias("f"))
-    ranked = sets.join(frequency, [by, "t"]).withColumn("r", F.row_number().over(W.partitionBy(by, "id").orderBy("f", "t")))
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    left = ranked.where(F.col("r") <= prefix).where("f > 1").select(by, "t", F.col("id").alias("a"), F.col("n").alias("an"))
-    # under jaccard both have a prefix; the overlap coefficient only bounds the smaller set's
-    right = (ranked.where(F.col("r") <= prefix) if measure == "jaccard" else ranked).where("f > 1").select(by, "t", F.col("id").alias("b"), F.col("n").alias("bn"))
-    sizes = (F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-9) if measure == "jaccard" else (F.col("an") <= F.col("bn"))
-    pairs = left.join(right, [by, "t"]).where((F.col("a") != F.col("b")) & sizes).select(by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ranked = sets.join(frequency, [by, "t"]).withColumn("r", F.row_number().over(W.partitionBy(by, "id").orderBy("f", "t"))).where("f > 1")
+    early = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    met = early.groupBy(by, "t").agg(F.min("n").alias("least"), F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
+    left = early.join(met, [by, "t"]).select(by, "t", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("an"), F.col("r").alias("ar"))
+    later = (early if measure == "jaccard" else ranked).join(met, [by, "t"]).where(F.col("n") - F.col("r") + 1 >= threshold * F.col("least") - 1e-9)
+    right = later.select(by, "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("r").alias("br"))
+    return left, right
+
+
+def similar_pairs(rows: DataFrame, threshold: float, measure: str = "jaccard", by: str = "board") -> DataFrame:
+    """D1, D2, D3. (board, id, tokens as an array) to pairs (board, a, b), a < b, of at least that similarity. Candidates share a
+    token among each set's rarest; the number of those is such that similar sets must (for the overlap coefficient, of
+    the smaller set), and what follows that token in both sets must be enough. Sets are compared once, on their sizes and
+    what they share."""
+    left, right = _sides(rows, threshold, measure, by)
+    rest = F.least(F.col("an") - F.col("ar"), F.col("bn") - F.col("br")) + 1
+    if measure == "jaccard":
+        fits = (F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-9) & (rest >= threshold / (1 + threshold) * (F.col("an") + F.col("bn")) - 1e-9)
+    else:
+        fits = (F.col("an") <= F.col("bn")) & (rest >= threshold * F.col("an") - 1e-9)
+    pairs = left.join(right, [by, "t", "part"]).where((F.col("a") != F.col("b")) & fits).select(by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     s = rows.select(by, "id", "tokens")
     both = pairs.join(s.select(by, F.col("id").alias("a"), F.col("tokens").alias("x")), [by, "a"]).join(s.select(by, F.col("id").alias("b"), F.col("tokens").alias("y")), [by, "b"])
     shared = F.size(F.array_intersect("x", "y"))
