@@ -6,9 +6,10 @@ in some pattern, how far the search may advance; any other block lets it skip ne
 0, the hash of the block selects a bucket of patterns that end in it; all words are compared by hash, and then the bytes of
 the stretch with those of the pattern, which confirms an occurrence. Many stretches of text are searched in step, so that each step is a few array operations.
 
-Documents are never shuffled: every pass is a map over rows. Patterns are sent to all tasks in parts of at most
-PART_BYTES of benchmark text, or one item; the benchmark's size is measured first. A larger benchmark takes more passes, each
-adding its hits to the row; rows are written between passes, so only one part is held at a time.
+Every pass is a map over rows; texts are never shuffled, but for one join by row number where a large benchmark took several. Patterns are sent to all tasks in parts of at most
+PART_BYTES of benchmark text, or one item; the benchmark's size is measured first. A larger benchmark takes more passes over
+numbered rows, so only one part is held at a time. A pass writes row numbers, spans and items, the first one of all rows (with their
+numbers of words), each later one of rows that are hit; no pass writes texts. In the end these are put together by row number.
 
 Defined cases: null or empty text has no words, no hits, and is not contaminated; items without words give no pattern;
 rows of one item id make one item, a null id is the empty string; rows with equal ids and texts, and with a null id, are
@@ -18,6 +19,9 @@ empty benchmark finds nothing; columns other than those named are ignored (clean
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -146,7 +150,8 @@ FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spa
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def _searcher(spark, items, window: int, column: str, name: str):
+def _searcher(spark, items, window: int, column: str, name: str, kept: list[str] | None = None, hits_only: bool = False):
+    """Rows with a column of that name; with kept, those columns and the fields of FOUND instead, with hits_only of rows that are hit."""
     held = spark.sparkContext.broadcast(patterns(items, window))
 
     def search(frames):
@@ -166,15 +171,25 @@ def _searcher(spark, items, window: int, column: str, name: str):
                 for r, n in enumerate(np.diff(rows).tolist()):
                     own = hit.get(r, [])
                     found.append({"n_words": n, "spans": _merged([x[:2] for x in own]), "items": sorted({ids[k] for x in own for k in x[2]})})
-            if name in batch.schema.names:  # an earlier part of the benchmark
-                for new, old in zip(found, batch.column(name).to_pylist(), strict=True):
-                    new["spans"], new["items"] = _merged([*new["spans"], *old["spans"]]), sorted({*new["items"], *old["items"]})
-            kept = [c for c in batch.schema.names if c != name]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, _ARROW)], [*kept, name])
+            if kept is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], [*batch.schema.names, name])
+                continue
+            at = [k for k, x in enumerate(found) if x["spans"] or not hits_only]
+            which = pa.array(at, pa.int64())
+            fields = pa.array([found[k] for k in at], _ARROW).flatten()
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(which) for c in kept], *fields], [*kept, *[f.name for f in _ARROW]])
 
     return search
 
 
+def _united(frames):
+    """(_row, n_words, spans of each pass, items of each pass) as (_row, _found)."""
+    for batch in frames:
+        n, spans, items = (batch.column(c).to_pylist() for c in ("n_words", "spans", "items"))
+        found = [{"n_words": k, "spans": _merged([x for of in s for x in of]), "items": sorted({x for of in i for x in of})} for k, s, i in zip(n, spans, items, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, _ARROW)], ["_row", "_found"])
+
+
 def _merged(spans):
     out = []
     for a, z in sorted(map(tuple, spans)):
@@ -194,12 +209,21 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 def search(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, column: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """docs with a column of that name: n_words, the spans of hit words (first, after the last), the ids of items found."""
-    out, schema, any_part = docs, T.StructType([*docs.schema.fields, T.StructField(name, FOUND)]), False
-    for part in item_parts(benchmark, part_bytes):
-        if any_part:
-            out = stage(out, "decontaminate")
-        out, any_part = out.mapInArrow(_searcher(docs.sparkSession, part, window, column, name), schema), True
-    return out if any_part else docs.mapInArrow(_searcher(docs.sparkSession, [], window, column, name), schema)
+    spark, parts = docs.sparkSession, item_parts(benchmark, part_bytes)
+    part, later = next(parts, []), next(parts, None)
+    if later is None:
+        return docs.mapInArrow(_searcher(spark, part, window, column, name), T.StructType([*docs.schema.fields, T.StructField(name, FOUND)]))
+    row = free_name(docs, "_row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    texts = numbered.select(F.col(row).alias("_row"), F.col(column).alias("_text"))
+    schema = T.StructType([T.StructField("_row", T.LongType()), *FOUND.fields])
+    passes = [stage(texts.mapInArrow(_searcher(spark, part, window, "_text", "", ["_row"]), schema), "words")]
+    for more in itertools.chain([later], parts):
+        passes.append(stage(texts.mapInArrow(_searcher(spark, more, window, "_text", "", ["_row"], hits_only=True), schema), "hits"))
+    # a row comes once from each pass that hit it
+    by_row = functools.reduce(DataFrame.unionByName, passes).groupBy("_row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    found = by_row.mapInArrow(_united, T.StructType([T.StructField("_row", T.LongType()), T.StructField("_found", FOUND)]))
+    return numbered.join(found.select(F.col("_row").alias(row), F.col("_found").alias(name)), row).select(*[F.col(f"`{c}`") for c in docs.columns], name)
 
 
 def n_hit(found):
