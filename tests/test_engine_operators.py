@@ -33,6 +33,21 @@ def test_plates_merge_transitively(spark):
     assert got == [(0, 0.0, 0.0, 300.0, 200.0), (1, 0.0, 300.0, 100.0, 380.0)]
 
 
+def test_corpus_invariants_are_all_there(spark):
+    long = "w " * 30
+    pages = [("b", "junk.pdf", long, 1), ("b", "\t", long, 2), ("c", None, "et al " * 6, None), ("c", "9 - Title", None, 4)]
+    df = spark.createDataFrame(pages, "book string, chapter string, text string, printed_page int")
+    want = [("bibliography", 0.25, 0.05, False), ("books", 2.0, 1.0, True), ("folio", 0.75, 0.9, False), ("junk", 0.25, 0.05, False), ("short", 0.5, 0.0, False)]
+    assert rows(clean.invariants(df), "check", "value", "target", "ok") == want
+    assert rows(clean.invariants(df.limit(0)), "check", "value", "ok") == [("books", 0.0, False)]
+
+
+def test_verdicts_of_invariants_are_not_rounded(spark):
+    df = spark.range(30000).selectExpr("'b' AS book", "'x' AS chapter", "repeat('w ', if(id = 7, 3, 30)) AS text", "if(id < 3001, NULL, 1) AS printed_page")
+    got = {r["check"]: (r["value"], r["ok"]) for r in clean.invariants(df).collect()}
+    assert got["short"] == (0.0, False) and got["folio"] == (0.9, False)
+
+
 def test_sections_of_plain_text(spark):
     text = "A lead of more than twenty letters.\nMETHODS\nWe did this and that at length.\nResults:\nshort\n"
     df = spark.createDataFrame([(1, text), (2, None)], "work_id int, text string")

@@ -43,3 +43,9 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == columns
     rows = want.project(",".join(f'"{c}"' for c in columns)).fetchall()
     assert got == sorted((plain(r) for r in rows), key=str)
+
+
+def test_corpus_invariants_makes_every_check(spark, duck):
+    want = ["bibliography", "books", "folio", "junk", "short"]
+    assert sorted(r["check"] for r in registry.queries()["corpus_invariants"](spark, DATA).collect()) == want
+    assert sorted(r[0] for r in duck.sql(SQL["corpus_invariants"]).fetchall()) == want
